@@ -51,10 +51,10 @@ def seq_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, b, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     wr = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    return (d.withColumn("__rn", F.row_number().over(wr))
+    return (d.withColumn("__rn_in", F.row_number().over(wr))
              .join(offs, [*keys, b])
-             .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint"))
-             .drop("__rn", "__off", b))
+             .withColumn(out, (F.col("__rn_in") + F.col("__off")).cast("bigint"))
+             .drop("__rn_in", "__off", b))
 
 
 def prev_value(df: DataFrame, keys: Sequence[str], t: str, block: int,
