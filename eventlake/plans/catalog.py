@@ -1,6 +1,6 @@
 """Import every query module so that the registry is filled."""
 
-from eventlake.plans import q_ingest, q_patterns, q_signals, q_store  # noqa: F401
+from eventlake.plans import q_ingest, q_patterns, q_quality, q_signals, q_store  # noqa: F401
 from eventlake.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
