@@ -84,11 +84,12 @@ CAM_DUR = 300_000
 
 
 def camera(lineitem: DataFrame) -> DataFrame:
-    """Event-camera events: sample = order, pixel from part/supplier, t from ship date."""
+    """Event-camera events: sample = (order, return flag), pixel from part/supplier, t from ship date."""
     day = F.timestamp_diff("DAY", F.lit("1992-01-01").cast("timestamp_ntz"), F.col("l_shipdate"))
+    label = _index_of("l_returnflag", RETURN_FLAGS)
     return lineitem.select(
-        F.col("l_orderkey").alias("sample_id"),
-        _index_of("l_returnflag", RETURN_FLAGS).alias("label"),
+        (F.col("l_orderkey") * F.lit(4) + label).alias("sample_id"),
+        label.alias("label"),
         F.pmod(F.col("l_partkey"), F.lit(CAM_W)).cast("int").alias("x"),
         F.pmod(F.col("l_suppkey"), F.lit(CAM_H)).cast("int").alias("y"),
         F.pmod(day * F.lit(1000) + F.col("l_linenumber") * F.lit(37), F.lit(CAM_DUR)).cast("bigint").alias("t"),
