@@ -42,12 +42,24 @@ def normalize(vec: Column | str, n: int = N) -> Column:
         F.array_repeat(F.lit(0.0), F.lit(int(n))))
 
 
+def normalized(df: DataFrame, vec: str, out: str = "vec", n: int = N) -> DataFrame:
+    """DataFrame form of :func:`normalize`: the padded vector, its minimum and
+    range are materialised as columns first so the per-element lambda only
+    reads them (no re-evaluation of array_min/array_max per element)."""
+    d = df.withColumn("__v", resize(vec, n))
+    d = d.withColumn("__lo", F.array_min("__v")).withColumn("__rng", F.array_max("__v") - F.col("__lo"))
+    res = F.when(F.col("__rng") > F.lit(FLAT_EPS),
+                 F.transform("__v", lambda x: (x - F.col("__lo")) / F.col("__rng"))).otherwise(
+        F.array_repeat(F.lit(0.0), F.lit(int(n))))
+    return d.withColumn(out, res).drop("__v", "__lo", "__rng")
+
+
 def binarize(vec: Column | str, thr: float = 0.5) -> Column:
     return F.transform(_c(vec), lambda x: F.when(x >= F.lit(thr), F.lit(1)).otherwise(F.lit(0)))
 
 
 def _features(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(vec).alias("i", "v"))
+    return df.select(id_col, F.posexplode_outer(vec).alias("i", "v")).filter(F.col("i").isNotNull())
 
 
 def latency_events(df: DataFrame, id_col: str = "window_id", vec: str = "vec", t_steps: int = T,
@@ -142,5 +154,6 @@ def count_windows(samples: DataFrame, window: int, n: int = N, key: str = "devic
         F.array_sort(F.collect_list(F.struct("seq", "vals"))).alias("rows"),
         F.min_by("label", "seq").alias("label") if "label" in samples.columns else F.lit(None).alias("label"))
     flat = F.flatten(F.transform("rows", lambda r: r["vals"]))
-    return (agg.filter(F.col("n_rows") == wsize)
-            .select(key, F.col("win").alias("window_id"), "label", normalize(flat, n).alias("vec")))
+    full = agg.filter(F.col("n_rows") == wsize).select(key, F.col("win").alias("window_id"), "label",
+                                                      flat.alias("flat"))
+    return normalized(full, "flat", "vec", n).drop("flat")

@@ -22,7 +22,7 @@ RATIO = 0.85    # fixed value: match only if best < RATIO * second
 
 def prototypes(windows: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
     """Element-wise mean per label -> (label, vec)."""
-    f = windows.select(label, F.posexplode(vec).alias("i", "v"))
+    f = windows.select(label, F.posexplode_outer(vec).alias("i", "v")).filter(F.col("i").isNotNull())
     m = f.groupBy(label, "i").agg(F.avg("v").alias("v"))
     return m.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("__p")).select(
         label, F.transform("__p", lambda s: s["v"]).alias(vec))
@@ -30,7 +30,7 @@ def prototypes(windows: DataFrame, label: str = "label", vec: str = "vec") -> Da
 
 def prototype_rows(windows: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
     """Exploded prototypes (label, i, v)."""
-    f = windows.select(label, F.posexplode(vec).alias("i", "v"))
+    f = windows.select(label, F.posexplode_outer(vec).alias("i", "v")).filter(F.col("i").isNotNull())
     return f.groupBy(label, "i").agg(F.avg("v").alias("v"))
 
 

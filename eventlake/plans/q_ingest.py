@@ -173,7 +173,7 @@ WIN_SQL = (f"WITH s AS ({SAMPLES_SQL}), w AS (SELECT device_id, (seq - 1) // {WI
        "ELSE 0.0 END AS v FROM pos p LEFT JOIN vals v USING (device_id, window_id, i)")
 def q_count_windows(spark, sf):
     w = encode.count_windows(adapters.samples(table(spark, sf, "lineitem")), WINDOW_ROWS)
-    return w.select("device_id", "window_id", F.posexplode("vec").alias("i", "v")).select(
+    return w.select("device_id", "window_id", F.posexplode_outer("vec").alias("i", "v")).select(
         "device_id", "window_id", F.col("i").cast("bigint").alias("i"), "v")
 
 

@@ -65,11 +65,11 @@ def _signals(spark, sf):
 
 
 def _norm(spark, sf):
-    return _signals(spark, sf).select("window_id", "label", encode.normalize("vec").alias("vec"))
+    return encode.normalized(_signals(spark, sf), "vec", "vec")
 
 
 def _rows(df, vec="vec", val="v"):
-    return df.select("window_id", F.posexplode(vec).alias("i", val)).select(
+    return df.select("window_id", F.posexplode_outer(vec).alias("i", val)).select(
         "window_id", F.col("i").cast("bigint").alias("i"), val)
 
 
@@ -161,7 +161,7 @@ def q_hash_split(spark, sf):
 @query("prototypes", f"WITH {NORM_SQL}, {SPLIT_SQL}, {PROTO_SQL} SELECT label, i, round(v, 6) AS v FROM proto")
 def q_prototypes(spark, sf):
     lib = _library(spark, sf)
-    return lib.select("label", F.posexplode("vec").alias("i", "v")).select(
+    return lib.select("label", F.posexplode_outer("vec").alias("i", "v")).select(
         "label", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 
