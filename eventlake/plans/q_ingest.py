@@ -99,8 +99,12 @@ JSON_SQL = (f"SELECT event_id AS line_id, CASE event_type "
 
 
 def json_df(spark, sf):
-    sp = adapters.spikes_by_user  # noqa: F841  (t as in the event model)
-    ev = events(spark, sf)
+    return json_lines(events(spark, sf))
+
+
+def json_lines(ev):
+    """Events -> JSON messages; error rows are truncated and signup rows carry a
+    mistyped t, so both land in the dead-letter path."""
     from eventlake.functions.timecols import millis_since
     t = millis_since("ts").cast("string")
     et = F.col("event_type")
