@@ -148,3 +148,11 @@ def match_stats(results: DataFrame, truth: str = "true_label", pred: str = "matc
         F.count_if(~lab).alias("novel"),
     ).select("*", F.try_divide(F.col("correct"), F.col("labeled")).alias("accuracy"),
              F.try_divide(F.col("novel_rejected"), F.col("novel")).alias("rejection_rate"))
+
+
+def enroll(library: DataFrame, enrollments: DataFrame, label: str = "label") -> DataFrame:
+    """Union the library with new enrollments; per (label, feature) the
+    highest version wins (one reference per label, replaced on re-enroll)."""
+    u = library.unionByName(enrollments)
+    keys = [label] + [c for c in ("i",) if c in u.columns]
+    return u.groupBy(*keys).agg(F.max_by("v", "version").alias("v"), F.max("version").alias("version"))

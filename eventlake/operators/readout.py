@@ -161,3 +161,25 @@ def population_vote(responses: DataFrame, assignment: DataFrame, n_classes: int)
     full = spine.join(sc, ["sample_id", "label"], "left").select(
         "sample_id", "label", F.coalesce(F.col("score"), F.lit(0)).cast("double").alias("score"))
     return argmax(full, "sample_id", "label", "score")
+
+
+def fit_readout(windows: DataFrame, vec: str = "vec", label: str = "label", split: str = "split",
+                max_iter: int = 100) -> DataFrame:
+    """Supervised readout: multinomial logistic regression without intercept
+    on binarised windows (the delta-rule readout's batch counterpart);
+    returns one row with hold-out accuracy and sizes."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    d = windows.withColumn("features", array_to_vector(F.transform(vec, lambda v: F.when(v >= 0.5, 1.0).otherwise(0.0))))
+    idx = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(d)
+    d = idx.transform(d)
+    train = d.filter(F.col(split) == "train")
+    test = d.filter(F.col(split) == "test")
+    model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", fitIntercept=False,
+                               maxIter=max_iter, regParam=0.0).fit(train)
+    pred = model.transform(test)
+    return pred.agg(F.count(F.lit(1)).alias("n_test"),
+                    F.count_if(F.col("prediction") == F.col("y")).alias("correct")).withColumn(
+        "accuracy", F.col("correct") / F.col("n_test"))
