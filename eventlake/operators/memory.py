@@ -18,23 +18,75 @@ from pyspark.sql import functions as F
 from eventlake.session import cut_lineage
 
 
-def recall_step(memory: DataFrame, cues: DataFrame, n: int, k: int) -> DataFrame:
-    """One kWTA step for every cue: (bank, cue_id, neuron) of the new active set."""
+class MemoryIndex:
+    """Per-bank tables reused by every recall step: pattern count P, neuron
+    counts cnt, and every neuron of [0, N) ranked by (cnt asc, neuron asc) —
+    the order in which neurons untouched by a cue compete (their field is
+    ``-a|s|cnt``)."""
+
+    def __init__(self, memory: DataFrame, n: int, checkpoint: bool = False):
+        self.memory = memory.select("bank", "pattern_id", "neuron")
+        self.by_neuron = self.by_pattern = self.memory
+        if checkpoint:
+            # reused by every step: materialise once, already hash-partitioned on
+            # the two join keys so later steps shuffle only the (small) cue side
+            parts = int(memory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            self.by_neuron = cut_lineage(self.memory.repartition(parts, "bank", "neuron"))
+            self.by_pattern = cut_lineage(self.memory.repartition(parts, "bank", "pattern_id"))
+            self.memory = self.by_neuron
+        self.n = n
+        P = self.memory.groupBy("bank").agg(F.countDistinct("pattern_id").alias("P"))
+        cnt = self.memory.groupBy("bank", "neuron").agg(F.count(F.lit(1)).alias("cnt"))
+        if checkpoint:
+            P, cnt = cut_lineage(P), cut_lineage(cnt)
+        self.P, self.cnt = P, cnt
+        self._ranked = None
+
+    @property
+    def ranked(self) -> DataFrame:
+        if self._ranked is None:
+            spine = self.P.select("bank", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("neuron"))
+            w = Window.partitionBy("bank").orderBy(F.col("c0"), F.col("neuron"))
+            self._ranked = (spine.join(self.cnt, ["bank", "neuron"], "left")
+                            .withColumn("c0", F.coalesce(F.col("cnt"), F.lit(0)))
+                            .withColumn("rank", F.row_number().over(w)).select("bank", "rank", "neuron"))
+        return self._ranked
+
+
+def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512) -> DataFrame:
+    """One kWTA step for every cue: (bank, cue_id, neuron) of the new active set.
+
+    Candidates per cue: neurons touched by an overlapping pattern or active
+    in the cue, plus the first ``k + |touched|`` neurons of the bank's
+    untouched order — at least k untouched ones are among them, so the
+    top-k over all N neurons is exact while only O(|touched| + k) rows
+    per cue are scored.  For ``n <= dense_limit`` all N neurons are scored
+    directly (bounded per cue, fewer shuffles); both forms are exact.
+    """
+    idx = memory if isinstance(memory, MemoryIndex) else MemoryIndex(memory, n)
     a = k / n
     hi2, lo2 = (1 - a) ** 2, a * a
-    P = memory.groupBy("bank").agg(F.countDistinct("pattern_id").alias("P"))
-    cnt = memory.groupBy("bank", "neuron").agg(F.count(F.lit(1)).alias("cnt"))
+    cues = cues.select("bank", "cue_id", "neuron")
     m = cues.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("m"))
-    ov = (cues.join(memory, ["bank", "neuron"]).groupBy("bank", "cue_id", "pattern_id")
+    ov = (cues.join(idx.by_neuron, ["bank", "neuron"]).groupBy("bank", "cue_id", "pattern_id")
           .agg(F.count(F.lit(1)).alias("ov")))
-    o = (ov.join(memory, ["bank", "pattern_id"]).groupBy("bank", "cue_id", "neuron")
+    o = (ov.join(idx.by_pattern, ["bank", "pattern_id"]).groupBy("bank", "cue_id", "neuron")
          .agg(F.sum("ov").alias("O")))
-    spine = m.select("bank", "cue_id", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("neuron"))
-    act = cues.select("bank", "cue_id", "neuron", F.lit(True).alias("active"))
-    s = (spine.join(o, ["bank", "cue_id", "neuron"], "left")
-         .join(cnt, ["bank", "neuron"], "left")
+    if n <= dense_limit:
+        return _step_arrays(idx, cues, o, n, k)
+    else:
+        touched = o.select("bank", "cue_id", "neuron").unionByName(cues).distinct()
+        nt = touched.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("nt"))
+        fill = (nt.select("bank", "cue_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("nt") + F.lit(k))))
+                          .alias("rank"))
+                .join(idx.ranked, ["bank", "rank"]).select("bank", "cue_id", "neuron"))
+        cand = touched.unionByName(fill).distinct()
+    act = cues.withColumn("active", F.lit(True))
+    s = (cand.join(o, ["bank", "cue_id", "neuron"], "left")
+         .join(idx.cnt, ["bank", "neuron"], "left")
          .join(act, ["bank", "cue_id", "neuron"], "left")
-         .join(P, "bank"))
+         .join(m, ["bank", "cue_id"])
+         .join(idx.P, "bank"))
     c = F.coalesce(F.col("cnt"), F.lit(0)).cast("double")
     field = (F.coalesce(F.col("O"), F.lit(0)).cast("double") - F.lit(a) * F.col("m") * c
              - F.when(F.col("active"), c * F.lit(hi2) + (F.col("P") - c) * F.lit(lo2)).otherwise(F.lit(0.0)))
@@ -43,31 +95,67 @@ def recall_step(memory: DataFrame, cues: DataFrame, n: int, k: int) -> DataFrame
             .filter(F.col("rk") <= k).select("bank", "cue_id", "neuron"))
 
 
+def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int) -> DataFrame:
+    """Array form of the step for moderate N: one row per cue carrying its
+    touched neurons (<= N) and its bank's neuron ranking (N entries); the
+    field and the top-k are evaluated with higher-order functions, so no
+    per-(cue, neuron) rows are shuffled."""
+    a = k / n
+    hi2, lo2 = (1 - a) ** 2, a * a
+    bank = (idx.ranked.groupBy("bank").agg(F.array_sort(F.collect_list(F.struct("rank", "neuron"))).alias("__r"))
+            .select("bank", F.transform("__r", lambda x: x["neuron"]).alias("ranked"))
+            .join(idx.cnt.groupBy("bank").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "cnt"))).alias("cmap")),
+                  "bank", "left")
+            .join(idx.P, "bank"))
+    cue = cues.groupBy("bank", "cue_id").agg(F.array_distinct(F.collect_list("neuron")).alias("s"))
+    ol = o.groupBy("bank", "cue_id").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "O"))).alias("omap"))
+    t = cue.join(ol, ["bank", "cue_id"], "left").join(bank, "bank")
+    t = t.withColumn("touched", F.array_union(F.coalesce(F.map_keys("omap"), F.array().cast("array<int>")), F.col("s")))
+    m = F.size("s").cast("double")
+
+    def cnt_of(i):
+        return F.coalesce(F.element_at(F.col("cmap"), i), F.lit(0)).cast("double")
+
+    def field(i):
+        c = cnt_of(i)
+        diag = F.when(F.array_contains(F.col("s"), i), c * F.lit(hi2) + (F.col("P") - c) * F.lit(lo2)).otherwise(F.lit(0.0))
+        return F.coalesce(F.element_at(F.col("omap"), i), F.lit(0)).cast("double") - F.lit(a) * m * c - diag
+
+    scored = F.transform("touched", lambda i: F.struct((-field(i)).alias("ns"), i.alias("neuron")))
+    head = F.slice(F.col("ranked"), 1, F.size("touched") + F.lit(k))
+    free = F.slice(F.filter(head, lambda i: ~F.array_contains(F.col("touched"), i)), 1, k)
+    free_scored = F.transform(free, lambda i: F.struct((F.lit(a) * m * cnt_of(i)).alias("ns"), i.alias("neuron")))
+    top = F.slice(F.array_sort(F.concat(scored, free_scored)), 1, k)
+    return t.select("bank", "cue_id", F.explode(top).alias("x")).select("bank", "cue_id", F.col("x.neuron").alias("neuron"))
+
+
 def recall(memory: DataFrame, cues: DataFrame, n: int, k: int, steps: int = 8) -> DataFrame:
     """Iterate :func:`recall_step` until each cue's set is a fixed point or
-    ``steps`` is reached; settled cues leave the loop.  Lineage is cut with a
-    reliable checkpoint every step.  Returns (bank, cue_id, neuron, steps_used)."""
-    done = None
-    active = cues.select("bank", "cue_id", "neuron")
+    ``steps`` is reached; settled cues leave the loop.  The memory index is
+    built and partitioned once; the active cue set is checkpointed each step
+    (reliable checkpoint, shared folder), so lineage stays one step deep.
+    Returns (bank, cue_id, neuron, steps_used)."""
+    idx = MemoryIndex(memory, n, checkpoint=True)
+    parts = []
+    active = cut_lineage(cues.select("bank", "cue_id", "neuron"))
     for step in range(1, steps + 1):
-        new = cut_lineage(recall_step(memory, active, n, k))
-        diff = (active.select("bank", "cue_id", "neuron", F.lit(1).alias("d"))
-                .unionByName(new.select("bank", "cue_id", "neuron", F.lit(-1).alias("d")))
-                .groupBy("bank", "cue_id", "neuron").agg(F.sum("d").alias("d"))
-                .groupBy("bank", "cue_id").agg(F.count_if(F.col("d") != 0).alias("changed")))
-        settled = diff.filter(F.col("changed") == 0).select("bank", "cue_id")
-        moving = diff.filter(F.col("changed") > 0).select("bank", "cue_id")
-        fin = new.join(settled, ["bank", "cue_id"]).withColumn("steps_used", F.lit(step))
-        if step == steps:
-            fin = new.withColumn("steps_used", F.lit(step))
-        done = fin if done is None else done.unionByName(fin)
-        done = cut_lineage(done)
+        new = cut_lineage(recall_step(idx, active, n, k))
         if step == steps:
+            parts.append(new.withColumn("steps_used", F.lit(step)))
             break
-        active = cut_lineage(new.join(moving, ["bank", "cue_id"]))
-        if active.limit(1).count() == 0:
+        changed = (active.select("bank", "cue_id", "neuron", F.lit(1).alias("d"))
+                   .unionByName(new.select("bank", "cue_id", "neuron", F.lit(-1).alias("d")))
+                   .groupBy("bank", "cue_id", "neuron").agg(F.sum("d").alias("d"))
+                   .groupBy("bank", "cue_id").agg(F.max(F.abs("d")).alias("changed")))
+        tagged = cut_lineage(new.join(changed, ["bank", "cue_id"]))
+        parts.append(tagged.filter(F.col("changed") == 0).drop("changed").withColumn("steps_used", F.lit(step)))
+        active = tagged.filter(F.col("changed") != 0).drop("changed")
+        if active.isEmpty():
             break
-    return done
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def overlap(recalled: DataFrame, original: DataFrame, k: int) -> DataFrame:

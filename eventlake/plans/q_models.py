@@ -293,7 +293,7 @@ def _memory(spark, sf):
 @query("recall_step", f"WITH {MEM_SQL}, {STEP_SQL} SELECT bank, cue_id, neuron FROM step")
 def q_recall_step(spark, sf):
     mem, cues = _memory(spark, sf)
-    return memory.recall_step(mem, cues, MEM_N, MEM_K)
+    return memory.recall_step(memory.MemoryIndex(mem, MEM_N), cues, MEM_N, MEM_K)
 
 
 @query("pattern_overlap",
@@ -303,7 +303,9 @@ def q_recall_step(spark, sf):
        "pattern_id AS cue_id FROM mem) i LEFT JOIN hit USING (bank, cue_id)")
 def q_overlap(spark, sf):
     mem, cues = _memory(spark, sf)
-    step = memory.recall_step(mem, cues, MEM_N, MEM_K)
+    idx = memory.MemoryIndex(mem, MEM_N)
+    step = memory.recall_step(idx, cues, MEM_N, MEM_K)
+    mem = idx.memory
     orig = mem.select("bank", F.col("pattern_id").alias("cue_id"), "neuron")
     return memory.overlap(step, orig, MEM_K)
 
