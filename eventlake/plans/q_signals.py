@@ -234,3 +234,34 @@ def q_nearest_proto(spark, sf):
     test = sp.filter(F.col("split") == "test").select("window_id", "vec")
     r = match.nearest_prototype(test, _library(spark, sf))
     return r.select("window_id", "pred", F.round("d2", 6).alias("d2"))
+
+
+# ---- discovering unknown signals (F12, F13)
+def _unknowns(spark, sf):
+    d, test = _vr(spark, sf, KNOWN_LABELS)
+    r = match.ratio_match(d).filter(F.col("match").isNull()).select("window_id", "best_dist")
+    return (test.join(r, "window_id").select(F.lit("loop").alias("stream_id"), F.col("window_id").alias("seq"),
+                                              F.col("best_dist").alias("dist"), "vec"))
+
+
+def _clusters(spark, sf):
+    from eventlake.operators import cluster
+    lib = _library(spark, sf, KNOWN_LABELS)
+    radius = cluster.auto_radius(lib).first()["radius"]
+    unk = _unknowns(spark, sf)
+    return unk, cluster.leader_clusters(unk, radius)
+
+
+@query("cluster_leader", None, note="order-dependent leader clustering: ordered fold per stream")
+def q_cluster_leader(spark, sf):
+    _, a = _clusters(spark, sf)
+    return a
+
+
+@query("promote", None, note="promotion of clusters with enough support")
+def q_promote(spark, sf):
+    from eventlake.operators import cluster
+    unk, a = _clusters(spark, sf)
+    summ = cluster.cluster_summary(unk, a)
+    lib = _library(spark, sf, KNOWN_LABELS)
+    return cluster.promote(summ, lib.select("label"), name_largest="WAVE").select("stream_id", "label", "size")
