@@ -434,3 +434,37 @@ def q_rel_algebra(spark, sf):
     _, _, rels, _ = _kg(spark, sf)
     r = graph.relation_algebra(graph.relation_phases(rels, DIM))
     return r.select("r1", "r2", "r3", F.round("err", 6).alias("err"))
+
+
+# noise sweep (F15): several corruption levels in one recall job
+SWEEP_DROPS = [0.1, 0.25, 0.5]
+
+
+@query("recall_sweep", None, note="parameter grid x recall step in one job")
+def q_recall_sweep(spark, sf):
+    li = table(spark, sf, "lineitem")
+    o = table(spark, sf, "orders")
+    mem = (li.join(o, o.o_orderkey == li.l_orderkey)
+           .select(F.col("o_custkey").alias("bank"), F.col("l_orderkey").alias("pattern_id"),
+                   F.pmod(F.col("l_partkey"), F.lit(MEM_N)).cast("int").alias("neuron")).distinct())
+    grids = []
+    for g, frac in enumerate(SWEEP_DROPS):
+        keep = mem.filter(hash_uniform(CUE_SEED, F.col("pattern_id"), F.col("neuron")) >= frac).select(
+            "bank", (F.col("pattern_id") * 8 + g).alias("cue_id"), "neuron")
+        add = mem.select("bank", (F.col("pattern_id") * 8 + g).alias("cue_id"),
+                         F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)).cast("int").alias("neuron"))
+        grids.append(keep.unionByName(add))
+    cues = grids[0]
+    for x in grids[1:]:
+        cues = cues.unionByName(x)
+    idx = memory.MemoryIndex(mem, MEM_N)
+    step = memory.recall_step(idx, cues.distinct(), MEM_N, MEM_K)
+    orig = mem.select("bank", "pattern_id", "neuron")
+    hit = (step.withColumn("pattern_id", F.floor(F.col("cue_id") / 8).cast("bigint"))
+           .join(orig, ["bank", "pattern_id", "neuron"]).groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("hit")))
+    per = (cues.select("bank", "cue_id").distinct().join(hit, ["bank", "cue_id"], "left")
+           .select(F.pmod(F.col("cue_id"), F.lit(8)).cast("int").alias("grid"),
+                   (F.coalesce(F.col("hit"), F.lit(0)) / F.lit(float(MEM_K))).alias("overlap")))
+    drops = spark.createDataFrame([(g, f) for g, f in enumerate(SWEEP_DROPS)], "grid int, drop_fraction double")
+    return per.groupBy("grid").agg(F.avg("overlap").alias("mean_overlap"), F.count(F.lit(1)).alias("n_cues")).join(
+        F.broadcast(drops), "grid")
