@@ -183,3 +183,20 @@ def fit_readout(windows: DataFrame, vec: str = "vec", label: str = "label", spli
     return pred.agg(F.count(F.lit(1)).alias("n_test"),
                     F.count_if(F.col("prediction") == F.col("y")).alias("correct")).withColumn(
         "accuracy", F.col("correct") / F.col("n_test"))
+
+
+LOAD_BALANCE = 6.0   # fixed value: router penalty on over-used experts
+
+
+def affinity_route(counts: DataFrame, expert_weights: DataFrame, usage: DataFrame, steps: int, top_k: int = 2,
+                   load: float = LOAD_BALANCE, id_col: str = "window_id") -> DataFrame:
+    """Affinity routing: ``aff_e = sum_i rate_i * colsum_e[i]`` with
+    ``colsum_e[i] = sum_c w_e(c, i)``; score ``aff_e - load * share_e * aff_e``
+    with ``share_e`` from a usage table (expert, share); top-k, ties -> smaller expert."""
+    colsum = expert_weights.groupBy("expert", "i").agg(F.sum("w").alias("cs"))
+    aff = (counts.join(colsum, "i").groupBy(id_col, "expert")
+           .agg(F.sum(F.col("n") / F.lit(float(steps)) * F.col("cs")).alias("aff")))
+    s = aff.join(F.broadcast(usage.select("expert", "share")), "expert", "left").select(
+        id_col, "expert", (F.col("aff") - F.lit(load) * F.coalesce(F.col("share"), F.lit(0.0)) * F.col("aff")).alias("score"))
+    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("expert"))
+    return s.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)

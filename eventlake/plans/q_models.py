@@ -468,3 +468,19 @@ def q_recall_sweep(spark, sf):
     drops = spark.createDataFrame([(g, f) for g, f in enumerate(SWEEP_DROPS)], "grid int, drop_fraction double")
     return per.groupBy("grid").agg(F.avg("overlap").alias("mean_overlap"), F.count(F.lit(1)).alias("n_cues")).join(
         F.broadcast(drops), "grid")
+
+
+@query("affinity_route",
+       f"WITH {NORM_SQL}, {POIS_SQL}, {ROUTE_SQL}, EW AS ({_w_sql(C, N_EXPERTS, 1)}), "
+       "use_ AS (SELECT expert, count(*) / (SELECT count(*) FROM routes) AS share FROM routes GROUP BY ALL), "
+       "cs AS (SELECT expert, i, sum(w) AS cs FROM EW GROUP BY ALL), "
+       f"aff AS (SELECT c.window_id, cs.expert, sum(c.n / {float(T)} * cs.cs) AS aff FROM cnt c JOIN cs USING (i) GROUP BY ALL), "
+       f"asc_ AS (SELECT a.window_id, a.expert, a.aff - {readout.LOAD_BALANCE} * coalesce(u.share, 0.0) * a.aff AS score "
+       "FROM aff a LEFT JOIN use_ u USING (expert)) "
+       "SELECT window_id, expert, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY window_id "
+       f"ORDER BY score DESC, expert) AS rk FROM asc_) WHERE rk <= {TOP_K}")
+def q_affinity(spark, sf):
+    ew = readout.weight_table(spark, C, N, N_EXPERTS, salt=1)
+    usage = readout.expert_usage(_routes(spark, sf))
+    r = readout.affinity_route(_counts(spark, sf), ew, usage, T, TOP_K)
+    return r.select("window_id", "expert", "rk")
