@@ -60,3 +60,35 @@ def run_medallion(spark: SparkSession, source: DataFrame, out: str, window: int,
 def gold_queries(spark: SparkSession, gold_path: str, t_steps: int = 32) -> tuple[DataFrame, DataFrame]:
     gold = spark.read.parquet(gold_path)
     return medallion.latency_handoff(gold, t_steps), store.top_by_rate_sql(gold, 5)
+
+
+def run_sensor_capture(lines: DataFrame, library: DataFrame, window: int = 8, radius: float | None = None,
+                       key: str = "device_id") -> tuple[DataFrame, DataFrame]:
+    """Serial capture -> parsed rows -> count windows -> nearest reference with
+    ratio test -> unknowns -> leader clusters per device -> promoted regimes.
+
+    ``lines`` = (key, seq, line); ``library`` = (label, vec).  Returns
+    (match statistics per device, promoted regimes (key, label, size)).
+    """
+    from eventlake.operators import cluster, encode, match
+    from eventlake.sources import parse
+
+    parsed = parse.serial_log(lines.select(F.struct(key, "seq").alias("line_id"), "line"))
+    parsed = parsed.select(F.col("line_id")[key].alias(key), F.col("line_id.seq").alias("old_seq"), "vals")
+    # renumber the surviving rows gap-free per device (banners/headers dropped)
+    from eventlake.operators.ordered import seq_number
+    numbered = seq_number(parsed, [key], ["old_seq"], F.floor(F.col("old_seq") / F.lit(1 << 16)).cast("bigint"))
+    wins = encode.count_windows(numbered.drop("old_seq"), window, key=key)
+    wins = wins.withColumn("wid", F.concat_ws(":", F.col(key).cast("string"), F.col("window_id").cast("string")))
+    we = encode.latency_events(wins, id_col="wid")
+    re = encode.latency_events(library, id_col="label")
+    d = match.van_rossum(we, re, wins.select("wid"), library.select("label"), win_id="wid")
+    res = match.ratio_match(d, win_id="wid").join(wins.select("wid", key, "window_id", "vec"), "wid")
+    stats = res.groupBy(key).agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("matched")).alias("matched"),
+                                 F.count_if(~F.col("matched")).alias("novel"))
+    unknowns = res.filter(~F.col("matched")).select(key, F.col("window_id").alias("seq"), "vec")
+    if radius is None:
+        radius = cluster.auto_radius(library).first()["radius"]
+    assign = cluster.leader_clusters(unknowns, radius, key=key)
+    regimes = cluster.promote(cluster.cluster_summary(unknowns, assign, key=key), key=key)
+    return stats, regimes.select(key, "label", "size")

@@ -74,12 +74,17 @@ SERIAL_SQL = ("SELECT l_orderkey * 8 + l_linenumber AS line_id, CASE WHEN l_line
 
 def serial_df(spark, sf):
     li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), serial_line().alias("line"))
+
+
+def serial_line():
+    """Serial capture line of a lineitem row: header / banner / 'HH:MM:SS,d, t'."""
     ln = F.col("l_linenumber")
     line = (F.when(ln == 1, F.lit("timestamp,distance,temp")).when(ln == 7, F.lit("boot ok"))
             .otherwise(F.concat(F.format_string("%02d:%02d:%02d", ln, F.pmod("l_orderkey", F.lit(60)),
                                                 F.pmod("l_partkey", F.lit(60))), F.lit(","),
                                 F.format_string("%.2f, %.2f", F.col("l_quantity"), F.col("l_tax")))))
-    return li.select((F.col("l_orderkey") * 8 + ln).alias("line_id"), line.alias("line"))
+    return line
 
 
 @query("parse_serial_log",
