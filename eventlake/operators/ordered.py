@@ -84,8 +84,10 @@ def gap_segments(df: DataFrame, keys: Sequence[str], t: str, gap: int, block: in
     brk = F.col("__prev").isNull() | ((diff > gap) if strict else (diff >= gap))
     b = "__blk"
     d = d.withColumn(b, block_of(t, block)).withColumn("__bt", F.when(brk, F.col(t)))
-    wr = (Window.partitionBy(*keys, b).orderBy(t, *tiebreak)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # RANGE frame: all rows with the same t see the same boundaries, so
+    # duplicates never straddle a segment border whatever their order.
+    wr = (Window.partitionBy(*keys, b).orderBy(t)
+          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__inblk", F.max("__bt").over(wr))
     summ = d.groupBy(*keys, b).agg(F.max("__bt").alias("__last"))
     ws = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

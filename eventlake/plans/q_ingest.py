@@ -166,7 +166,8 @@ def q_outcomes(spark, sf):
 
 # ---- count windows over supplier samples (G2/G3)
 SAMPLES_SQL = ("SELECT l_suppkey AS device_id, l_returnflag AS label, l_quantity AS q, l_discount AS d, l_tax AS x, "
-               "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS seq "
+               "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, "
+               "l_quantity, l_discount, l_tax, l_returnflag) AS seq "
                "FROM lineitem")
 WIN_SQL = (f"WITH s AS ({SAMPLES_SQL}), w AS (SELECT device_id, (seq - 1) // {WINDOW_ROWS} AS window_id, "
            f"count(*) OVER (PARTITION BY device_id, (seq - 1) // {WINDOW_ROWS}) AS n_rows, * FROM s)")

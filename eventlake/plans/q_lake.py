@@ -60,11 +60,10 @@ def q_sensor_capture(spark, sf):
     from eventlake.sources.tables import table
     li = table(spark, sf, "lineitem")
     # device = supplier; seq = the supplier's shipping order (the capture's row order)
-    base = li.select(F.col("l_suppkey").alias("device_id"), "l_shipdate", "l_orderkey", "l_linenumber",
-                     serial_line().alias("line"))
+    base = li.select(F.col("l_suppkey").alias("device_id"), *adapters.SAMPLE_ORDER, serial_line().alias("line"))
     week = F.floor(F.unix_date(F.col("l_shipdate").cast("date")) / F.lit(7)).cast("bigint")
     from eventlake.operators.ordered import seq_number
-    lines = seq_number(base, ["device_id"], ["l_shipdate", "l_orderkey", "l_linenumber"], week).select(
+    lines = seq_number(base, ["device_id"], adapters.SAMPLE_ORDER, week).select(
         "device_id", "seq", "line")
     stats, regimes = pipeline.run_sensor_capture(lines, _library(spark, sf), window=8)
     return regimes

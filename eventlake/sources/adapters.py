@@ -65,14 +65,20 @@ def signals(embeddings: DataFrame) -> DataFrame:
                              F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
+# Total order of a supplier's samples (rows equal in all of these are interchangeable).
+SAMPLE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax",
+                "l_returnflag"]
+
+
 def samples(lineitem: DataFrame) -> DataFrame:
     """Raw sensor samples: device = supplier, seq = shipping order per supplier."""
-    base = lineitem.select(F.col("l_suppkey").alias("device_id"), "l_shipdate", "l_orderkey", "l_linenumber",
-                           F.col("l_returnflag").alias("label"),
+    base = lineitem.select(F.col("l_suppkey").alias("device_id"), *SAMPLE_ORDER[:4],
+                           F.col("l_returnflag").alias("label"), "l_quantity", "l_discount", "l_tax",
                            F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("vals"))
     # Weekly blocks keep one hot supplier from landing in one task.
     week = F.floor(F.unix_date(F.col("l_shipdate").cast("date")) / F.lit(7)).cast("bigint")
-    numbered = seq_number(base, ["device_id"], ["l_shipdate", "l_orderkey", "l_linenumber"], week)
+    order = [c if c != "l_returnflag" else "label" for c in SAMPLE_ORDER]
+    numbered = seq_number(base, ["device_id"], order, week)
     return numbered.select("device_id", "seq", "label", "vals")
 
 
