@@ -265,3 +265,35 @@ def q_promote(spark, sf):
     summ = cluster.cluster_summary(unk, a)
     lib = _library(spark, sf, KNOWN_LABELS)
     return cluster.promote(summ, lib.select("label"), name_largest="WAVE").select("stream_id", "label", "size")
+
+
+# ---- matcher noise sweep (F30): all noise levels in one job
+NOISE_LEVELS = [0.0, 0.1, 0.2, 0.4]
+NOISE_SEED = 13
+
+
+@query("noise_sweep", None, note="grid of noise levels x ratio-test matcher, one job")
+def q_noise_sweep(spark, sf):
+    from eventlake.functions.rng import hash_uniform
+    sp = _split(spark, sf)
+    test = sp.filter(F.col("split") == "test")
+    lib = _library(spark, sf, KNOWN_LABELS)
+    levels = spark.createDataFrame([(g, s) for g, s in enumerate(NOISE_LEVELS)], "level int, noise double")
+    grid = test.join(F.broadcast(levels), how="cross")       # fixed 4-row parameter table
+    jit = F.transform("vec", lambda v, i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v + (
+        hash_uniform(NOISE_SEED, F.col("window_id"), i, F.col("level")) * 2 - 1) * F.col("noise"))))
+    noisy = grid.select((F.col("window_id") * 8 + F.col("level")).alias("window_id"), "level", "noise", "label",
+                        jit.alias("vec"))
+    we = encode.latency_events(noisy)
+    re = encode.latency_events(lib, id_col="label")
+    d = match.van_rossum(we, re, noisy.select("window_id"), lib.select("label"))
+    r = match.ratio_match(d).join(noisy.select("window_id", "noise", F.when(F.col("label").isin(KNOWN_LABELS), F.col("label"))
+                                               .alias("true_label")), "window_id")
+    out = r.groupBy("noise").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("match").isNotNull()).alias("matched"),
+        F.count_if(F.col("true_label").isNotNull() & (F.col("match") == F.col("true_label"))).alias("correct"),
+        F.count_if(F.col("true_label").isNotNull()).alias("labeled"),
+        F.count_if(F.col("true_label").isNull() & F.col("match").isNull()).alias("novel_rejected"),
+        F.count_if(F.col("true_label").isNull()).alias("novel"))
+    return out.select("*", F.try_divide(F.col("correct"), F.col("labeled")).alias("accuracy"),
+                      F.try_divide(F.col("novel_rejected"), F.col("novel")).alias("rejection_rate"))
