@@ -119,3 +119,81 @@ def relation_algebra(rel: DataFrame) -> DataFrame:
     err = j.groupBy("r1", "r2", "r3").agg(F.avg(F.abs(wrap(F.col("v1") + F.col("v2") - F.col("v3")))).alias("err"))
     w = Window.partitionBy("r1", "r2").orderBy(F.round("err", 9), F.col("r3"))
     return err.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1).drop("rk")
+
+
+def _vadd(a, b):
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _vsub(a, b):
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _vnorm(a):
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def _vscale(a, s):
+    return F.transform(a, lambda x: x * s)
+
+
+def fit_translational(train: DataFrame, candidates: DataFrame, entities: DataFrame, dim: int = 8,
+                      rounds: int = 20, lr: float = 0.1, margin: float = 1.0, seed: int = 0):
+    """Fit translational embeddings with synchronous rounds.
+
+    Each round scores every training triple against one corrupted tail drawn
+    (keyed uniform) from the relation's candidate tails; triples violating
+    the margin contribute ``unit(p) - unit(n)`` to head and relation,
+    ``-unit(p)`` to the true tail and ``+unit(n)`` to the corrupted tail.
+    Gradients are averaged per entity (partial aggregation absorbs hot
+    entities; averaging keeps a hub's step size independent of its degree),
+    applied, entities are projected into the unit ball, and the
+    tables are checkpointed.  Returns (entity (id, d, v), relation (rel, d, v)).
+    """
+    from eventlake.functions.rng import hash_uniform
+    from eventlake.session import cut_lineage
+
+    def init(df, key, scale, salt):
+        return df.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                          lambda d: (hash_uniform(seed + salt, F.col(key), d) * 2 - 1) * F.lit(scale)).alias("vec"))
+
+    E = cut_lineage(init(entities.select(F.col("id")), "id", 0.5, 1))
+    R = cut_lineage(init(train.select("rel").distinct(), "rel", 0.1, 2))
+    cands = candidates.groupBy("rel").agg(F.array_sort(F.collect_set("tail")).alias("cands"))   # bounded by type size
+    tr = train.select("head", "rel", "tail").join(F.broadcast(cands), "rel")
+    for rnd in range(rounds):
+        u = hash_uniform(seed, F.lit(rnd), F.col("head"), F.col("rel"), F.col("tail"))
+        pick = F.element_at(F.col("cands"), (F.floor(u * F.size("cands")) + 1).cast("int"))
+        t = (tr.select("head", "rel", "tail", pick.alias("tn")).filter(F.col("tn") != F.col("tail"))
+             .join(E.select(F.col("id").alias("head"), F.col("vec").alias("eh")), "head")
+             .join(R.select("rel", F.col("vec").alias("er")), "rel")
+             .join(E.select(F.col("id").alias("tail"), F.col("vec").alias("et")), "tail")
+             .join(E.select(F.col("id").alias("tn"), F.col("vec").alias("en")), "tn"))
+        p = _vsub(_vadd("eh", "er"), F.col("et"))
+        n = _vsub(_vadd("eh", "er"), F.col("en"))
+        t = t.select("head", "rel", "tail", "tn", p.alias("p"), n.alias("n"))
+        t = t.filter(F.lit(margin) + _vnorm(F.col("p")) - _vnorm(F.col("n")) > 0)
+        dp = _vscale(F.col("p"), F.lit(1.0) / F.greatest(_vnorm(F.col("p")), F.lit(1e-12)))
+        dn = _vscale(F.col("n"), F.lit(1.0) / F.greatest(_vnorm(F.col("n")), F.lit(1e-12)))
+        g = t.select("head", "rel", "tail", "tn", _vsub(dp, dn).alias("g"), dp.alias("dp"), dn.alias("dn"))
+        ent_grads = (g.select(F.col("head").alias("id"), F.col("g").alias("gv"))
+                     .unionByName(g.select(F.col("tail").alias("id"), _vscale(F.col("dp"), F.lit(-1.0)).alias("gv")))
+                     .unionByName(g.select(F.col("tn").alias("id"), F.col("dn").alias("gv"))))
+        eg = (ent_grads.select("id", F.posexplode("gv").alias("d", "x")).groupBy("id", "d").agg(F.avg("x").alias("x"))
+              .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("gm")))
+        rg = (g.select("rel", F.posexplode("g").alias("d", "x")).groupBy("rel", "d").agg(F.avg("x").alias("x"))
+              .groupBy("rel").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("gm")))
+
+        def apply(tab, grads, key):
+            j = tab.join(grads, key, "left")
+            step = F.transform("vec", lambda v, d: v - F.lit(lr) * F.coalesce(F.element_at(F.col("gm"), d), F.lit(0.0)))
+            return j.select(key, step.alias("vec"))
+
+        E2 = apply(E, eg, "id")
+        nrm = _vnorm(F.col("vec"))
+        E = cut_lineage(E2.select("id", F.when(nrm > 1.0, _vscale(F.col("vec"), F.lit(1.0) / nrm)).otherwise(F.col("vec"))
+                                  .alias("vec")))
+        R = cut_lineage(apply(R, rg, "rel"))
+    ent = E.select("id", F.posexplode("vec").alias("d", "v"))
+    rel = R.select("rel", F.posexplode("vec").alias("d", "v"))
+    return ent, rel

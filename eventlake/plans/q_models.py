@@ -484,3 +484,13 @@ def q_affinity(spark, sf):
     usage = readout.expert_usage(_routes(spark, sf))
     r = readout.affinity_route(_counts(spark, sf), ew, usage, T, TOP_K)
     return r.select("window_id", "expert", "rk")
+
+
+@query("link_fit_metrics", None, note="fit translational embeddings (synchronous rounds), then Hits@k / MRR on held-out triples")
+def q_link_fit(spark, sf):
+    tr, ents, rels, cands = _kg(spark, sf)
+    u = hash_uniform(KG_SEED, F.col("head"), F.col("rel"), F.col("tail"))
+    train, test = tr.filter(u >= 0.15), tr.filter(u < 0.15)
+    ev, rv = graph.fit_translational(train, cands, ents, dim=DIM, rounds=5)
+    ranks = graph.link_ranks(test, cands, ev, rv)
+    return graph.link_metrics(ranks)
