@@ -41,7 +41,7 @@ def lines_df(spark, sf):
 
 
 def _explode_vals(df):
-    return df.select("line_id", F.posexplode("vals").alias("i", "v")).select(
+    return df.select("line_id", F.posexplode_outer("vals").alias("i", "v")).select(
         "line_id", F.col("i").cast("bigint").alias("i"), "v")
 
 

@@ -29,11 +29,12 @@ def _tokens(c: Column) -> Column:
 def numeric_lines(lines: DataFrame, id_col: str = "line_id", text: str = "line") -> DataFrame:
     """Comma- or space-separated numbers -> (id, vals ARRAY<DOUBLE>); blank,
     '#' comments and garbage are dropped (see :func:`numeric_rejects`)."""
-    s = _strip(F.col(text))
-    toks = _tokens(F.col(text))
-    ok = ((s != "") & ~s.startswith("#")
-          & F.forall(toks, lambda x: x.rlike(NUMBER_RE)))
-    return lines.filter(ok).select(id_col, F.transform(toks, lambda x: x.try_cast("double")).alias("vals"))
+    # materialise the stripped line and its tokens once; the checks and the
+    # conversion below only read these columns
+    d = lines.select(id_col, _strip(F.col(text)).alias("__s"), _tokens(F.col(text)).alias("__toks"))
+    ok = ((F.col("__s") != "") & ~F.col("__s").startswith("#")
+          & F.forall("__toks", lambda x: x.rlike(NUMBER_RE)))
+    return d.filter(ok).select(id_col, F.transform("__toks", lambda x: x.try_cast("double")).alias("vals"))
 
 
 def numeric_rejects(lines: DataFrame, id_col: str = "line_id", text: str = "line") -> DataFrame:
