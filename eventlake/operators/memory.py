@@ -41,6 +41,21 @@ class MemoryIndex:
             P, cnt = cut_lineage(P), cut_lineage(cnt)
         self.P, self.cnt = P, cnt
         self._ranked = None
+        self._bank_arrays = None
+        self._checkpoint = checkpoint
+
+    @property
+    def bank_arrays(self) -> DataFrame:
+        """Per bank: neurons in untouched order, neuron -> count map, P
+        (N + distinct neurons entries per bank, built once per index)."""
+        if self._bank_arrays is None:
+            b = (self.ranked.groupBy("bank").agg(F.array_sort(F.collect_list(F.struct("rank", "neuron"))).alias("__r"))
+                 .select("bank", F.transform("__r", lambda x: x["neuron"]).alias("ranked"))
+                 .join(self.cnt.groupBy("bank").agg(
+                     F.map_from_entries(F.collect_list(F.struct("neuron", "cnt"))).alias("cmap")), "bank", "left")
+                 .join(self.P, "bank"))
+            self._bank_arrays = cut_lineage(b) if self._checkpoint else b
+        return self._bank_arrays
 
     @property
     def ranked(self) -> DataFrame:
@@ -53,7 +68,7 @@ class MemoryIndex:
         return self._ranked
 
 
-def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512) -> DataFrame:
+def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512, as_sets: bool = False) -> DataFrame:
     """One kWTA step for every cue: (bank, cue_id, neuron) of the new active set.
 
     Candidates per cue: neurons touched by an overlapping pattern or active
@@ -73,7 +88,7 @@ def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512)
     o = (ov.join(idx.by_pattern, ["bank", "pattern_id"]).groupBy("bank", "cue_id", "neuron")
          .agg(F.sum("ov").alias("O")))
     if n <= dense_limit:
-        return _step_arrays(idx, cues, o, n, k)
+        return _step_arrays(idx, cues, o, n, k, as_sets)
     else:
         touched = o.select("bank", "cue_id", "neuron").unionByName(cues).distinct()
         nt = touched.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("nt"))
@@ -95,18 +110,14 @@ def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512)
             .filter(F.col("rk") <= k).select("bank", "cue_id", "neuron"))
 
 
-def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int) -> DataFrame:
+def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int, as_sets: bool = False) -> DataFrame:
     """Array form of the step for moderate N: one row per cue carrying its
     touched neurons (<= N) and its bank's neuron ranking (N entries); the
     field and the top-k are evaluated with higher-order functions, so no
     per-(cue, neuron) rows are shuffled."""
     a = k / n
     hi2, lo2 = (1 - a) ** 2, a * a
-    bank = (idx.ranked.groupBy("bank").agg(F.array_sort(F.collect_list(F.struct("rank", "neuron"))).alias("__r"))
-            .select("bank", F.transform("__r", lambda x: x["neuron"]).alias("ranked"))
-            .join(idx.cnt.groupBy("bank").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "cnt"))).alias("cmap")),
-                  "bank", "left")
-            .join(idx.P, "bank"))
+    bank = idx.bank_arrays
     cue = cues.groupBy("bank", "cue_id").agg(F.array_distinct(F.collect_list("neuron")).alias("s"))
     ol = o.groupBy("bank", "cue_id").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "O"))).alias("omap"))
     t = cue.join(ol, ["bank", "cue_id"], "left").join(bank, "bank")
@@ -126,30 +137,41 @@ def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int
     free = F.slice(F.filter(head, lambda i: ~F.array_contains(F.col("touched"), i)), 1, k)
     free_scored = F.transform(free, lambda i: F.struct((F.lit(a) * m * cnt_of(i)).alias("ns"), i.alias("neuron")))
     top = F.slice(F.array_sort(F.concat(scored, free_scored)), 1, k)
+    if as_sets:
+        new = F.array_sort(F.transform(top, lambda x: x["neuron"]))
+        return t.select("bank", "cue_id", new.alias("new"), (new != F.array_sort(F.col("s"))).alias("changed"))
     return t.select("bank", "cue_id", F.explode(top).alias("x")).select("bank", "cue_id", F.col("x.neuron").alias("neuron"))
 
 
-def recall(memory: DataFrame, cues: DataFrame, n: int, k: int, steps: int = 8) -> DataFrame:
+def recall(memory: DataFrame, cues: DataFrame, n: int, k: int, steps: int = 8, dense_limit: int = 512) -> DataFrame:
     """Iterate :func:`recall_step` until each cue's set is a fixed point or
     ``steps`` is reached; settled cues leave the loop.  The memory index is
-    built and partitioned once; the active cue set is checkpointed each step
+    built and partitioned once; the per-cue result is checkpointed each step
     (reliable checkpoint, shared folder), so lineage stays one step deep.
     Returns (bank, cue_id, neuron, steps_used)."""
     idx = MemoryIndex(memory, n, checkpoint=True)
     parts = []
     active = cut_lineage(cues.select("bank", "cue_id", "neuron"))
     for step in range(1, steps + 1):
-        new = cut_lineage(recall_step(idx, active, n, k))
-        if step == steps:
-            parts.append(new.withColumn("steps_used", F.lit(step)))
-            break
-        changed = (active.select("bank", "cue_id", "neuron", F.lit(1).alias("d"))
-                   .unionByName(new.select("bank", "cue_id", "neuron", F.lit(-1).alias("d")))
-                   .groupBy("bank", "cue_id", "neuron").agg(F.sum("d").alias("d"))
-                   .groupBy("bank", "cue_id").agg(F.max(F.abs("d")).alias("changed")))
-        tagged = cut_lineage(new.join(changed, ["bank", "cue_id"]))
-        parts.append(tagged.filter(F.col("changed") == 0).drop("changed").withColumn("steps_used", F.lit(step)))
-        active = tagged.filter(F.col("changed") != 0).drop("changed")
+        if n <= dense_limit:
+            res = cut_lineage(recall_step(idx, active, n, k, dense_limit, as_sets=True))
+            done = res if step == steps else res.filter(~F.col("changed"))
+            parts.append(done.select("bank", "cue_id", F.explode("new").alias("neuron"), F.lit(step).alias("steps_used")))
+            if step == steps:
+                break
+            active = res.filter(F.col("changed")).select("bank", "cue_id", F.explode("new").alias("neuron"))
+        else:
+            new = cut_lineage(recall_step(idx, active, n, k, dense_limit))
+            if step == steps:
+                parts.append(new.withColumn("steps_used", F.lit(step)))
+                break
+            changed = (active.select("bank", "cue_id", "neuron", F.lit(1).alias("d"))
+                       .unionByName(new.select("bank", "cue_id", "neuron", F.lit(-1).alias("d")))
+                       .groupBy("bank", "cue_id", "neuron").agg(F.sum("d").alias("d"))
+                       .groupBy("bank", "cue_id").agg(F.max(F.abs("d")).alias("changed")))
+            tagged = cut_lineage(new.join(changed, ["bank", "cue_id"]))
+            parts.append(tagged.filter(F.col("changed") == 0).drop("changed").withColumn("steps_used", F.lit(step)))
+            active = tagged.filter(F.col("changed") != 0).drop("changed")
         if active.isEmpty():
             break
     out = parts[0]
