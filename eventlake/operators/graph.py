@@ -197,3 +197,65 @@ def fit_translational(train: DataFrame, candidates: DataFrame, entities: DataFra
     ent = E.select("id", F.posexplode("vec").alias("d", "v"))
     rel = R.select("rel", F.posexplode("vec").alias("d", "v"))
     return ent, rel
+
+
+def fit_rotational(train: DataFrame, candidates: DataFrame, entities: DataFrame, dim: int = 8, rounds: int = 20,
+                   lr: float = 0.1, margin: float = 1.0, negatives: int = 5, seed: int = 0):
+    """Fit phase embeddings (rotations) with synchronous rounds, K negative
+    tails per triple, learning rate decayed linearly to 30%.  Per dimension
+    ``dp = wrap(th_h + ph_r - th_t)``; a margin violation moves head and
+    relation by ``-g(dp) + g(dn)``, the tail by ``g(dp)`` and the negative by
+    ``-g(dn)`` with ``g(x) = sign(x) cos(x/2)``; updates are averaged per
+    entity and phases kept in [0, 2pi).  Returns (entity, relation) phase rows."""
+    from eventlake.functions.rng import hash_uniform
+    from eventlake.session import cut_lineage
+    two_pi = 2 * math.pi
+
+    def init(df, key, lo, hi, salt):
+        return df.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.lit(lo) + hash_uniform(
+            seed + salt, F.col(key), d) * F.lit(hi - lo)).alias("vec"))
+
+    def score(a, b, c):
+        return F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: x + y), c, lambda x, y: x - y), F.lit(0.0),
+                           lambda acc, x: acc + F.lit(2.0) * F.abs(F.sin(wrap(x) / F.lit(2.0))))
+
+    def grad(a, b, c):
+        return F.transform(F.zip_with(F.zip_with(a, b, lambda x, y: x + y), c, lambda x, y: x - y),
+                           lambda x: F.signum(wrap(x)) * F.cos(wrap(x) / F.lit(2.0)))
+
+    E = cut_lineage(init(entities.select("id"), "id", 0.0, two_pi, 3))
+    R = cut_lineage(init(train.select("rel").distinct(), "rel", -0.3, 0.3, 4))
+    cands = candidates.groupBy("rel").agg(F.array_sort(F.collect_set("tail")).alias("cands"))
+    tr = train.select("head", "rel", "tail").join(F.broadcast(cands), "rel")
+    for rnd in range(rounds):
+        step_lr = lr * (1.0 - 0.7 * rnd / max(1, rounds))
+        negs = tr.select("head", "rel", "tail", "cands", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("j"))
+        u = hash_uniform(seed, F.lit(rnd), F.col("j"), F.col("head"), F.col("rel"), F.col("tail"))
+        pick = F.element_at(F.col("cands"), (F.floor(u * F.size("cands")) + 1).cast("int"))
+        t = (negs.select("head", "rel", "tail", pick.alias("tn")).filter(F.col("tn") != F.col("tail"))
+             .join(E.select(F.col("id").alias("head"), F.col("vec").alias("eh")), "head")
+             .join(R.select("rel", F.col("vec").alias("er")), "rel")
+             .join(E.select(F.col("id").alias("tail"), F.col("vec").alias("et")), "tail")
+             .join(E.select(F.col("id").alias("tn"), F.col("vec").alias("en")), "tn"))
+        t = t.filter(F.lit(margin) + score(F.col("eh"), F.col("er"), F.col("et"))
+                     - score(F.col("eh"), F.col("er"), F.col("en")) > 0)
+        g = t.select("head", "rel", "tail", "tn", grad(F.col("eh"), F.col("er"), F.col("et")).alias("gp"),
+                     grad(F.col("eh"), F.col("er"), F.col("en")).alias("gn"))
+        hr = F.zip_with("gp", "gn", lambda p, n: -p + n)
+        ent_up = (g.select(F.col("head").alias("id"), hr.alias("u"))
+                  .unionByName(g.select(F.col("tail").alias("id"), F.col("gp").alias("u")))
+                  .unionByName(g.select(F.col("tn").alias("id"), _vscale(F.col("gn"), F.lit(-1.0)).alias("u"))))
+
+        def avg_by(df, key):
+            return (df.select(key, F.posexplode("u").alias("d", "x")).groupBy(key, "d").agg(F.avg("x").alias("x"))
+                    .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("gm")))
+
+        def apply(tab, ups, key):
+            j = tab.join(ups, key, "left")
+            nv = F.transform("vec", lambda v, d: F.pmod(v + F.lit(step_lr) * F.coalesce(F.element_at(F.col("gm"), d),
+                                                                                        F.lit(0.0)), F.lit(two_pi)))
+            return j.select(key, nv.alias("vec"))
+
+        E = cut_lineage(apply(E, avg_by(ent_up, "id"), "id"))
+        R = cut_lineage(apply(R, avg_by(g.select("rel", hr.alias("u")), "rel"), "rel"))
+    return (E.select("id", F.posexplode("vec").alias("d", "v")), R.select("rel", F.posexplode("vec").alias("d", "v")))

@@ -494,3 +494,12 @@ def q_link_fit(spark, sf):
     ev, rv = graph.fit_translational(train, cands, ents, dim=DIM, rounds=5)
     ranks = graph.link_ranks(test, cands, ev, rv)
     return graph.link_metrics(ranks)
+
+
+@query("link_fit_rotational", None, note="fit phase embeddings (synchronous rounds, K negatives), then Hits@k / MRR")
+def q_link_fit_rot(spark, sf):
+    tr, ents, rels, cands = _kg(spark, sf)
+    u = hash_uniform(KG_SEED, F.col("head"), F.col("rel"), F.col("tail"))
+    train, test = tr.filter(u >= 0.15), tr.filter(u < 0.15)
+    ep, rp = graph.fit_rotational(train, cands, ents, dim=DIM, rounds=5)
+    return graph.link_metrics(graph.link_ranks(test, cands, ep, rp, kind="rotational"))
