@@ -15,9 +15,15 @@ def _col(c: Column | str) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def ntz_literal(value: str | _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal that never passes through the session zone
+    (a Python datetime literal would be read as a zoned TIMESTAMP first)."""
+    text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else str(value)
+    return F.expr(f"TIMESTAMP_NTZ'{text}'")
+
+
 def micros_since(ts: Column | str, epoch: str = EVENT_EPOCH) -> Column:
-    start = F.lit(_dt.datetime.fromisoformat(epoch)).cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, _col(ts).cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", ntz_literal(epoch), _col(ts).cast("timestamp_ntz"))
 
 
 def millis_since(ts: Column | str, epoch: str = EVENT_EPOCH) -> Column:

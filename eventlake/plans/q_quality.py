@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventlake.functions.timecols import ntz_literal
 from eventlake.operators import medallion, quality, stats
 from eventlake.plans.common import BIN, DAY, SPIKES_SQL, spikes
 from eventlake.plans.q_ingest import JSON_SQL, json_df
@@ -69,7 +70,7 @@ BAND_SQL = (f"SELECT metric, count(*) AS n, avg(value) AS mean, CASE WHEN count(
 
 def _runs(spark, sf, new=False):
     li = table(spark, sf, "lineitem")
-    cond = F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")
+    cond = F.col("l_shipdate") >= ntz_literal("1999-01-01 00:00:00")
     return li.filter(cond if new else ~cond).select(F.col("l_returnflag").alias("metric"),
                                                    F.col("l_discount").alias("value"))
 

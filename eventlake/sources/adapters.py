@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.timecols import millis_since, ts_at_millis
+from eventlake.functions.timecols import millis_since, ntz_literal, ts_at_millis
 from eventlake.operators.ordered import seq_number
 
 # Event types in alphabetical order; the position is the channel.
@@ -30,9 +30,9 @@ def _index_of(col: str, values: Sequence[str]):
 
 def _event_filter(events: DataFrame, t0: int | None, t1: int | None) -> DataFrame:
     if t0 is not None:
-        events = events.filter(F.col("ts") >= F.lit(ts_at_millis(t0)).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") >= ntz_literal(ts_at_millis(t0)))
     if t1 is not None:
-        events = events.filter(F.col("ts") < F.lit(ts_at_millis(t1)).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") < ntz_literal(ts_at_millis(t1)))
     return events
 
 
@@ -91,7 +91,7 @@ CAM_DUR = 300_000
 
 def camera(lineitem: DataFrame) -> DataFrame:
     """Event-camera events: sample = (order, return flag), pixel from part/supplier, t from ship date."""
-    day = F.timestamp_diff("DAY", F.lit("1992-01-01").cast("timestamp_ntz"), F.col("l_shipdate"))
+    day = F.timestamp_diff("DAY", ntz_literal("1992-01-01 00:00:00"), F.col("l_shipdate"))
     label = _index_of("l_returnflag", RETURN_FLAGS)
     return lineitem.select(
         (F.col("l_orderkey") * F.lit(4) + label).alias("sample_id"),

@@ -99,3 +99,19 @@ def test_icr_matches_gzip_of_raster(spark):
     for r in sil.collect():
         raster[r.channel * 40 + r.bin] = min(255, r.spikes)
     assert got == pytest.approx(len(gzip.compress(bytes(raster), 9)) / len(raster))
+
+
+def test_event_time_is_zone_free(spark):
+    import sys, os
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as E
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        counts = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            counts.append((E.queries()["window_query"](spark, "/root/testdata/sf0.01").count(),
+                           E.queries()["event_count"](spark, "/root/testdata/sf0.01").first().n_events))
+        assert counts[0] == counts[1] == counts[2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
