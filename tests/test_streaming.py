@@ -62,3 +62,24 @@ def test_stream_coincidence_and_reflex_state_across_batches(spark):
     q = patterns.compile_query([1, 2, 3], 40, 2)
     ev = sorted((t, c) for _, c, t in rows)
     assert got == sorted(patterns.run_detector([e[0] for e in ev], [e[1] for e in ev], q, "subdetector"))
+
+
+def test_live_loop_outcomes_apply_to_last_window(spark):
+    import json
+    base = run_dir(spark, "t-live")
+    schema = "device_id long, seq long, kind string, vals array<double>, reward double"
+    rows = [(1, 1, "outcome", None, 1.0),                    # before any signal: ignored
+            (1, 2, "signal", [1.0, 0.0, 5.0], None), (1, 3, "outcome", None, 1.0),
+            (1, 4, "signal", [1.0, 0.0, 5.0], None), (1, 5, "signal", [5000.0, 0.0, 0.0], None)]
+    spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(f"{base}/src/a")
+    spark.createDataFrame(rows[3:], schema).coalesce(1).write.parquet(f"{base}/src/b")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+    lib = {"X": [1.0] + [0.0] * 63, "Y": [0.0, 1.0] + [0.0] * 62}
+    out = stateful.live_loop(stream, lib, [(0, -50.0, 800.0, "STOP")])
+    (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    ev = {r.seq: json.loads(r.event) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert 1 not in ev
+    assert "match" in ev[2] and ev[3]["outcome"] == 1.0 and ev[3]["dopamine"] == 1.0
+    assert ev[4]["valence"] > 0                               # learned from the outcome (state across batches)
+    assert ev[5]["reflex"] == "STOP" and ev[5]["stress"] > 0
