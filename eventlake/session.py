@@ -52,3 +52,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20,
+             max_partitions: int = 200_000) -> dict:
+    """Size shuffles and scans for an input volume (e.g. 100 TB on a large cluster).
+
+    Shuffle partitions ~ input / 256 MB (AQE coalesces small ones and splits
+    skewed ones at runtime); scan splits of 128 MB keep task memory bounded.
+    Returns the settings applied.
+    """
+    parts = max(1, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

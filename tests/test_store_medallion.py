@@ -115,3 +115,14 @@ def test_event_time_is_zone_free(spark):
         assert counts[0] == counts[1] == counts[2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_size_for_scales_partitions(spark):
+    from eventlake.session import size_for
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = size_for(spark, 100 * (1 << 40))
+        assert int(conf["spark.sql.shuffle.partitions"]) == 200_000      # capped
+        assert int(size_for(spark, 10 << 30)["spark.sql.shuffle.partitions"]) == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
