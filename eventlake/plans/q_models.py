@@ -440,7 +440,23 @@ def q_rel_algebra(spark, sf):
 SWEEP_DROPS = [0.1, 0.25, 0.5]
 
 
-@query("recall_sweep", None, note="parameter grid x recall step in one job")
+_GRID_VALUES = ", ".join(f"({g}, CAST({f!r} AS DOUBLE))" for g, f in enumerate(SWEEP_DROPS))
+SWEEP_SQL = ("WITH mem AS (SELECT DISTINCT o.o_custkey AS bank, l.l_orderkey AS pattern_id, "
+             "CAST(l.l_partkey % 256 AS INTEGER) AS neuron FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey), "
+             f"grids AS (SELECT * FROM (VALUES {_GRID_VALUES}) v(g, frac)), "
+             f"cue AS (SELECT bank, pattern_id * 8 + g AS cue_id, neuron FROM mem, grids "
+             f"WHERE {sql_hash_uniform(CUE_SEED, 'pattern_id', 'neuron')} >= frac "
+             "UNION SELECT DISTINCT bank, pattern_id * 8 + g AS cue_id, CAST((pattern_id * 7 + 3) % 256 AS INTEGER) AS neuron "
+             f"FROM mem, grids), {STEP_SQL}, "
+             "hit AS (SELECT s.bank, s.cue_id, count(*) AS hit FROM step s JOIN mem mm ON mm.bank = s.bank "
+             "AND mm.pattern_id = s.cue_id // 8 AND mm.neuron = s.neuron GROUP BY ALL), "
+             f"per AS (SELECT CAST(c.cue_id % 8 AS INTEGER) AS grid, coalesce(hit.hit, 0) / {float(MEM_K)} AS overlap "
+             "FROM (SELECT DISTINCT bank, cue_id FROM cue) c LEFT JOIN hit USING (bank, cue_id)) "
+             "SELECT p.grid, avg(p.overlap) AS mean_overlap, count(*) AS n_cues, g.frac AS drop_fraction FROM per p "
+             "JOIN grids g ON g.g = p.grid GROUP BY p.grid, g.frac")
+
+
+@query("recall_sweep", SWEEP_SQL, note="parameter grid x recall step in one job")
 def q_recall_sweep(spark, sf):
     li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
