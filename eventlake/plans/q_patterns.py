@@ -47,9 +47,46 @@ def _coinc(detector):
     return build
 
 
-query("coincidence_match", None, note="reference deque detector: ordered fold with reset")(_coinc("reference"))
-query("coincidence_subdetector", None, note="one-shot sub-detectors: ordered fold with reset")(_coinc("subdetector"))
-query("coincidence_total", None, note="total-count detector: ordered fold with reset")(_coinc("total"))
+def _detector_sql(kind: str) -> str:
+    """DuckDB twin of a reset detector: a recursive CTE over the stream's
+    queried events in (t, channel) order carrying the open window (and the
+    per-channel refractory map) as lists."""
+    W, K = COINC_W, COINC_K
+    ev = (f"e AS (SELECT stream_id, t, channel, row_number() OVER (PARTITION BY stream_id ORDER BY t, channel) AS rn "
+          f"FROM ({SPIKES_SQL}) WHERE channel IN ({_CH}))")
+    empty_w = "CAST([] AS STRUCT(t BIGINT, c INTEGER)[])"
+    empty_l = "CAST([] AS STRUCT(c INTEGER, t BIGINT)[])"
+    if kind == "subdetector":
+        # blocked = refractory (no pulse); else pulse joins the window
+        blocked = "len(list_filter(p.last, lambda x: x.c = e.channel AND e.t - x.t < {W})) > 0".format(W=W)
+        win = (f"list_filter(list_append(p.win, struct_pack(t := e.t, c := e.channel)), lambda x: x.t > e.t - {W})")
+        last = ("list_append(list_filter(p.last, lambda x: x.c <> e.channel), struct_pack(c := e.channel, t := e.t))")
+        step = (f"SELECT e.stream_id, e.rn, e.t, CASE WHEN {blocked} THEN p.win ELSE {win} END AS w, "
+                f"CASE WHEN {blocked} THEN p.last ELSE {last} END AS l, NOT ({blocked}) AS pulsed "
+                "FROM r p JOIN e ON e.stream_id = p.stream_id AND e.rn = p.rn + 1")
+        base = (f"SELECT stream_id, rn, t, [struct_pack(t := t, c := channel)] AS w, "
+                f"[struct_pack(c := channel, t := t)] AS l, true AS pulsed FROM e WHERE rn = 1")
+    else:
+        win = f"list_filter(list_append(p.win, struct_pack(t := e.t, c := e.channel)), lambda x: x.t > e.t - {W})"
+        step = (f"SELECT e.stream_id, e.rn, e.t, {win} AS w, {empty_l} AS l, true AS pulsed "
+                "FROM r p JOIN e ON e.stream_id = p.stream_id AND e.rn = p.rn + 1")
+        base = (f"SELECT stream_id, rn, t, [struct_pack(t := t, c := channel)] AS w, {empty_l} AS l, true AS pulsed "
+                "FROM e WHERE rn = 1")
+    count = "len(w)" if kind == "total" else "len(list_distinct(list_transform(w, lambda x: x.c)))"
+    hit = f"(pulsed AND {count} >= {K})"
+    return (f"WITH RECURSIVE {ev}, r AS ("
+            f"SELECT stream_id, rn, t, CASE WHEN {hit} THEN {empty_w} ELSE w END AS win, "
+            f"CASE WHEN {hit} THEN {empty_l} ELSE l END AS last, {hit} AS hit FROM ({base}) "
+            f"UNION ALL SELECT stream_id, rn, t, CASE WHEN {hit} THEN {empty_w} ELSE w END, "
+            f"CASE WHEN {hit} THEN {empty_l} ELSE l END, {hit} FROM ({step})) "
+            "SELECT stream_id, t FROM r WHERE hit")
+
+
+query("coincidence_match", _detector_sql("reference"), note="reference deque detector: ordered fold with reset")(
+    _coinc("reference"))
+query("coincidence_subdetector", _detector_sql("subdetector"), note="one-shot sub-detectors: ordered fold with reset")(
+    _coinc("subdetector"))
+query("coincidence_total", _detector_sql("total"), note="total-count detector: ordered fold with reset")(_coinc("total"))
 
 
 @query("pattern_events_read",
