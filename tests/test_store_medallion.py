@@ -126,3 +126,14 @@ def test_size_for_scales_partitions(spark):
         assert int(size_for(spark, 10 << 30)["spark.sql.shuffle.partitions"]) == 40
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_facade_round_trip(spark):
+    from eventlake import EventLake
+    lake = EventLake(spark, _ev(spark, [("s", c, t) for c in range(3) for t in range(0, 300, 7 + c)]))
+    assert lake.window(0, 50, [1]).count() == len(range(0, 50, 8))
+    assert lake.count().first().n_events == sum(len(range(0, 300, 7 + c)) for c in range(3))
+    assert lake.gold(50).count() == 3
+    assert lake.gate(3, 300, window=50)["rows"] > 0
+    assert lake.sequence([0, 1], 5).count() > 0
+    assert lake.coincidence([0, 1, 2], 10, 2).count() > 0
