@@ -42,12 +42,14 @@ def _lat(src, key, where=""):
             f"FROM {src} WHERE v >= {FLOOR} {where}")
 
 
-def _vr_sql(lib_where=""):
-    """CTEs up to `dist` (window_id, label, dist) for test windows vs the library."""
-    return (f"WITH {NORM_SQL}, {SPLIT_SQL}, {PROTO_SQL}, "
+def _vr_sql(lib_where="", extra_ctes="", win_src="norm", tw_src=None):
+    """CTEs up to `dist` (window_id, label, dist) for test windows vs the library.
+    ``win_src``/``tw_src`` swap in other window rows (e.g. noisy copies)."""
+    tw = tw_src or "SELECT window_id, label AS true_label FROM split WHERE split = 'test'"
+    return (f"WITH {NORM_SQL}, {SPLIT_SQL}, {PROTO_SQL}, {extra_ctes}"
             f"lib AS (SELECT DISTINCT label FROM proto WHERE 1=1 {lib_where}), "
-            f"tw AS (SELECT window_id, label AS true_label FROM split WHERE split = 'test'), "
-            f"we AS ({_lat('norm', 'window_id', 'AND window_id IN (SELECT window_id FROM tw)')}), "
+            f"tw AS ({tw}), "
+            f"we AS ({_lat(win_src, 'window_id', 'AND window_id IN (SELECT window_id FROM tw)')}), "
             f"re AS ({_lat('proto', 'label', 'AND label IN (SELECT label FROM lib)')}), "
             f"sw AS (SELECT tw.window_id, coalesce(sum({_k('we.t', 'we.t')}), 0.0) AS sw FROM tw "
             f"LEFT JOIN we USING (window_id) GROUP BY tw.window_id), "
@@ -272,7 +274,29 @@ NOISE_LEVELS = [0.0, 0.1, 0.2, 0.4]
 NOISE_SEED = 13
 
 
-@query("noise_sweep", None, note="grid of noise levels x ratio-test matcher, one job")
+_LEVELS_SQL = ", ".join(f"({g}, CAST({x!r} AS DOUBLE))" for g, x in enumerate(NOISE_LEVELS))
+_KNOWN_SQL = ", ".join(repr(x) for x in KNOWN_LABELS)
+NOISE_SQL = (_vr_sql(f" AND label IN ({_KNOWN_SQL})",
+                     extra_ctes=(f"lv AS (SELECT * FROM (VALUES {_LEVELS_SQL}) v(level, noise)), "
+                                 "tst AS (SELECT n.window_id, n.label, n.i, n.v FROM norm n JOIN split s USING (window_id) "
+                                 "WHERE s.split = 'test'), "
+                                 "nz AS (SELECT tst.window_id * 8 + lv.level AS window_id, tst.label, lv.noise, tst.i, "
+                                 f"least(1.0, greatest(0.0, tst.v + ({sql_hash_uniform(NOISE_SEED, 'tst.window_id', 'tst.i', 'lv.level')}"
+                                 " * 2 - 1) * lv.noise)) AS v FROM tst, lv), "),
+                     win_src="nz",
+                     tw_src="SELECT DISTINCT window_id, label AS true_label, noise FROM nz")
+             + f", {_BEST2}, r AS (SELECT m.window_id, tw.noise, CASE WHEN matched THEN best_label END AS mt, "
+             f"CASE WHEN tw.true_label IN ({_KNOWN_SQL}) THEN tw.true_label END AS tl FROM m JOIN tw USING (window_id)) "
+             "SELECT noise, count(*) AS events, count(mt) AS matched, "
+             "count(*) FILTER (WHERE tl IS NOT NULL AND mt = tl) AS correct, count(tl) AS labeled, "
+             "count(*) FILTER (WHERE tl IS NULL AND mt IS NULL) AS novel_rejected, count(*) FILTER (WHERE tl IS NULL) AS novel, "
+             "CASE WHEN count(tl) = 0 THEN NULL ELSE count(*) FILTER (WHERE tl IS NOT NULL AND mt = tl) / count(tl) END "
+             "AS accuracy, CASE WHEN count(*) FILTER (WHERE tl IS NULL) = 0 THEN NULL ELSE "
+             "count(*) FILTER (WHERE tl IS NULL AND mt IS NULL) / count(*) FILTER (WHERE tl IS NULL) END AS rejection_rate "
+             "FROM r GROUP BY noise")
+
+
+@query("noise_sweep", NOISE_SQL, note="grid of noise levels x ratio-test matcher, one job")
 def q_noise_sweep(spark, sf):
     from eventlake.functions.rng import hash_uniform
     sp = _split(spark, sf)
