@@ -137,3 +137,15 @@ def test_facade_round_trip(spark):
     assert lake.gate(3, 300, window=50)["rows"] > 0
     assert lake.sequence([0, 1], 5).count() > 0
     assert lake.coincidence([0, 1, 2], 10, 2).count() > 0
+
+
+def test_adapter_pushes_time_and_channels_to_scan(spark):
+    import os, sys
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as E
+    df = E.queries()["window_query_channels"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [l for l in plan.split("\n") if "PushedFilters" in l][0]
+    assert "user_id" in scan and "GreaterThanOrEqual(ts" in scan and "LessThan(ts" in scan
+    # only the needed columns are read
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
