@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import documents
+from eventlake.llm.common import documents, pages
 from eventlake.llm.exact_dedup import exact_groups
+from eventlake.llm.pii import scan_personal_data
+from eventlake.llm.quality import is_held_out, score_quality
 from eventlake.llm.secrets import scan_secrets
 from eventlake.llm.tokens import count_tokens
+from eventlake.llm.warc import archive_round_trip
 from eventlake.plans.registry import Entry
+from eventlake.sources.tables import table
 
 LLM: dict[str, Entry] = {}
 
@@ -39,6 +43,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest_columns(scan_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))
 
 
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest_columns(scan_personal_data(documents(spark, sf_dir)), ("email", "ip", "card", "phone"))
+
+
 @query("op5_exact_dedup", """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -49,6 +58,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+@query("op8_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest,
+  coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY h)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN g.keep IS NULL OR g.keep = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
+FROM p LEFT JOIN g USING (h)
+""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(pages(spark, sf_dir)).drop("payload")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
