@@ -11,6 +11,7 @@ from eventlake.llm.exact_dedup import exact_groups
 from eventlake.llm.pii import scan_personal_data
 from eventlake.llm.quality import is_held_out, score_quality
 from eventlake.llm.secrets import scan_secrets
+from eventlake.llm.substring import remove_repeats
 from eventlake.llm.tokens import count_tokens
 from eventlake.llm.warc import archive_round_trip
 from eventlake.plans.registry import Entry
@@ -58,6 +59,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_warc", """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest,
   coalesce(html, '') AS h FROM pages),
