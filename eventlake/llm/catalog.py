@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm.common import documents, pages
+from eventlake.llm.decontaminate import find_leaks
 from eventlake.llm.exact_dedup import exact_groups
 from eventlake.llm.pii import scan_personal_data
 from eventlake.llm.quality import is_held_out, score_quality
@@ -59,6 +60,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
