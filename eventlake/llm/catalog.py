@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlake.llm.common import documents, pages
 from eventlake.llm.decontaminate import find_leaks
 from eventlake.llm.exact_dedup import exact_groups
+from eventlake.llm.packing import pack
 from eventlake.llm.pii import scan_personal_data
 from eventlake.llm.quality import is_held_out, score_quality
 from eventlake.llm.secrets import scan_secrets
@@ -40,6 +41,17 @@ def _digest_columns(spans: DataFrame, base: tuple[str, ...]) -> DataFrame:
                         _joined(F.col("spans")).alias("spans"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The packing of the given documents with the digest of each piece's ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest_columns(scan_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))
