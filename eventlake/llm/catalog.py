@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlake.llm.common import documents, pages
 from eventlake.llm.decontaminate import find_leaks
 from eventlake.llm.exact_dedup import exact_groups
+from eventlake.llm.minhash import near_duplicates
 from eventlake.llm.packing import pack
 from eventlake.llm.pii import scan_personal_data
 from eventlake.llm.quality import is_held_out, score_quality
@@ -52,6 +53,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
+
+
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest_columns(scan_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))

@@ -131,7 +131,7 @@ def words(column: pa.Array, seeds: int = 1, lower: bool = False, spans: bool = F
     lo = 0
     while lo < n_docs:
         hi = int(np.searchsorted(off, off[lo] + SLICE_BYTES, side="right")) - 1
-        hi = min(max(hi, lo + 1), n_docs)
+        hi = min(max(hi, lo + 1), lo + (1 << 19), n_docs)
         a, b = int(off[lo]), int(off[hi])
         if b - a <= SLICE_BYTES:
             st, en, hs = _hash_slice(data[a:b], off[lo:hi] - a, seeds, lower)
