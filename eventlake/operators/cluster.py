@@ -122,7 +122,5 @@ def auto_radius(library: DataFrame, seed: int = 0, noise: float = 0.08, vec: str
     from eventlake.operators import match
     jit = library.select("label", F.transform(vec, lambda v, i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v + (
         hash_uniform(seed, F.col("label"), i) * 2 - 1) * F.lit(noise)))).alias(vec))
-    a = encode.latency_events(library.withColumnRenamed("label", "window_id"), id_col="window_id")
-    b = encode.latency_events(jit, id_col="label")
-    d = match.van_rossum(a, b, library.select(F.col("label").alias("window_id")), library.select("label"))
+    d = match.van_rossum(jit.withColumnRenamed("label", "window_id"), library, vec=vec)
     return d.filter(F.col("window_id") == F.col("label")).agg((F.avg("dist") * 1.5).alias("radius"))

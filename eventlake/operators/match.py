@@ -1,21 +1,22 @@
 """Matching encoded windows against a reference library.
 
-The library is a small reference set (one vector per label).  Pairing
-windows with it goes through :func:`pair_with_library`, which checks the
-library size first: up to ``max_broadcast_rows`` it is broadcast (no shuffle
-of the windows); beyond that windows are replicated over hash chunks of the
-library and joined on the chunk id, so no task ever holds more than one chunk.
+The library is a small reference set (one vector per label), computed once and
+checked in bytes.  As one broadcast row of spike-time arrays it makes all
+distances of a window a projection (:func:`with_distances`); beyond the bound
+windows meet hash chunks of the library, joined on the chunk id, so no task
+ever holds more than one chunk.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.operators import encode
 from eventlake.operators.ordered import seq_number
+from eventlake.session import cut_lineage
 
 RATIO = 0.85    # fixed value: match only if best < RATIO * second
 
@@ -46,56 +47,82 @@ def pair_with_library(left: DataFrame, library: DataFrame, max_broadcast_rows: i
     return rep.join(lib, "__chunk").drop("__chunk")
 
 
-def self_terms(events: DataFrame, id_col: str, t_steps: int = encode.T, tau: float = encode.TAU) -> DataFrame:
-    """Sum over features of the trace energy of each encoding (self kernel)."""
-    pairs = events.alias("a").join(events.alias("b"), [id_col, "i"])
-    k = encode.kernel(F.col("a.t"), F.col("b.t"), t_steps, tau)
-    return pairs.groupBy(id_col).agg(F.sum(k).alias("self"))
+def spike_times(vec: Column | str, t_steps: int = encode.T, floor: float = encode.FLOOR) -> Column:
+    """Latency code as one array: a feature's spike time, or -1 without a spike."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.transform(v, lambda x: F.when(x >= F.lit(floor), F.bround((F.lit(1.0) - x) * F.lit(t_steps - 1), 0).cast("int"))
+                       .otherwise(F.lit(-1)))
 
 
-def van_rossum(win_events: DataFrame, ref_events: DataFrame, win_ids: DataFrame, ref_ids: DataFrame,
-               win_id: str = "window_id", ref_id: str = "label", t_steps: int = encode.T,
-               tau: float = encode.TAU) -> DataFrame:
-    """Van Rossum distance of every window to every reference, closed form:
-    ``sqrt((S_w + S_r - 2 * sum_i K(a_i, b_i)) / tau)``.  Cross terms come from
-    an equi-join on the feature index; windows with no common feature get 0.
+def _kernel_table(t_steps: int, tau: float) -> Column:
+    """All ``K(a, b)`` of two spike times as one constant array, row by row."""
+    q = math.exp(-2.0 / tau)
+    value = lambda a, b: math.exp(-abs(a - b) / tau) * (1.0 - q ** (t_steps - max(a, b))) / (1.0 - q)
+    return F.expr("array(" + ", ".join(f"{value(a, b)!r}D" for a in range(t_steps) for b in range(t_steps)) + ")")
+
+
+def overlap_energy(a: Column, b: Column, table: Column, t_steps: int = encode.T) -> Column:
+    """Inner product of the traces of two spike-time arrays."""
+    k = F.zip_with(a, b, lambda x, y: F.when((x >= 0) & (y >= 0), F.get(table, x * F.lit(t_steps) + y)).otherwise(F.lit(0.0)))
+    return F.aggregate(k, F.lit(0.0), lambda s, x: s + x)
+
+
+def with_distances(windows: DataFrame, library: DataFrame, vec: str = "vec", label: str = "label",
+                   t_steps: int = encode.T, tau: float = encode.TAU, max_bytes: int = 8 << 20) -> DataFrame:
+    """The windows with ``dists``: ARRAY<STRUCT<dist, label>> to every reference.
+
+    The library is computed once and its size checked in bytes.  Up to
+    ``max_bytes`` it is one broadcast row and the distances are a projection:
+    windows are not shuffled.  A larger one is cut into chunks of that size;
+    each window meets each chunk, giving one row per (window, chunk).
     """
-    sw = win_ids.join(self_terms(win_events, win_id, t_steps, tau), win_id, "left").select(
-        win_id, F.coalesce("self", F.lit(0.0)).alias("sw"))
-    sr = ref_ids.join(self_terms(ref_events, ref_id, t_steps, tau), ref_id, "left").select(
-        ref_id, F.coalesce("self", F.lit(0.0)).alias("sr"))
-    a = win_events.select(win_id, "i", F.col("t").alias("ta"))
-    b = ref_events.select(ref_id, "i", F.col("t").alias("tb"))
-    cross = (a.join(F.broadcast(b) if _small(ref_ids) else b, "i")
-             .groupBy(win_id, ref_id).agg(F.sum(encode.kernel(F.col("ta"), F.col("tb"), t_steps, tau)).alias("x")))
-    allp = pair_with_library(sw, sr)
-    d2 = (F.col("sw") + F.col("sr") - F.lit(2.0) * F.coalesce("x", F.lit(0.0))) / F.lit(tau)
-    return (allp.join(cross, [win_id, ref_id], "left")
-            .select(win_id, ref_id, F.sqrt(F.greatest(F.lit(0.0), d2)).alias("dist")))
-
-
-def _small(df: DataFrame) -> bool:
-    return False   # let AQE size the feature join at runtime
-
-
-def best_two(dists: DataFrame, win_id: str = "window_id", ref_id: str = "label", d: str = "dist") -> DataFrame:
-    """Per window: nearest and second-nearest reference (ties -> smaller ref id)."""
-    w = Window.partitionBy(win_id).orderBy(F.col(d), F.col(ref_id))
-    r = dists.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)
-    return r.groupBy(win_id).agg(
-        F.max(F.when(F.col("__rn") == 1, F.col(ref_id))).alias("best_label"),
-        F.max(F.when(F.col("__rn") == 1, F.col(d))).alias("best_dist"),
-        F.max(F.when(F.col("__rn") == 2, F.col(d))).alias("second_dist"))
-
-
-def ratio_match(dists: DataFrame, win_id: str = "window_id", ref_id: str = "label", ratio: float = RATIO) -> DataFrame:
-    """Nearest reference with the ratio test ``best < ratio * second``; a single
-    reference has second = infinity and always matches."""
-    b = best_two(dists, win_id, ref_id)
-    second = F.coalesce(F.col("second_dist"), F.lit(float("inf")))
-    ok = F.col("best_dist") < F.lit(ratio) * second
-    return b.select(win_id, F.when(ok, F.col("best_label")).alias("match"), "best_label", "best_dist",
-                    "second_dist", ok.alias("matched"))
+    table = _kernel_table(t_steps, tau)
+    refs = cut_lineage(library.select(F.col(label).cast("string").alias("label"), spike_times(vec, t_steps).alias("times"))
+                       .withColumn("energy", overlap_energy(F.col("times"), F.col("times"), table, t_steps)))
+    n, features = refs.agg(F.count(F.lit(1)), F.max(F.size("times"))).first()
+    chunks = max(1, -(-(n * (4 * (features or 0) + 64)) // max_bytes))
+    packed = (refs.withColumn("__chunk", F.pmod(F.xxhash64("label"), F.lit(chunks)).cast("int"))
+              .groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct("label", "times", "energy"))).alias("__refs")))
+    own = windows.withColumn("__times", spike_times(vec, t_steps))
+    own = own.withColumn("__energy", overlap_energy(F.col("__times"), F.col("__times"), table, t_steps))
+    if chunks == 1:
+        met = own.join(F.broadcast(packed.select("__refs")), how="left")
+    else:
+        met = own.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(packed, "__chunk")
+        met = met.withColumnRenamed("__chunk", "__chunks")
+    square = lambda r: (F.col("__energy") + r["energy"]
+                        - F.lit(2.0) * overlap_energy(F.col("__times"), r["times"], table, t_steps)) / F.lit(tau)
+    dists = F.transform(F.coalesce("__refs", F.array().cast("array<struct<label:string,times:array<int>,energy:double>>")),
+                        lambda r: F.struct(F.sqrt(F.greatest(F.lit(0.0), square(r))).alias("dist"), r["label"].alias("label")))
+    return met.withColumn("dists", dists).drop("__times", "__energy", "__refs")
+
+
+def van_rossum(windows: DataFrame, library: DataFrame, win_id: str = "window_id", **options) -> DataFrame:
+    """(win_id, label, dist): Van Rossum distance of every window to every reference."""
+    return (with_distances(windows, library, **options).select(win_id, F.explode("dists").alias("d"))
+            .select(win_id, "d.label", "d.dist"))
+
+
+def nearest_two(windows: DataFrame, library: DataFrame, win_id: str = "window_id", **options) -> DataFrame:
+    """The windows with best_label, best_dist and second_dist (ties -> smaller
+    label), in one projection; a chunked library keeps two per chunk and merges."""
+    near = with_distances(windows, library, **options)
+    two = F.slice(F.array_sort("dists"), 1, 2)
+    if "__chunks" in near.columns:
+        near = near.drop("__chunks")
+        rest = [c for c in windows.columns if c != win_id]
+        near = near.withColumn("dists", two).groupBy(win_id).agg(
+            *[F.first(c).alias(c) for c in rest], F.flatten(F.collect_list("dists")).alias("dists"))
+    near = near.withColumn("__two", two)
+    return near.select(*windows.columns, F.get("__two", F.lit(0))["label"].alias("best_label"),
+                       F.get("__two", F.lit(0))["dist"].alias("best_dist"), F.get("__two", F.lit(1))["dist"].alias("second_dist"))
+
+
+def ratio_match(nearest: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """Adds ``match`` and ``matched``: the nearest reference when ``best < ratio *
+    second``; a single reference has second = infinity and always matches."""
+    ok = F.coalesce(F.col("best_dist") < F.lit(ratio) * F.coalesce(F.col("second_dist"), F.lit(float("inf"))), F.lit(False))
+    return nearest.withColumns({"match": F.when(ok, F.col("best_label")), "matched": ok})
 
 
 def sq_l2(a, b):

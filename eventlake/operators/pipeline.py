@@ -80,10 +80,7 @@ def run_sensor_capture(lines: DataFrame, library: DataFrame, window: int = 8, ra
     numbered = seq_number(parsed, [key], ["old_seq"], F.floor(F.col("old_seq") / F.lit(1 << 16)).cast("bigint"))
     wins = encode.count_windows(numbered.drop("old_seq"), window, key=key)
     wins = wins.withColumn("wid", F.concat_ws(":", F.col(key).cast("string"), F.col("window_id").cast("string")))
-    we = encode.latency_events(wins, id_col="wid")
-    re = encode.latency_events(library, id_col="label")
-    d = match.van_rossum(we, re, wins.select("wid"), library.select("label"), win_id="wid")
-    res = match.ratio_match(d, win_id="wid").join(wins.select("wid", key, "window_id", "vec"), "wid")
+    res = match.ratio_match(match.nearest_two(wins, library, win_id="wid"))
     stats = res.groupBy(key).agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("matched")).alias("matched"),
                                  F.count_if(~F.col("matched")).alias("novel"))
     unknowns = res.filter(~F.col("matched")).select(key, F.col("window_id").alias("seq"), "vec")

@@ -43,7 +43,7 @@ def q_coincidence_raw(spark, sf):
 def _coinc(detector):
     def build(spark, sf):
         ev = spikes(spark, sf, channels=COINC_CHANNELS)
-        return patterns.coincidence(ev, COINC_CHANNELS, COINC_W, COINC_K, detector=detector, block=DAY)
+        return patterns.coincidence(ev, COINC_CHANNELS, COINC_W, COINC_K, detector=detector)
     return build
 
 

@@ -86,14 +86,12 @@ def _library(spark, sf, labels=None):
     return match.prototypes(tr)
 
 
-def _vr(spark, sf, labels=None):
-    sp = _split(spark, sf)
-    test = sp.filter(F.col("split") == "test")
-    lib = _library(spark, sf, labels)
-    we = encode.latency_events(test)
-    re = encode.latency_events(lib, id_col="label")
-    d = match.van_rossum(we, re, test.select("window_id"), lib.select("label"))
-    return d, test
+def _test(spark, sf):
+    return _split(spark, sf).filter(F.col("split") == "test")
+
+
+def _nearest(spark, sf, labels=None):
+    return match.nearest_two(_test(spark, sf), _library(spark, sf, labels))
 
 
 @query("normalize", f"WITH {NORM_SQL} SELECT window_id, i, v FROM norm")
@@ -169,7 +167,7 @@ def q_prototypes(spark, sf):
 
 @query("van_rossum_pairs", f"{_vr_sql()} SELECT window_id, label, round(dist, 6) AS dist FROM dist")
 def q_vr_pairs(spark, sf):
-    d, _ = _vr(spark, sf)
+    d = match.van_rossum(_test(spark, sf).drop("label"), _library(spark, sf))
     return d.select("window_id", "label", F.round("dist", 6).alias("dist"))
 
 
@@ -184,8 +182,7 @@ _BEST2 = ("b2 AS (SELECT window_id, max(CASE WHEN rn = 1 THEN label END) AS best
        f"{_vr_sql()}, {_BEST2} SELECT window_id, CASE WHEN matched THEN best_label END AS \"match\", best_label, "
        "round(best_dist, 6) AS best_dist, round(second_dist, 6) AS second_dist, matched FROM m")
 def q_template_match(spark, sf):
-    d, _ = _vr(spark, sf)
-    r = match.ratio_match(d)
+    r = match.ratio_match(_nearest(spark, sf))
     return r.select("window_id", "match", "best_label", F.round("best_dist", 6).alias("best_dist"),
                     F.round("second_dist", 6).alias("second_dist"), "matched")
 
@@ -203,10 +200,8 @@ def q_template_match(spark, sf):
        "count(*) FILTER (WHERE tl IS NULL AND mt IS NULL) / count(*) FILTER (WHERE tl IS NULL) END AS rejection_rate "
        "FROM r")
 def q_match_stats(spark, sf):
-    d, test = _vr(spark, sf, KNOWN_LABELS)
-    r = match.ratio_match(d).join(test.select("window_id", F.when(F.col("label").isin(KNOWN_LABELS), F.col("label"))
-                                              .alias("true_label")), "window_id")
-    return match.match_stats(r)
+    r = match.ratio_match(_nearest(spark, sf, KNOWN_LABELS))
+    return match.match_stats(r.withColumn("true_label", F.when(F.col("label").isin(KNOWN_LABELS), F.col("label"))))
 
 
 @query("novelty_gate",
@@ -218,10 +213,7 @@ def q_match_stats(spark, sf):
        "round(min(best_dist) FILTER (WHERE NOT known), 6) AS min_novel, "
        "round((max(best_dist) FILTER (WHERE known) + min(best_dist) FILTER (WHERE NOT known)) / 2.0, 6) AS gate FROM nd")
 def q_novelty_gate(spark, sf):
-    d, test = _vr(spark, sf, KNOWN_LABELS)
-    nd = d.groupBy("window_id").agg(F.min("dist").alias("best_dist")).join(
-        test.select("window_id", F.col("label").isin(KNOWN_LABELS).alias("known")), "window_id")
-    g = match.novelty_gate(nd)
+    g = match.novelty_gate(_nearest(spark, sf, KNOWN_LABELS).withColumn("known", F.col("label").isin(KNOWN_LABELS)))
     return g.select(*[F.round(c, 6).alias(c) for c in g.columns])
 
 
@@ -240,10 +232,10 @@ def q_nearest_proto(spark, sf):
 
 # ---- discovering unknown signals (F12, F13)
 def _unknowns(spark, sf):
-    d, test = _vr(spark, sf, KNOWN_LABELS)
-    r = match.ratio_match(d).filter(F.col("match").isNull()).select("window_id", "best_dist")
-    return (test.join(r, "window_id").select(F.lit("loop").alias("stream_id"), F.col("window_id").alias("seq"),
-                                              F.col("best_dist").alias("dist"), "vec"))
+    """Rejected windows; a stream per capture of 1024 consecutive windows."""
+    r = match.ratio_match(_nearest(spark, sf, KNOWN_LABELS)).filter(F.col("match").isNull())
+    capture = F.concat(F.lit("capture-"), F.floor(F.col("window_id") / F.lit(1024)).cast("string"))
+    return r.select(capture.alias("stream_id"), F.col("window_id").alias("seq"), F.col("best_dist").alias("dist"), "vec")
 
 
 def _clusters(spark, sf):
@@ -308,11 +300,8 @@ def q_noise_sweep(spark, sf):
         hash_uniform(NOISE_SEED, F.col("window_id"), i, F.col("level")) * 2 - 1) * F.col("noise"))))
     noisy = grid.select((F.col("window_id") * 8 + F.col("level")).alias("window_id"), "level", "noise", "label",
                         jit.alias("vec"))
-    we = encode.latency_events(noisy)
-    re = encode.latency_events(lib, id_col="label")
-    d = match.van_rossum(we, re, noisy.select("window_id"), lib.select("label"))
-    r = match.ratio_match(d).join(noisy.select("window_id", "noise", F.when(F.col("label").isin(KNOWN_LABELS), F.col("label"))
-                                               .alias("true_label")), "window_id")
+    r = match.ratio_match(match.nearest_two(noisy, lib)).withColumn(
+        "true_label", F.when(F.col("label").isin(KNOWN_LABELS), F.col("label")))
     out = r.groupBy("noise").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("match").isNotNull()).alias("matched"),
         F.count_if(F.col("true_label").isNotNull() & (F.col("match") == F.col("true_label"))).alias("correct"),

@@ -70,8 +70,9 @@ SAMPLE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quan
                 "l_returnflag"]
 
 
-def samples(lineitem: DataFrame) -> DataFrame:
-    """Raw sensor samples: device = supplier, seq = shipping order per supplier."""
+def samples(lineitem: DataFrame, time: bool = False) -> DataFrame:
+    """Raw sensor samples: device = supplier, seq = shipping order per supplier
+    (unique per device); with ``time`` also t, the shipping time in ms."""
     base = lineitem.select(F.col("l_suppkey").alias("device_id"), *SAMPLE_ORDER[:4],
                            F.col("l_returnflag").alias("label"), "l_quantity", "l_discount", "l_tax",
                            F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("vals"))
@@ -79,7 +80,8 @@ def samples(lineitem: DataFrame) -> DataFrame:
     week = F.floor(F.unix_date(F.col("l_shipdate").cast("date")) / F.lit(7)).cast("bigint")
     order = [c if c != "l_returnflag" else "label" for c in SAMPLE_ORDER]
     numbered = seq_number(base, ["device_id"], order, week)
-    return numbered.select("device_id", "seq", "label", "vals")
+    at = [(F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * 86_400_000).alias("t")] if time else []
+    return numbered.select("device_id", "seq", "label", "vals", *at)
 
 
 # Event-camera geometry (34 x 34 pixels, 2 polarities, 300 ms).

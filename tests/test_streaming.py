@@ -47,39 +47,63 @@ def test_live_silver_equals_batch(spark):
     assert got == sorted((s, c, b, n) for (s, c, b), n in agg.items())
 
 
-def test_stream_coincidence_and_reflex_state_across_batches(spark):
+def _run(stream, base):
+    (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+
+def test_coincidence_on_shuffled_micro_batches(spark):
     base = run_dir(spark, "t-state")
     schema = "stream_id string, channel int, t long"
     rng = random.Random(9)
-    rows = sorted([("s", rng.choice([1, 2, 3]), rng.randint(0, 2000)) for _ in range(300)], key=lambda r: r[2])
-    for i in range(4):                               # in-order chunks, one per micro-batch
-        spark.createDataFrame(rows[i * 75:(i + 1) * 75], schema).coalesce(1).write.parquet(f"{base}/src/p{i}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
-    out = stateful.coincidence_stream(stream, [1, 2, 3], 40, 2)
-    (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    got = sorted(r.t for r in spark.read.parquet(f"{base}/out").filter(~F.col("late")).collect())
-    q = patterns.compile_query([1, 2, 3], 40, 2)
+    rows = sorted([("s", rng.choice([1, 2, 3]), rng.randint(0, 2000)) for _ in range(300)], key=lambda r: r[2] + rng.randint(0, 50))
+    chunks = [rows[i * 75:(i + 1) * 75] for i in range(4)] + [[("s", None, None)]]
+    for i, part in enumerate(chunks):                # one per micro-batch, up to 50 steps out of order; then the closing row
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/src/p{i}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+        _run(stateful.coincidence_stream(stream, [1, 2, 3], 40, 2, delay=50), base)
+    out = spark.read.parquet(f"{base}/out").collect()
     ev = sorted((t, c) for _, c, t in rows)
-    assert got == sorted(patterns.run_detector([e[0] for e in ev], [e[1] for e in ev], q, "subdetector"))
+    q = patterns.compile_query([1, 2, 3], 40, 2)
+    assert not any(r.late for r in out)
+    assert sorted(r.t for r in out) == patterns.detect([e[0] for e in ev], [e[1] for e in ev], q, "subdetector")[0]
+
+
+def test_reflex_equals_batch_whatever_the_arrival(spark):
+    """Dangerous rows 5-7 arrive before 1-3; beyond the bound they come out late."""
+    schema = "device_id long, seq long, t long, vals array<double>"
+    rules = [(0, -50.0, 800.0, "STOP")]
+    rows = [(1, s, s, [900.0 + 100 * s]) for s in (5, 6, 7, 1, 2, 3)]
+    want = sorted((r.seq, r.action) for r in reactive.reflex_actions(spark.createDataFrame(rows, schema), rules).collect())
+    for delay, folded in ((6, want), (0, None)):
+        base = run_dir(spark, "t-reflex")
+        for i, part in enumerate([rows[:3], rows[3:], [(1, None, stateful.FOREVER, None)]]):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/src/p{i}")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+            _run(stateful.reflex_stream(stream, rules, time="t", delay=delay), base)
+        out = spark.read.parquet(f"{base}/out").collect()
+        if folded is not None:
+            assert sorted((r.seq, r.action) for r in out) == folded and not any(r.late for r in out)
+        else:
+            assert sorted(r.seq for r in out if r.late) == [1, 2, 3]
 
 
 def test_live_loop_outcomes_apply_to_last_window(spark):
     import json
-    base = run_dir(spark, "t-live")
-    schema = "device_id long, seq long, kind string, vals array<double>, reward double"
-    rows = [(1, 1, "outcome", None, 1.0),                    # before any signal: ignored
-            (1, 2, "signal", [1.0, 0.0, 5.0], None), (1, 3, "outcome", None, 1.0),
-            (1, 4, "signal", [1.0, 0.0, 5.0], None), (1, 5, "signal", [5000.0, 0.0, 0.0], None)]
-    spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(f"{base}/src/a")
-    spark.createDataFrame(rows[3:], schema).coalesce(1).write.parquet(f"{base}/src/b")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
-    lib = {"X": [1.0] + [0.0] * 63, "Y": [0.0, 1.0] + [0.0] * 62}
-    out = stateful.live_loop(stream, lib, [(0, -50.0, 800.0, "STOP")])
-    (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    ev = {r.seq: json.loads(r.event) for r in spark.read.parquet(f"{base}/out").collect()}
-    assert 1 not in ev
-    assert "match" in ev[2] and ev[3]["outcome"] == 1.0 and ev[3]["dopamine"] == 1.0
-    assert ev[4]["valence"] > 0                               # learned from the outcome (state across batches)
-    assert ev[5]["reflex"] == "STOP" and ev[5]["stress"] > 0
+    schema = "device_id long, seq long, kind string, vals array<double>, reward double, match string, dist double, active array<int>"
+    win = lambda s, x: (1, s, "signal", [x], None, "X", 1.5, [1, 2])
+    rows = [(1, 1, "outcome", None, 1.0, None, None, None),                    # before any signal: ignored
+            win(2, 1.0), (1, 3, "outcome", None, 1.0, None, None, None), win(4, 1.0), win(5, 5000.0)]
+    rng = random.Random(1)
+    for order in (rows, rng.sample(rows, 5)):
+        base = run_dir(spark, "t-live")
+        for i, part in enumerate([order[:3], order[3:], [(1, None, None, None, None, None, None, None)]]):
+            df = spark.createDataFrame(part, schema).withColumn("at", F.coalesce("seq", F.lit(stateful.FOREVER)))
+            df.coalesce(1).write.parquet(f"{base}/src/p{i}")
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+            _run(stateful.live_loop(stream, [(0, -50.0, 800.0, "STOP")], time="at", delay=5), base)
+        ev = {r.seq: json.loads(r.event) for r in spark.read.parquet(f"{base}/out").collect()}
+        assert sorted(ev) == [2, 3, 4, 5]
+        assert ev[2]["match"] == "X" and ev[3]["outcome"] == 1.0 and ev[3]["dopamine"] == 1.0
+        assert ev[4]["valence"] > 0                               # learned from the outcome (state across batches)
+        assert ev[5]["reflex"] == "STOP" and ev[5]["stress"] > 0
