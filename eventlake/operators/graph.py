@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,18 +55,25 @@ def sql_wrap(x: str) -> str:
     return f"(CASE WHEN {r} - {pi} = -{pi} THEN {pi} ELSE {r} - {pi} END)"
 
 
+def as_arrays(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, vec): one array per id, dimensions in order (groups of one row per dimension)."""
+    return vectors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("__dv")).select(
+        key, F.transform("__dv", lambda x: x["v"]).alias("vec"))
+
+
 def _score(triples: DataFrame, ent: DataFrame, rel: DataFrame, kind: str) -> DataFrame:
-    h = ent.select(F.col("id").alias("head"), "d", F.col("v").alias("hv"))
-    t = ent.select(F.col("id").alias("tail"), "d", F.col("v").alias("tv"))
-    r = rel.select("rel", "d", F.col("v").alias("rv"))
-    j = triples.select("head", "rel", "tail").join(h, "head").join(r, ["rel", "d"]).join(t, ["tail", "d"])
+    """One score per row of ``triples``, repeated rows included: each id is
+    joined once as an array and the score is a projection."""
+    e = as_arrays(ent, "id")
+    j = (triples.join(as_arrays(rel, "rel").withColumnRenamed("vec", "__r"), "rel")
+         .join(e.select(F.col("id").alias("head"), F.col("vec").alias("__h")), "head")
+         .join(e.select(F.col("id").alias("tail"), F.col("vec").alias("__t")), "tail"))
+    gap = F.zip_with(F.zip_with("__h", "__r", lambda x, y: x + y), "__t", lambda x, y: x - y)
     if kind == "translational":
-        term = F.pow(F.col("hv") + F.col("rv") - F.col("tv"), 2)
-        agg = F.sqrt(F.sum(term))
+        score = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x))
     else:
-        term = F.lit(2.0) * F.abs(F.sin(wrap(F.col("hv") + F.col("rv") - F.col("tv")) / F.lit(2.0)))
-        agg = F.sum(term)
-    return j.groupBy("head", "rel", "tail").agg(agg.alias("score"))
+        score = F.aggregate(gap, F.lit(0.0), lambda s, x: s + F.lit(2.0) * F.abs(F.sin(wrap(x) / F.lit(2.0))))
+    return j.select(*triples.columns, score.alias("score"))
 
 
 def translational_score(triples: DataFrame, ent: DataFrame, rel: DataFrame) -> DataFrame:
@@ -87,15 +94,15 @@ def link_ranks(test: DataFrame, candidates: DataFrame, ent: DataFrame, rel: Data
     ``candidates`` = (rel, tail) rows; scores are rounded to ``digits``
     before comparison so equal scores tie deterministically.
     """
-    corrupt = test.select("head", "rel", F.col("tail").alias("true_tail")).join(candidates, "rel")
-    sc = _score(corrupt.select("head", "rel", "tail").distinct(), ent, rel, kind).withColumn(
-        "score", F.round("score", digits))
-    c = corrupt.join(sc, ["head", "rel", "tail"])
-    truth = c.filter(F.col("tail") == F.col("true_tail")).select("head", "rel", "true_tail", F.col("score").alias("ts"))
+    asked = test.select("head", "rel", "tail")
+    once = asked.distinct().withColumnRenamed("tail", "true_tail")
+    c = _score(once.join(candidates.select("rel", "tail").distinct(), "rel"), ent, rel, kind).withColumn("score", F.round("score", digits))
+    true = F.max(F.when(F.col("tail") == F.col("true_tail"), F.col("score")))
+    per = c.groupBy("head", "rel", "true_tail").agg(true.alias("ts"))
     better = (F.col("score") < F.col("ts")) | ((F.col("score") == F.col("ts")) & (F.col("tail") < F.col("true_tail")))
-    return (c.join(truth, ["head", "rel", "true_tail"])
-            .groupBy("head", "rel", "true_tail").agg((F.lit(1) + F.count_if(better)).alias("rank"))
-            .withColumnRenamed("true_tail", "tail"))
+    ranks = (c.join(per.where(F.col("ts").isNotNull()), ["head", "rel", "true_tail"])
+             .groupBy("head", "rel", "true_tail").agg((F.lit(1) + F.count_if(better)).alias("rank")))
+    return asked.join(ranks.withColumnRenamed("true_tail", "tail"), ["head", "rel", "tail"])
 
 
 def link_metrics(ranks: DataFrame) -> DataFrame:
@@ -108,17 +115,37 @@ def per_relation_hits1(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("rank") <= 1).cast("double")).alias("hits1"))
 
 
-def relation_algebra(rel: DataFrame) -> DataFrame:
-    """For every relation pair (r1, r2): the relation r3 closest to the
-    composition r1 o r2 and its mean circular error
-    ``mean_d |wrap(ph_r1 + ph_r2 - ph_r3)|`` (ties -> smaller r3)."""
-    a = rel.select(F.col("rel").alias("r1"), "d", F.col("v").alias("v1"))
-    b = rel.select(F.col("rel").alias("r2"), "d", F.col("v").alias("v2"))
-    c = rel.select(F.col("rel").alias("r3"), "d", F.col("v").alias("v3"))
-    j = a.join(b, "d").join(c, "d")
-    err = j.groupBy("r1", "r2", "r3").agg(F.avg(F.abs(wrap(F.col("v1") + F.col("v2") - F.col("v3")))).alias("err"))
-    w = Window.partitionBy("r1", "r2").orderBy(F.round("err", 9), F.col("r3"))
-    return err.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1).drop("rk")
+def fit_relation_phases(triples: DataFrame, ent: DataFrame) -> DataFrame:
+    """(rel, d, v): each relation's phases fitted to its triples, the circular
+    mean of ``th_t - th_h``, the least-squares rotation on the unit circle."""
+    e = as_arrays(ent, "id")
+    j = (triples.select("head", "rel", "tail").join(e.select(F.col("id").alias("head"), F.col("vec").alias("h")), "head")
+         .join(e.select(F.col("id").alias("tail"), F.col("vec").alias("t")), "tail"))
+    turn = j.select("rel", F.posexplode(F.zip_with("t", "h", lambda x, y: x - y)).alias("d", "x"))
+    return turn.groupBy("rel", "d").agg(F.sum(F.sin("x")).alias("s"), F.sum(F.cos("x")).alias("c")).select(
+        "rel", "d", F.atan2(F.round("s", 9), F.round("c", 9)).alias("v"))
+
+
+def algebra_errors(rel: DataFrame, identities: DataFrame) -> DataFrame:
+    """(name, err): mean circular error of ``a + b = c`` on the fitted phases.
+
+    ``identities`` = (name, a, b, c), c null for zero: an inverse pair is
+    a + b = 0, a self-inverse relation a + a = 0, a composition a + b = c.
+    """
+    one = lambda n: rel.select(F.col("rel").alias(n), "d", F.col("v").alias(f"v{n}"))
+    j = identities.join(one("a"), "a").join(one("b"), ["b", "d"]).join(one("c"), ["c", "d"], "left")
+    err = F.abs(wrap(F.col("va") + F.col("vb") - F.coalesce("vc", F.lit(0.0))))
+    return j.groupBy("name").agg(F.avg(err).alias("err"))
+
+
+def indexed_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rel, pick, tail), (rel, n)): the candidate tails numbered 1..n per
+    relation, in blocks of ids, so a draw is an equi-join and no relation's
+    tails meet in one row."""
+    from eventlake.operators.ordered import seq_number
+    one = candidates.select("rel", "tail").distinct()
+    numbered = seq_number(one, ["rel"], ["tail"], F.floor(F.col("tail") / F.lit(1 << 16)).cast("bigint"), "pick")
+    return numbered.select("rel", "pick", F.col("tail").alias("tn")), one.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _vadd(a, b):
@@ -159,12 +186,12 @@ def fit_translational(train: DataFrame, candidates: DataFrame, entities: DataFra
 
     E = cut_lineage(init(entities.select(F.col("id")), "id", 0.5, 1))
     R = cut_lineage(init(train.select("rel").distinct(), "rel", 0.1, 2))
-    cands = candidates.groupBy("rel").agg(F.array_sort(F.collect_set("tail")).alias("cands"))   # bounded by type size
-    tr = train.select("head", "rel", "tail").join(F.broadcast(cands), "rel")
+    numbered, sizes = (cut_lineage(x) for x in indexed_candidates(candidates))
+    tr = cut_lineage(train.select("head", "rel", "tail").join(sizes, "rel"))
     for rnd in range(rounds):
         u = hash_uniform(seed, F.lit(rnd), F.col("head"), F.col("rel"), F.col("tail"))
-        pick = F.element_at(F.col("cands"), (F.floor(u * F.size("cands")) + 1).cast("int"))
-        t = (tr.select("head", "rel", "tail", pick.alias("tn")).filter(F.col("tn") != F.col("tail"))
+        t = (tr.select("head", "rel", "tail", (F.floor(u * F.col("n")) + 1).cast("bigint").alias("pick"))
+             .join(numbered, ["rel", "pick"]).drop("pick").filter(F.col("tn") != F.col("tail"))
              .join(E.select(F.col("id").alias("head"), F.col("vec").alias("eh")), "head")
              .join(R.select("rel", F.col("vec").alias("er")), "rel")
              .join(E.select(F.col("id").alias("tail"), F.col("vec").alias("et")), "tail")
@@ -225,14 +252,14 @@ def fit_rotational(train: DataFrame, candidates: DataFrame, entities: DataFrame,
 
     E = cut_lineage(init(entities.select("id"), "id", 0.0, two_pi, 3))
     R = cut_lineage(init(train.select("rel").distinct(), "rel", -0.3, 0.3, 4))
-    cands = candidates.groupBy("rel").agg(F.array_sort(F.collect_set("tail")).alias("cands"))
-    tr = train.select("head", "rel", "tail").join(F.broadcast(cands), "rel")
+    numbered, sizes = (cut_lineage(x) for x in indexed_candidates(candidates))
+    tr = cut_lineage(train.select("head", "rel", "tail").join(sizes, "rel"))
     for rnd in range(rounds):
         step_lr = lr * (1.0 - 0.7 * rnd / max(1, rounds))
-        negs = tr.select("head", "rel", "tail", "cands", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("j"))
+        negs = tr.select("head", "rel", "tail", "n", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("j"))
         u = hash_uniform(seed, F.lit(rnd), F.col("j"), F.col("head"), F.col("rel"), F.col("tail"))
-        pick = F.element_at(F.col("cands"), (F.floor(u * F.size("cands")) + 1).cast("int"))
-        t = (negs.select("head", "rel", "tail", pick.alias("tn")).filter(F.col("tn") != F.col("tail"))
+        t = (negs.select("head", "rel", "tail", (F.floor(u * F.col("n")) + 1).cast("bigint").alias("pick"))
+             .join(numbered, ["rel", "pick"]).drop("pick").filter(F.col("tn") != F.col("tail"))
              .join(E.select(F.col("id").alias("head"), F.col("vec").alias("eh")), "head")
              .join(R.select("rel", F.col("vec").alias("er")), "rel")
              .join(E.select(F.col("id").alias("tail"), F.col("vec").alias("et")), "tail")

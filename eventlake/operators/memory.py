@@ -180,10 +180,10 @@ def recall(memory: DataFrame, cues: DataFrame, n: int, k: int, steps: int = 8, d
     return out
 
 
-def overlap(recalled: DataFrame, original: DataFrame, k: int) -> DataFrame:
-    """Fraction of each stored pattern recovered: ``|recalled & original| / k``."""
+def overlap(recalled: DataFrame, original: DataFrame) -> DataFrame:
+    """Fraction of each stored pattern recovered: ``|recalled & original| / |original|``."""
     inter = recalled.join(original, ["bank", "cue_id", "neuron"]).groupBy("bank", "cue_id").agg(
         F.count(F.lit(1)).alias("hit"))
-    ids = original.select("bank", "cue_id").distinct()
-    return ids.join(inter, ["bank", "cue_id"], "left").select(
-        "bank", "cue_id", (F.coalesce(F.col("hit"), F.lit(0)) / F.lit(float(k))).alias("overlap"))
+    size = original.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    return size.join(inter, ["bank", "cue_id"], "left").select(
+        "bank", "cue_id", (F.coalesce(F.col("hit"), F.lit(0)) / F.col("size")).alias("overlap"))

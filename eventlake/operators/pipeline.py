@@ -1,13 +1,14 @@
 """User-level jobs built from the operators.
 
-run_medallion: source -> Bronze (+ fingerprint manifest recorded at ingest)
--> Silver, Gold and ICR staged -> gate (schema, encodability, immutability,
-Gold) -> publish -> external table refresh -> latency hand-off and top-5 SQL.
-Nothing is published when a gate fails (the reference wrote Gold first).
+run_medallion: gate the source -> Bronze (fingerprint of the source first) ->
+Silver, Gold and ICR in the run's own folders -> gate -> latency hand-off and
+top-5 SQL -> publish by pointer -> external table refresh.  Nothing is
+published when a gate fails.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,35 +27,59 @@ class MedallionResult:
 
 
 def run_medallion(spark: SparkSession, source: DataFrame, out: str, window: int, n_channels: int | None = None,
-                  duration: int | None = None, table: str | None = None) -> MedallionResult:
-    bronze_path, silver_path, gold_path = f"{out}/bronze", f"{out}/silver", f"{out}/gold"
-    lake.write_bronze(medallion.bronze(source), bronze_path)
+                  duration: int | None = None, table: str | None = None, t_steps: int = 32) -> MedallionResult:
+    """One run: gate the source, land Bronze, stage Silver/Gold/ICR, gate them,
+    publish, hand off.
+
+    * K1, K2 look at the *source*, before any cast, against declared bounds
+      (without them only null and negative values can be out of range).
+    * K3: the source is fingerprinted before it is written and Bronze is compared
+      with that; Bronze of the run before is compared with its own manifest
+      first, so a change between two runs is seen.
+    * K4 covers rates, synchrony and ICR.
+    * Each run writes its own folders; the pointer table ``_current`` names the
+      published one and is written last.
+    """
+    run = uuid.uuid4().hex[:12]
+    base = f"{out}/runs/{run}"
+    before = current_run(spark, out)
+    if before is not None:
+        old = lake.read_bronze(spark, f"{before}/bronze").select("stream_id", "channel", "t")
+        if not quality.immutability_violations(old, spark.read.parquet(f"{before}/manifest")).isEmpty():
+            raise quality.DataQualityError("Bronze of the run before has changed (fingerprint differs)")
+    quality.gate(source, n_channels, duration)
+    manifest_path, bronze_path = f"{base}/manifest", f"{base}/bronze"
+    landed = medallion.bronze(source)
+    quality.fingerprint(landed).write.parquet(manifest_path)
+    lake.write_bronze(landed, bronze_path)
     bronze = lake.read_bronze(spark, bronze_path).select("stream_id", "channel", "t")
-    manifest_path = f"{out}/_manifest"
-    quality.fingerprint(bronze).write.mode("overwrite").parquet(manifest_path)
-
-    stage = f"{out}/_staging"
-    silver = medallion.silver(bronze, window)
-    lake.write_layer(silver, f"{stage}/silver")
-    silver = spark.read.parquet(f"{stage}/silver")
-    gold = medallion.gold(bronze, silver, duration)
-    icr = medallion.icr(silver, window, duration, n_channels)
-    lake.write_layer(gold, f"{stage}/gold")
-    lake.write_layer(icr, f"{stage}/icr")
-    gold = spark.read.parquet(f"{stage}/gold")
-    icr = spark.read.parquet(f"{stage}/icr")
-
-    bounds = store.stream_bounds(bronze, n_channels, duration).agg(
-        F.max("n_channels").alias("n"), F.max("duration").alias("dur")).first()
-    report = quality.gate(bronze, int(bounds["n"]), int(bounds["dur"]), gold=gold, icr=icr,
-                          manifest=spark.read.parquet(manifest_path))
-
-    # publish only after every gate passed
-    lake.write_layer(spark.read.parquet(f"{stage}/silver"), silver_path)
-    lake.write_layer(spark.read.parquet(f"{stage}/gold"), gold_path)
+
+    lake.write_layer(medallion.silver(bronze, window), f"{base}/silver")
+    silver = spark.read.parquet(f"{base}/silver")
+    lake.write_layer(medallion.icr(silver, window, duration, n_channels), f"{base}/icr")
+    icr = spark.read.parquet(f"{base}/icr")
+    gold = medallion.gold(bronze, silver, duration).join(icr.select("stream_id", "icr"), "stream_id", "left")
+    lake.write_layer(gold, f"{base}/gold")
+    gold = spark.read.parquet(f"{base}/gold")
+    report = quality.gate(bronze, n_channels, duration, gold=gold, icr=icr, manifest=spark.read.parquet(manifest_path))
+
+    lake.write_layer(medallion.latency_handoff(gold, t_steps), f"{base}/handoff")
+    store.top_by_rate_sql(gold, 5).write.parquet(f"{base}/top_channels")
+    # publish: the pointer is the only thing that changes
+    spark.createDataFrame([(run,)], "run string").write.mode("append").parquet(f"{out}/_current")
     if table:
-        lake.refresh_table(spark, table, gold_path)
-    return MedallionResult(bronze_path, silver_path, gold_path, report)
+        lake.refresh_table(spark, table, f"{base}/gold")
+    return MedallionResult(bronze_path, f"{base}/silver", f"{base}/gold", report)
+
+
+def current_run(spark: SparkSession, out: str) -> str | None:
+    """Folder of the run published last, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_current")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.parquet(f"{out}/_current").select("run", F.col("_metadata.file_modification_time").alias("at"))
+    last = rows.orderBy(F.col("at").desc(), F.col("run").desc()).limit(1).collect()
+    return f"{out}/runs/{last[0]['run']}" if last else None
 
 
 def gold_queries(spark: SparkSession, gold_path: str, t_steps: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlake.functions.rng import hash_uniform, sql_hash_uniform
@@ -299,15 +300,15 @@ def q_recall_step(spark, sf):
 @query("pattern_overlap",
        f"WITH {MEM_SQL}, {STEP_SQL}, hit AS (SELECT s.bank, s.cue_id, count(*) AS hit FROM step s JOIN mem mm "
        "ON mm.bank = s.bank AND mm.pattern_id = s.cue_id AND mm.neuron = s.neuron GROUP BY ALL) "
-       f"SELECT i.bank, i.cue_id, coalesce(hit.hit, 0) / {float(MEM_K)} AS overlap FROM (SELECT DISTINCT bank, "
-       "pattern_id AS cue_id FROM mem) i LEFT JOIN hit USING (bank, cue_id)")
+       "SELECT i.bank, i.cue_id, coalesce(hit.hit, 0) / i.size AS overlap FROM (SELECT bank, "
+       "pattern_id AS cue_id, count(*)::DOUBLE AS size FROM mem GROUP BY ALL) i LEFT JOIN hit USING (bank, cue_id)")
 def q_overlap(spark, sf):
     mem, cues = _memory(spark, sf)
     idx = memory.MemoryIndex(mem, MEM_N)
     step = memory.recall_step(idx, cues, MEM_N, MEM_K)
     mem = idx.memory
     orig = mem.select("bank", F.col("pattern_id").alias("cue_id"), "neuron")
-    return memory.overlap(step, orig, MEM_K)
+    return memory.overlap(step, orig)
 
 
 @query("recall", None, note="iterative fixed point with checkpointed rounds")
@@ -424,16 +425,37 @@ def q_anomaly(spark, sf):
                                          F.round(F.col("mr") / F.col("mt"), 6).alias("gap_ratio"))
 
 
+# relations with a known algebra over the given tables: 3 = inverse of 0 (nation->customer),
+# 4 = 0 then 2 (customer->region), 5 = suppliers of one nation, both ways (its own inverse)
+ALGEBRA = [("inverse", 0, 3, None), ("self_inverse", 5, 5, None), ("composition", 0, 2, 4)]
+_ALG_VALUES = ", ".join(f"('{n}', {a}, {b}, {'NULL' if c is None else c})" for n, a, b, c in ALGEBRA)
+ALG_SQL = ("alg AS (SELECT * FROM tr UNION ALL SELECT tail, 3, head FROM tr WHERE rel = 0 "
+           "UNION ALL SELECT a.head, 4, b.tail FROM tr a JOIN tr b ON a.rel = 0 AND b.rel = 2 AND b.head = a.tail "
+           "UNION ALL SELECT x, 5, y FROM (SELECT head AS x, lead(head) OVER (PARTITION BY tail ORDER BY head) AS y FROM tr WHERE rel = 1) WHERE y IS NOT NULL "
+           "UNION ALL SELECT y, 5, x FROM (SELECT head AS x, lead(head) OVER (PARTITION BY tail ORDER BY head) AS y FROM tr WHERE rel = 1) WHERE y IS NOT NULL), "
+           "fit AS (SELECT q.rel, h.d, atan2(round(sum(sin(t.v - h.v)), 9), round(sum(cos(t.v - h.v)), 9)) AS v FROM alg q "
+           "JOIN ep h ON h.id = q.head JOIN ep t ON t.id = q.tail AND t.d = h.d GROUP BY q.rel, h.d), "
+           f"ident AS (SELECT * FROM (VALUES {_ALG_VALUES}) v(name, a, b, c))")
+
+
 @query("relation_algebra",
-       f"WITH {TRIPLES_SQL}, {ENT_SQL}, e AS (SELECT a.rel AS r1, b.rel AS r2, c.rel AS r3, "
-       f"avg(abs({graph.sql_wrap('a.v + b.v - c.v')})) AS err FROM rp a JOIN rp b ON a.d = b.d JOIN rp c ON c.d = a.d "
-       "GROUP BY ALL) SELECT CAST(r1 AS INTEGER) AS r1, CAST(r2 AS INTEGER) AS r2, CAST(r3 AS INTEGER) AS r3, "
-       "round(err, 6) AS err FROM (SELECT *, row_number() OVER (PARTITION BY r1, r2 ORDER BY round(err, 9), r3) AS rk FROM e) "
-       "WHERE rk = 1")
+       f"WITH {TRIPLES_SQL}, {ENT_SQL}, {ALG_SQL} SELECT name, "
+       f"round(avg(abs({graph.sql_wrap('x.v + y.v - coalesce(z.v, 0.0)')})), 6) AS err FROM ident JOIN fit x ON x.rel = a "
+       "JOIN fit y ON y.rel = b AND y.d = x.d LEFT JOIN fit z ON z.rel = c AND z.d = x.d GROUP BY name")
 def q_rel_algebra(spark, sf):
-    _, _, rels, _ = _kg(spark, sf)
-    r = graph.relation_algebra(graph.relation_phases(rels, DIM))
-    return r.select("r1", "r2", "r3", F.round("err", 6).alias("err"))
+    tr, ents, _, _ = _kg(spark, sf)
+    inverse = tr.where("rel = 0").select(F.col("tail").alias("head"), F.lit(3).alias("rel"), F.col("head").alias("tail"))
+    through = tr.where("rel = 2").select(F.col("head").alias("mid"), F.col("tail").alias("end"))
+    composed = tr.where("rel = 0").join(through, F.col("tail") == F.col("mid")).select("head", F.lit(4).alias("rel"), F.col("end").alias("tail"))
+    follow = Window.partitionBy("tail").orderBy("head")
+    pairs = (tr.where("rel = 1").select(F.col("head").alias("x"), F.lead("head").over(follow).alias("y")).where("y IS NOT NULL"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("head"), F.col("y").alias("tail")),
+                                          F.struct(F.col("y").alias("head"), F.col("x").alias("tail")))).alias("p"))
+    every = (tr.unionByName(inverse).unionByName(composed)
+             .unionByName(both.select("p.head", F.lit(5).alias("rel"), "p.tail")))
+    identities = spark.createDataFrame(ALGEBRA, "name string, a int, b int, c int")
+    fitted = graph.fit_relation_phases(every, graph.entity_phases(ents, DIM))
+    return graph.algebra_errors(fitted, identities).select("name", F.round("err", 6).alias("err"))
 
 
 # noise sweep (F15): several corruption levels in one recall job
@@ -450,9 +472,11 @@ SWEEP_SQL = ("WITH mem AS (SELECT DISTINCT o.o_custkey AS bank, l.l_orderkey AS
              f"FROM mem, grids), {STEP_SQL}, "
              "hit AS (SELECT s.bank, s.cue_id, count(*) AS hit FROM step s JOIN mem mm ON mm.bank = s.bank "
              "AND mm.pattern_id = s.cue_id // 8 AND mm.neuron = s.neuron GROUP BY ALL), "
-             f"per AS (SELECT CAST(c.cue_id % 8 AS INTEGER) AS grid, coalesce(hit.hit, 0) / {float(MEM_K)} AS overlap "
-             "FROM (SELECT DISTINCT bank, cue_id FROM cue) c LEFT JOIN hit USING (bank, cue_id)) "
-             "SELECT p.grid, avg(p.overlap) AS mean_overlap, count(*) AS n_cues, g.frac AS drop_fraction FROM per p "
+             "size AS (SELECT bank, pattern_id, count(*)::DOUBLE AS size FROM mem GROUP BY ALL), "
+             "per AS (SELECT CAST(c.cue_id % 8 AS INTEGER) AS grid, coalesce(hit.hit, 0) / z.size AS overlap "
+             "FROM (SELECT DISTINCT bank, cue_id FROM cue) c JOIN size z ON z.bank = c.bank AND z.pattern_id = c.cue_id // 8 "
+             "LEFT JOIN hit ON hit.bank = c.bank AND hit.cue_id = c.cue_id) "
+             "SELECT p.grid, round(avg(p.overlap), 9) AS mean_overlap, count(*) AS n_cues, g.frac AS drop_fraction FROM per p "
              "JOIN grids g ON g.g = p.grid GROUP BY p.grid, g.frac")
 
 
@@ -478,11 +502,13 @@ def q_recall_sweep(spark, sf):
     orig = mem.select("bank", "pattern_id", "neuron")
     hit = (step.withColumn("pattern_id", F.floor(F.col("cue_id") / 8).cast("bigint"))
            .join(orig, ["bank", "pattern_id", "neuron"]).groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("hit")))
-    per = (cues.select("bank", "cue_id").distinct().join(hit, ["bank", "cue_id"], "left")
+    size = orig.groupBy("bank", "pattern_id").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    per = (cues.select("bank", "cue_id", F.floor(F.col("cue_id") / 8).cast("bigint").alias("pattern_id")).distinct()
+           .join(size, ["bank", "pattern_id"]).join(hit, ["bank", "cue_id"], "left")
            .select(F.pmod(F.col("cue_id"), F.lit(8)).cast("int").alias("grid"),
-                   (F.coalesce(F.col("hit"), F.lit(0)) / F.lit(float(MEM_K))).alias("overlap")))
+                   (F.coalesce(F.col("hit"), F.lit(0)) / F.col("size")).alias("overlap")))
     drops = spark.createDataFrame([(g, f) for g, f in enumerate(SWEEP_DROPS)], "grid int, drop_fraction double")
-    return per.groupBy("grid").agg(F.avg("overlap").alias("mean_overlap"), F.count(F.lit(1)).alias("n_cues")).join(
+    return per.groupBy("grid").agg(F.round(F.avg("overlap"), 9).alias("mean_overlap"), F.count(F.lit(1)).alias("n_cues")).join(
         F.broadcast(drops), "grid")
 
 

@@ -35,7 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is.  Only when it is unset and the master is local (tests) do we pick a
+    scratch folder; on a cluster that is an error, since executors and the driver
+    share no temp folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,26 +45,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="eventlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip, so that workers can import
+    it wherever the driver was started."""
+    import shutil
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    to = os.path.join(tempfile.mkdtemp(prefix="eventlake-zip-"), "eventlake")
+    spark.sparkContext.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20,
-             max_partitions: int = 200_000) -> dict:
+def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
     """Size shuffles and scans for an input volume (e.g. 100 TB on a large cluster).
 
     Shuffle partitions ~ input / 256 MB (AQE coalesces small ones and splits
     skewed ones at runtime); scan splits of 128 MB keep task memory bounded.
     Returns the settings applied.
     """
-    parts = max(1, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    parts = max(1, -(-int(input_bytes) // int(partition_bytes)))
     conf = {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(128 << 20),

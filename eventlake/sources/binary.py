@@ -28,21 +28,28 @@ SPKL_RECORD = 8
 _OUT = "stream_id string, channel int, t long, status string, dropped long"
 
 
+def _reject(path: str, status: str) -> pd.DataFrame:
+    return pd.DataFrame({"stream_id": [path], "channel": [None], "t": [None], "status": [status], "dropped": [0]})
+
+
 def _decode_spk(path: str, data: bytes) -> pd.DataFrame:
+    """Events of one recording, or one reject row when a size does not fit the file."""
     if len(data) < SPK_HEADER.size:
-        return pd.DataFrame({"stream_id": [path], "channel": [None], "t": [None], "status": ["short_file"], "dropped": [0]})
-    magic, n, _dur = SPK_HEADER.unpack_from(data, 0)
+        return _reject(path, "short_file")
+    magic, n, _ = SPK_HEADER.unpack_from(data, 0)
     if magic != SPK_MAGIC:
-        return pd.DataFrame({"stream_id": [path], "channel": [None], "t": [None], "status": ["bad_magic"], "dropped": [0]})
-    chans, times = [], []
-    for c in range(n):
-        off, cnt = SPK_INDEX.unpack_from(data, SPK_HEADER.size + c * SPK_INDEX.size)
-        arr = np.frombuffer(data, dtype="<u4", count=cnt, offset=off)
-        chans.append(np.full(cnt, c, dtype=np.int32))
-        times.append(arr.astype(np.int64))
-    ch = np.concatenate(chans) if chans else np.zeros(0, np.int32)
-    tt = np.concatenate(times) if times else np.zeros(0, np.int64)
-    return pd.DataFrame({"stream_id": path, "channel": ch, "t": tt, "status": "ok", "dropped": 0})
+        return _reject(path, "bad_magic")
+    body = SPK_HEADER.size + n * SPK_INDEX.size
+    if len(data) < body:
+        return _reject(path, "short_index")
+    index = np.frombuffer(data, dtype=np.dtype([("at", "<u8"), ("n", "<u4")]), count=n, offset=SPK_HEADER.size)
+    at, count = index["at"].astype(object), index["n"].astype(object)
+    if any(a < body or a + 4 * c > len(data) for a, c in zip(at, count, strict=True) if c):
+        return _reject(path, "bad_index")
+    parts = [np.frombuffer(data, dtype="<u4", count=c, offset=a) for a, c in zip(at, count, strict=True) if c]
+    times = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+    channels = np.repeat(np.arange(n, dtype=np.int32), index["n"].astype(np.int64))
+    return pd.DataFrame({"stream_id": path, "channel": channels, "t": times.astype(np.int64), "status": "ok", "dropped": 0})
 
 
 def _decode_spkl(path: str, data: bytes, n_channels: int) -> pd.DataFrame:

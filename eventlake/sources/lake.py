@@ -21,8 +21,11 @@ def channel_bucket(channel) -> F.Column:
 
 
 def write_bronze(events: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Range-partitioned by (stream, bucket, channel, t): a stream of any size is
+    written by as many tasks as its share of the rows asks for."""
     out = events.withColumn("channel_bucket", channel_bucket("channel"))
-    (out.repartition("stream_id", "channel_bucket").sortWithinPartitions("channel", "t")
+    (out.repartitionByRange("stream_id", "channel_bucket", "channel", "t")
+     .sortWithinPartitions("stream_id", "channel_bucket", "channel", "t")
      .write.mode(mode).partitionBy("stream_id", "channel_bucket").parquet(path))
 
 
@@ -56,23 +59,48 @@ def refresh_table(spark: SparkSession, name: str, path: str) -> None:
 
 def save_encodings(windows: DataFrame, encoded: DataFrame, path: str, vec: str = "vec",
                    id_col: str = "window_id") -> DataFrame:
-    """Materialise encodings once, keyed by a content hash of the input vector
-    (re-encoding is skipped for inputs already present)."""
-    key = F.sha2(F.to_json(F.col(vec)), 256)
-    keyed = windows.select(id_col, key.alias("input_hash"))
+    """Materialise encodings once, keyed by a content hash of the input vector:
+    inputs whose hash is in the folder already are skipped.  Returns what was added."""
+    from eventlake.session import cut_lineage
+
+    spark = windows.sparkSession
+    keyed = windows.select(id_col, F.sha2(F.to_json(F.col(vec)), 256).alias("input_hash"))
     out = encoded.join(keyed, id_col)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        out = out.join(spark.read.parquet(path).select("input_hash").distinct(), "input_hash", "left_anti")
+    out = cut_lineage(out.select(*encoded.columns, "input_hash"))
     out.write.mode("append").parquet(path)
     return out
 
 
 def read_capture_csv(spark: SparkSession, path: str, schema: str = "label string, Sensor_1 double, Sensor_2 double") -> DataFrame:
     """Labelled capture CSVs: the row order inside each file is the sequence.
-    Files are read unsplit (one task per file), and seq is the position of the
-    row in its file, so ordering never depends on partitioning."""
-    df = (spark.read.option("header", True).option("maxPartitionBytes", str(1 << 40)).schema(schema).csv(path)
-          .withColumn("source_file", F.input_file_name()))
-    # monotonically_increasing_id is increasing within a partition = a file here
-    df = df.withColumn("__mid", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-    w = Window.partitionBy("source_file").orderBy("__mid")
-    return df.withColumn("seq", F.row_number().over(w).cast("bigint")).drop("__mid")
+
+    The line number comes from the file, not from how Spark splits it: rows are
+    ordered by (file, start of their split, position in the split), which the
+    scan reports, and numbered per split plus the counts of earlier splits.
+    """
+    from eventlake.operators.ordered import seq_number
+
+    df = spark.read.option("header", True).schema(schema).csv(path)
+    df = df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__split"),
+                   F.monotonically_increasing_id().alias("__row"))
+    return seq_number(df, ["source_file"], ["__split", "__row"], F.col("__split")).drop("__split", "__row")
+
+
+def read_unknowns(spark: SparkSession, path: str) -> DataFrame:
+    """Unknown windows recorded as JSON lines: (stream_id, seq, dist, vec)."""
+    return spark.read.schema("stream_id string, seq bigint, dist double, vec array<double>").json(path)
+
+
+def write_unknowns(unknowns: DataFrame, path: str) -> None:
+    """Record novel windows as JSON lines, values to four digits."""
+    (unknowns.select("stream_id", "seq", F.round("dist", 4).alias("dist"), F.transform("vec", lambda x: F.round(x, 4)).alias("vec"))
+     .write.mode("append").json(path))
+
+
+def read_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """A signature library kept as one JSON object label -> vector: (label, vec)."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("label", "vec"))

@@ -21,10 +21,15 @@ def test_spk_roundtrip_and_bad_magic(spark, tmp_path):
     d.mkdir()
     _spk(d / "a.spk", [[1, 5, 9], [], [3]])
     (d / "b.spk").write_bytes(b"NOPE" + b"\0" * 20)
+    whole = (d / "a.spk").read_bytes()
+    (d / "c.spk").write_bytes(whole[:30])                                      # index cut off
+    (d / "d.spk").write_bytes(whole[:-2])                                      # last times cut off
+    (d / "e.spk").write_bytes(struct.pack("<4sII", b"SPK1", 1, 9) + struct.pack("<QI", 1 << 60, 1 << 31))
+    (d / "f.spk").write_bytes(b"SP")
     ev, rej = binary.read_spk(spark, str(d))
     got = sorted((r.channel, r.t) for r in ev.collect())
     assert got == [(0, 1), (0, 5), (0, 9), (2, 3)]
-    assert [r.status for r in rej.collect()] == ["bad_magic"]
+    assert sorted(r.status for r in rej.collect()) == ["bad_index", "bad_index", "bad_magic", "short_file", "short_index"]
 
 
 def test_spkl_torn_tail_and_dropped_channels(spark, tmp_path):

@@ -33,3 +33,34 @@ def test_fits_run_and_keep_constraints(spark):
     for r in ev.collect():
         norms[r.id] = norms.get(r.id, 0.0) + r.v * r.v
     assert max(norms.values()) <= 1.0 + 1e-9            # unit-ball projection
+
+
+def test_repeated_triples_score_and_rank_alone(spark):
+    ev = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 0.0), (2, 1, 0.5), (3, 0, 1.0), (3, 1, 0.0)], "id long, d int, v double")
+    rv = spark.createDataFrame([(0, 0, 0.5), (0, 1, -0.5)], "rel int, d int, v double")
+    tr = spark.createDataFrame([(1, 0, 2), (1, 0, 2), (3, 0, 2)], "head long, rel int, tail long")
+    got = sorted(round(r.score, 9) for r in graph.translational_score(tr, ev, rv).collect())
+    one = math.sqrt(1.5 ** 2 + 1.0 ** 2)
+    assert got == sorted([round(one, 9), round(one, 9), round(math.sqrt(1.5 ** 2 + 1.0), 9)])
+    cands = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "rel int, tail long")
+    once = {(r.head, r.tail): r.rank for r in graph.link_ranks(tr.distinct(), cands, ev, rv).collect()}
+    twice = [(r.head, r.tail, r.rank) for r in graph.link_ranks(tr, cands, ev, rv).collect()]
+    assert len(twice) == 3 and all(once[h, t] == k for h, t, k in twice)
+
+
+def test_fitted_relation_phases(spark):
+    turn, rng = {0: 0.7, 1: -0.7, 2: 1.4}, __import__("random").Random(1)
+    ph = [(i, d, rng.uniform(0, 6)) for i in range(20) for d in range(2)]
+    at = {(i, d): v for i, d, v in ph}
+    nodes, triples, n = list(ph), [], 20
+    for i in range(20):
+        for r, x in turn.items():
+            nodes += [(n, d, at[i, d] + x) for d in range(2)]
+            triples.append((i, r, n))
+            n += 1
+    ent = spark.createDataFrame(nodes, "id long, d int, v double")
+    rel = graph.fit_relation_phases(spark.createDataFrame(triples, "head long, rel int, tail long"), ent)
+    assert {(r.rel, r.d): round(r.v, 6) for r in rel.collect()} == {(r, d): x for r, x in turn.items() for d in range(2)}
+    ids = spark.createDataFrame([("inverse", 0, 1, None), ("double", 0, 0, 2), ("wrong", 0, 2, 1)], "name string, a int, b int, c int")
+    err = {r.name: r.err for r in graph.algebra_errors(rel, ids).collect()}
+    assert err["inverse"] < 1e-6 and err["double"] < 1e-6 and abs(err["wrong"] - 2.8) < 1e-6

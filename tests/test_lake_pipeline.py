@@ -1,7 +1,5 @@
 """Lake layout, pruning, staged publish, capture CSV order."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,11 +29,57 @@ def test_pipeline_publishes_only_after_gates(spark):
     res = pipeline.run_medallion(spark, ok, out, 50, n_channels=4, duration=500, table="gold_t")
     assert spark.read.parquet(res.gold).count() == 4
     assert spark.table("gold_t").count() == 4
-    out2 = run_dir(spark, "t-medallion-bad")
-    bad = ok.unionByName(_ev(spark, [("s", 9, 10)]))
+    assert {r.icr for r in spark.read.parquet(res.gold).select("icr").collect()} != {None}
+    assert spark.read.parquet(res.gold.replace("/gold", "/handoff")).count() > 0
+    again = pipeline.run_medallion(spark, ok, out, 50, n_channels=4, duration=500)
+    assert pipeline.current_run(spark, out) == again.gold.removesuffix("/gold") != res.gold.removesuffix("/gold")
+
+
+@pytest.mark.parametrize("bad", ["channel", "time", "null", "fraction", "gold"])
+def test_each_gate_fails_the_job(spark, bad):
+    out = run_dir(spark, "t-medallion-bad")
+    ok = _ev(spark, [("s", c, t) for c in range(4) for t in range(0, 500, 3 + c)])
+    extra = {"channel": ("s", 9, 10), "time": ("s", 1, 500), "null": ("s", None, 3)}.get(bad)
+    rows = ok.unionByName(_ev(spark, [extra])) if extra else ok
+    if bad == "fraction":          # seen before the cast to Bronze
+        rows = ok.withColumn("t", F.col("t") + F.when(F.col("t") == 9, 0.5).otherwise(0.0))
+    if bad == "gold":              # a duration of 0 gives rates that are not finite; bounds off so that only K4 can see it
+        with pytest.raises(quality.DataQualityError):
+            gold = spark.createDataFrame([("s", 1, 5, float("inf"), 0.1)], "stream_id string, channel int, count long, rate double, synchrony_cv double")
+            quality.gate(ok, None, None, gold=gold)
+        icr = spark.createDataFrame([("s", 1.5)], "stream_id string, icr double")
+        with pytest.raises(quality.DataQualityError):
+            quality.gate(ok, None, None, gold=gold.withColumn("rate", F.lit(1.0)), icr=icr)
+        return
     with pytest.raises(quality.DataQualityError):
-        pipeline.run_medallion(spark, bad, out2, 50, n_channels=4, duration=500)
-    assert not os.path.exists(out2.replace("file:", "") + "/gold")
+        pipeline.run_medallion(spark, rows, out, 50, n_channels=4, duration=500)
+    assert pipeline.current_run(spark, out) is None
+
+
+def test_a_change_between_two_runs_is_seen(spark):
+    out = run_dir(spark, "t-medallion-mut")
+    ok = _ev(spark, [("s", c, t) for c in range(4) for t in range(0, 500, 3 + c)])
+    res = pipeline.run_medallion(spark, ok, out, 50, n_channels=4, duration=500)
+    lake.write_bronze(_ev(spark, [("s", 1, 1)]), res.bronze, mode="append")
+    with pytest.raises(quality.DataQualityError):
+        pipeline.run_medallion(spark, ok, out, 50, n_channels=4, duration=500)
+
+
+def test_encodings_are_saved_once(spark):
+    out = run_dir(spark, "t-enc")
+    wins = spark.createDataFrame([(1, [0.5, 0.2]), (2, [0.1, 0.9])], "window_id long, vec array<double>")
+    from eventlake.operators import encode
+    for _ in range(2):
+        lake.save_encodings(wins, encode.latency_events(wins), out)
+    assert spark.read.parquet(out).count() == encode.latency_events(wins).count() == 4
+
+
+def test_unknowns_and_signatures_read_back(spark, tmp_path):
+    unk = spark.createDataFrame([("s", 1, 1.23456, [0.123456, 1.0])], "stream_id string, seq long, dist double, vec array<double>")
+    lake.write_unknowns(unk, f"{tmp_path}/u")
+    assert [tuple(r) for r in lake.read_unknowns(spark, f"{tmp_path}/u").collect()] == [("s", 1, 1.2346, [0.1235, 1.0])]
+    (tmp_path / "lib.json").write_text('{"A": [1.0, 0.5], "B": []}')
+    assert sorted((r.label, r.vec) for r in lake.read_signatures(spark, f"{tmp_path}/lib.json").collect()) == [("A", [1.0, 0.5]), ("B", [])]
 
 
 def test_capture_csv_sequence_follows_file_order(spark, tmp_path):
@@ -46,6 +90,14 @@ def test_capture_csv_sequence_follows_file_order(spark, tmp_path):
             f.write("label,Sensor_1,Sensor_2\n")
             for i in range(n):
                 f.write(f"{name[0]},{i},{-1 if i % 3 == 0 else i * 2}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")           # many splits per file
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = sorted((r.label, r.seq, r.Sensor_1) for r in lake.read_capture_csv(spark, str(p)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows == sorted([("A", i + 1, float(i)) for i in range(30)] + [("B", i + 1, float(i)) for i in range(7)])
     df = lake.read_capture_csv(spark, str(p))
     rows = sorted((r.label, r.seq, r.Sensor_1) for r in df.collect())
     assert rows == sorted([("A", i + 1, float(i)) for i in range(30)] + [("B", i + 1, float(i)) for i in range(7)])
