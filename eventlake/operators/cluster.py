@@ -124,3 +124,30 @@ def auto_radius(library: DataFrame, seed: int = 0, noise: float = 0.08, vec: str
         hash_uniform(seed, F.col("label"), i) * 2 - 1) * F.lit(noise)))).alias(vec))
     d = match.van_rossum(jit.withColumnRenamed("label", "window_id"), library, vec=vec)
     return d.filter(F.col("window_id") == F.col("label")).agg((F.avg("dist") * 1.5).alias("radius"))
+
+
+def close_loop(spark, base: str, library: DataFrame, radius: float | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """One turn of discovery: the recorded unknowns not consumed so far are
+    clustered per stream, clusters with enough support join the library as
+    ``DISCOVERED_<n>`` (numbering goes on over streams and turns), and all of
+    them are marked consumed.  Returns (label, vec): the library after it.
+
+    ``{base}/unknowns`` holds the records, ``{base}/consumed`` their keys.
+    """
+    from eventlake.session import cut_lineage
+    from eventlake.sources import lake
+
+    fresh = lake.read_unknowns(spark, f"{base}/unknowns")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/consumed")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        fresh = fresh.join(spark.read.parquet(f"{base}/consumed"), ["stream_id", "seq"], "left_anti")
+    fresh = cut_lineage(fresh)
+    if radius is None:
+        radius = auto_radius(library).first()["radius"]
+    found = cluster_summary(fresh, leader_clusters(fresh, radius or 0.0)).filter(F.col("size") >= min_support)
+    have = library.where(F.col("label").startswith("DISCOVERED_")).count()
+    order = Window.orderBy(F.col("size").desc(), "stream_id", "cluster_id")      # promoted clusters only
+    new = found.select(F.concat(F.lit("DISCOVERED_"), (F.row_number().over(order) + have).cast("string")).alias("label"), "vec")
+    grown = cut_lineage(library.select("label", "vec").unionByName(new))
+    fresh.select("stream_id", "seq").write.mode("append").parquet(f"{base}/consumed")
+    return grown

@@ -154,6 +154,18 @@ def hash_split(df: DataFrame, key_cols, seed: int, test_fraction: float = 0.15)
     return df.withColumn("split", F.when(u < F.lit(test_fraction), F.lit("test")).otherwise(F.lit("train")))
 
 
+def spread_sample(df: DataFrame, key_cols, k: int, seed: int, label: str | None = None) -> DataFrame:
+    """Exactly ``k`` rows (all, if fewer) spread over the whole input, or ``k``
+    per ``label``: the smallest keyed uniforms, so the order of the source does
+    not matter.  ``k`` is the feature; the limit is applied in each task first."""
+    from eventlake.functions.rng import hash_uniform
+    keyed = df.withColumn("__u", hash_uniform(seed, *[F.col(c) for c in key_cols]))
+    if label is None:
+        return keyed.orderBy("__u", *key_cols).limit(int(k)).drop("__u")
+    w = Window.partitionBy(label).orderBy("__u", *key_cols)
+    return keyed.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= int(k)).drop("__u", "__n")
+
+
 def novelty_gate(nearest: DataFrame, is_known: str = "known", d: str = "best_dist") -> DataFrame:
     """Gate at the midpoint ``(max known + min novel) / 2`` -> one row."""
     return nearest.agg(F.max(F.when(F.col(is_known), F.col(d))).alias("max_known"),

@@ -158,6 +158,20 @@ def q_hash_split(spark, sf):
     return match.hash_split(_signals(spark, sf), ["window_id"], HASH_SEED).select("window_id", "split")
 
 
+SPREAD_K = 40       # rows of a spread sample, and per label
+
+
+@query("spread_sample", f"SELECT vec_id AS window_id FROM embeddings ORDER BY {sql_hash_uniform(HASH_SEED, 'vec_id')}, vec_id LIMIT {SPREAD_K}")
+def q_spread(spark, sf):
+    return match.spread_sample(_signals(spark, sf), ["window_id"], SPREAD_K, HASH_SEED).select("window_id")
+
+
+@query("spread_sample_per_label", "SELECT window_id, label FROM (SELECT vec_id AS window_id, CAST(label AS VARCHAR) AS label, row_number() OVER "
+       f"(PARTITION BY label ORDER BY {sql_hash_uniform(HASH_SEED, 'vec_id')}, vec_id) AS n FROM embeddings) WHERE n <= {SPREAD_K}")
+def q_spread_label(spark, sf):
+    return match.spread_sample(_signals(spark, sf), ["window_id"], SPREAD_K, HASH_SEED, "label").select("window_id", "label")
+
+
 @query("prototypes", f"WITH {NORM_SQL}, {SPLIT_SQL}, {PROTO_SQL} SELECT label, i, round(v, 6) AS v FROM proto")
 def q_prototypes(spark, sf):
     lib = _library(spark, sf)
@@ -261,6 +275,19 @@ def q_promote(spark, sf):
     return cluster.promote(summ, lib.select("label"), name_largest="WAVE").select("stream_id", "label", "size")
 
 
+@query("discover", None, note="unknowns recorded, clustered, promoted, joined to the library; consumed unknowns marked")
+def q_discover(spark, sf):
+    from eventlake.operators import cluster
+    from eventlake.sources import lake
+    from eventlake.streaming.common import run_dir
+    base = run_dir(spark, "discover")
+    lib = _library(spark, sf, KNOWN_LABELS)
+    lake.write_unknowns(_unknowns(spark, sf), f"{base}/unknowns")
+    grown = cluster.close_loop(spark, base, lib)
+    again = cluster.close_loop(spark, base, grown)          # everything is consumed: nothing new
+    return again.select("label", F.size("vec").alias("n"))
+
+
 # ---- matcher noise sweep (F30): all noise levels in one job
 NOISE_LEVELS = [0.0, 0.1, 0.2, 0.4]
 NOISE_SEED = 13

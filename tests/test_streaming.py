@@ -69,6 +69,21 @@ def test_coincidence_on_shuffled_micro_batches(spark):
     assert sorted(r.t for r in out) == patterns.detect([e[0] for e in ev], [e[1] for e in ev], q, "subdetector")[0]
 
 
+def test_sequence_on_shuffled_micro_batches(spark):
+    base = run_dir(spark, "t-seq")
+    schema = "stream_id string, channel int, t long"
+    rng = random.Random(10)
+    rows = sorted([("s", rng.choice([1, 2, 3]), rng.randint(0, 1500)) for _ in range(240)], key=lambda r: r[2] + rng.randint(0, 50))
+    chunks = [rows[i * 60:(i + 1) * 60] for i in range(4)] + [[("s", None, None)]]
+    for i, part in enumerate(chunks):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/src/p{i}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+        _run(stateful.sequence_stream(stream, [1, 3, 2], 60, delay=50), base)
+    got = sorted((r.t_start, r.t_match) for r in spark.read.parquet(f"{base}/out").collect())
+    want = patterns.sequence(spark.createDataFrame(rows, schema), [1, 3, 2], 60).collect()
+    assert len(got) > 50 and got == sorted((r.t_start, r.t_match) for r in want)
+
+
 def test_reflex_equals_batch_whatever_the_arrival(spark):
     """Dangerous rows 5-7 arrive before 1-3; beyond the bound they come out late."""
     schema = "device_id long, seq long, t long, vals array<double>"
