@@ -173,6 +173,13 @@ def novelty_gate(nearest: DataFrame, is_known: str = "known", d: str = "best_dis
         "max_known", "min_novel", ((F.col("max_known") + F.col("min_novel")) / 2.0).alias("gate"))
 
 
+def hybrid_match(nearest: DataFrame, gate: DataFrame, learned: str = "learned", d: str = "best_dist") -> DataFrame:
+    """Gate first, then the learned label: adds ``hybrid``, null for a window
+    farther from every reference than the one-row ``gate``."""
+    return (nearest.join(F.broadcast(gate.select(F.col("gate").alias("__gate"))), how="cross")
+            .withColumn("hybrid", F.when(F.col(d) <= F.col("__gate"), F.col(learned))).drop("__gate"))
+
+
 def match_stats(results: DataFrame, truth: str = "true_label", pred: str = "match") -> DataFrame:
     """events, matched, correct, rejected, labeled; accuracy over labeled,
     rejection rate over unlabeled (novel) windows."""

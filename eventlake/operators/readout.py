@@ -185,6 +185,21 @@ def fit_readout(windows: DataFrame, vec: str = "vec", label: str = "label", spli
         "accuracy", F.col("correct") / F.col("n_test"))
 
 
+def learned_labeller(train: DataFrame, vec: str = "vec", label: str = "label", max_iter: int = 50):
+    """Fit the readout on ``train`` and return a function that adds ``learned``
+    (the most likely label) to windows: a projection, no shuffle."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    lit = lambda d: d.withColumn("__features", array_to_vector(F.transform(vec, lambda v: F.when(v >= 0.5, 1.0).otherwise(0.0))))
+    index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
+    model = LogisticRegression(featuresCol="__features", labelCol="__y", family="multinomial", fitIntercept=False,
+                               maxIter=max_iter, predictionCol="__at", rawPredictionCol="__raw", probabilityCol="__p").fit(lit(index.transform(train)))
+    names = F.array(*[F.lit(x) for x in index.labels])
+    return lambda d: model.transform(lit(d)).select(*d.columns, F.get(names, F.col("__at").cast("int")).alias("learned"))
+
+
 LOAD_BALANCE = 6.0   # fixed value: router penalty on over-used experts
 
 

@@ -337,3 +337,35 @@ def q_noise_sweep(spark, sf):
         F.count_if(F.col("true_label").isNull()).alias("novel"))
     return out.select("*", F.try_divide(F.col("correct"), F.col("labeled")).alias("accuracy"),
                       F.try_divide(F.col("novel_rejected"), F.col("novel")).alias("rejection_rate"))
+
+
+# ---- hybrid matcher (F11) and the three matchers over the noise levels (F30)
+def _matchers(spark, sf, windows):
+    """Template, learned and hybrid label of windows (window_id, label, vec, ...)."""
+    from eventlake.operators import readout
+    known = _split(spark, sf).filter(F.col("label").isin(KNOWN_LABELS))
+    lib = _library(spark, sf, KNOWN_LABELS)
+    gate = match.novelty_gate(match.nearest_two(_test(spark, sf), lib).withColumn("known", F.col("label").isin(KNOWN_LABELS)))
+    near = match.ratio_match(match.nearest_two(windows, lib)).withColumnRenamed("match", "template")
+    learned = readout.learned_labeller(known.filter(F.col("split") == "train").select("label", "vec"))
+    return match.hybrid_match(learned(near), gate)
+
+
+@query("hybrid_match", None, note="novelty gate, then the learned readout's label (Spark ML fit)")
+def q_hybrid(spark, sf):
+    return _matchers(spark, sf, _test(spark, sf)).select("window_id", "label", "template", "learned", "hybrid", F.round("best_dist", 6).alias("best_dist"))
+
+
+@query("noise_sweep_matchers", None, note="accuracy on known and rejection on novel windows of the three matchers by noise level")
+def q_noise_matchers(spark, sf):
+    from eventlake.functions.rng import hash_uniform
+    levels = spark.createDataFrame([(g, s) for g, s in enumerate(NOISE_LEVELS)], "level int, noise double")
+    grid = _test(spark, sf).join(F.broadcast(levels), how="cross")       # fixed 4-row parameter table
+    jit = F.transform("vec", lambda v, i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v + (
+        hash_uniform(NOISE_SEED, F.col("window_id"), i, F.col("level")) * 2 - 1) * F.col("noise"))))
+    m = _matchers(spark, sf, grid.select((F.col("window_id") * 8 + F.col("level")).alias("window_id"), "noise", "label", jit.alias("vec")))
+    known = F.col("label").isin(KNOWN_LABELS)
+    one = m.select("noise", "label", F.explode(F.array(*[F.struct(F.lit(k).alias("matcher"), F.col(k).alias("says")) for k in ("template", "learned", "hybrid")])).alias("r"))
+    return one.groupBy("noise", "r.matcher").agg(
+        F.avg(F.when(known, F.coalesce(F.col("r.says") == F.col("label"), F.lit(False)).cast("double"))).alias("accuracy"),
+        F.avg(F.when(~known, F.col("r.says").isNull().cast("double"))).alias("rejection_rate"))
