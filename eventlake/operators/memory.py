@@ -4,8 +4,8 @@
 Memory = (bank, pattern_id, neuron) rows; a cue = (bank, cue_id, neuron).
 With ``a = k/N``, ``d_p = |xi_p & s| - a|s|`` and
 ``S_i = sum_{p contains i} d_p - [i in s](cnt_i (1-a)^2 + (P - cnt_i) a^2)``.
-Splitting ``sum d_p = sum |xi_p & s| - a |s| cnt_i`` leaves an inverted-index
-join over overlapping patterns only, plus per-neuron counts ``cnt_i``.
+Splitting ``sum d_p = sum |xi_p & s| - a |s| cnt_i`` leaves sums over a sparse
+co-occurrence table, built once, plus per-neuron counts ``cnt_i``.
 Every neuron of [0, N) is a candidate for the top-k (untouched neurons
 score ``-a|s|cnt_i`` or 0).
 """
@@ -26,14 +26,17 @@ class MemoryIndex:
 
     def __init__(self, memory: DataFrame, n: int, checkpoint: bool = False):
         self.memory = memory.select("bank", "pattern_id", "neuron")
-        self.by_neuron = self.by_pattern = self.memory
+        # sparse co-occurrence: in how many patterns of the bank j and i are both set.
+        # sum_{p has i} |p & s| = sum_{j in s} together(j, i), so a step needs neither
+        # patterns nor (cue, pattern) pairs; its size is sum |p|^2, whatever the cues
+        pair = (self.memory.join(self.memory.select("bank", "pattern_id", F.col("neuron").alias("other")), ["bank", "pattern_id"])
+                .groupBy("bank", "neuron", "other").agg(F.count(F.lit(1)).alias("together")))
         if checkpoint:
-            # reused by every step: materialise once, already hash-partitioned on
-            # the two join keys so later steps shuffle only the (small) cue side
+            # reused by every step: materialise once, hash-partitioned on the join key,
+            # so that later steps shuffle only the (small) cue side
             parts = int(memory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            self.by_neuron = cut_lineage(self.memory.repartition(parts, "bank", "neuron"))
-            self.by_pattern = cut_lineage(self.memory.repartition(parts, "bank", "pattern_id"))
-            self.memory = self.by_neuron
+            pair = cut_lineage(pair.repartition(parts, "bank", "neuron"))
+        self.pair = pair
         self.n = n
         P = self.memory.groupBy("bank").agg(F.countDistinct("pattern_id").alias("P"))
         cnt = self.memory.groupBy("bank", "neuron").agg(F.count(F.lit(1)).alias("cnt"))
@@ -83,10 +86,8 @@ def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512,
     hi2, lo2 = (1 - a) ** 2, a * a
     cues = cues.select("bank", "cue_id", "neuron")
     m = cues.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("m"))
-    ov = (cues.join(idx.by_neuron, ["bank", "neuron"]).groupBy("bank", "cue_id", "pattern_id")
-          .agg(F.count(F.lit(1)).alias("ov")))
-    o = (ov.join(idx.by_pattern, ["bank", "pattern_id"]).groupBy("bank", "cue_id", "neuron")
-         .agg(F.sum("ov").alias("O")))
+    o = (cues.join(idx.pair, ["bank", "neuron"]).groupBy("bank", "cue_id", F.col("other").alias("neuron"))
+         .agg(F.sum("together").alias("O")))
     if n <= dense_limit:
         return _step_arrays(idx, cues, o, n, k, as_sets)
     else:
