@@ -22,6 +22,7 @@ add up (task, source) totals, then cut every document by arithmetic.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
@@ -37,35 +38,72 @@ from eventlake.llm.textcols import raw, text_array
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 600_000               # distinct words kept per worker
+MEMO = 250_000               # distinct words per generation of a worker's memory
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 MAX_BROADCAST_ROWS = 200_000  # (task, source) offsets; beyond it they are joined by a shuffle
 MAX_QUEUES = 100_000         # sources of a mixture; their totals are planned on the driver
 
 
 class WordTokenizer:
-    """Token ids of a text by a tokenizer whose pieces never cross ASCII white
-    space: each distinct word is encoded once and remembered."""
+    """Token ids of a text by a lower-casing tokenizer whose pieces never cross
+    ASCII white space nor the border between a letter and a full stop or comma:
+    each distinct word is encoded once and remembered (two generations, so
+    frequent words stay and memory is bounded)."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[bytes, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, group: list[bytes]) -> None:
+        for w, e in zip(group, self.tok.encode_batch_fast([w.decode("utf-8") for w in group], add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new words: plain words many at a time, told apart by the
+        tokens that end a word; the others one by one."""
+        plain, odd = [], []
+        for w in new:
+            (plain if w.decode("utf-8").lower().isalpha() else odd).append(w)
+        for at in range(0, len(plain), 4000):
+            groups = [plain[i:i + 100] for i in range(at, min(at + 4000, len(plain)), 100)]
+            found = self.tok.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, dtype=self.dtype)
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) != len(g) or cut[-1] != len(ids):       # some word is more than one piece
+                    self._one_by_one(g)
+                    continue
+                packed, size, a = ids.tobytes(), self.dtype.itemsize, 0
+                for w, b in zip(g, (cut * size).tolist(), strict=True):
+                    self.young[w] = packed[a:b]
+                    a = b
+        for at in range(0, len(odd), 4000):
+            self._one_by_one(odd[at:at + 4000])
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Ids of each UTF-8 text, followed by ``end``, as packed integers."""
-        parts = [t.split() for t in texts]
-        memo = self.memo
-        new = list({w for p in parts for w in p if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for p in parts for w in p})
-        if new:
-            for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join([*[memo[w] for w in p], end]) for p in parts]
+        # lower-casing first could only change a special token's spelling
+        parts = [_STOP.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+        young, old, new = self.young, self.old, []
+        for w in {w for p in parts for w in p}:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        out = [b"".join([*[young[w] for w in p], end]) for p in parts]
+        if len(young) > MEMO:
+            self.old, self.young = young, {}
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -91,7 +129,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, s
             data, off = raw(text_array(batch.column("text")))
             lo = 0
             while lo < batch.num_rows:
-                hi = min(max(int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1, lo + 1), lo + 512, batch.num_rows)
+                hi = min(max(int(np.searchsorted(off, off[lo] + (1 << 19), side="right")) - 1, lo + 1), lo + 256, batch.num_rows)
                 ids = tok.encode([data[off[i]:off[i + 1]].tobytes() for i in range(lo, hi)], end)
                 queues = batch.column("queue").slice(lo, hi - lo).to_pylist()
                 n = [len(x) // tok.dtype.itemsize for x in ids]
@@ -226,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     out.append((start, size, cols["n"][i], seq, offset, cols["queue"][i][1:] if cols["queue"][i] != "none" else None,
                                 doc[4 * start:4 * (start + size)]))
                     row.append(i)
-                if len(out) >= 20_000 or i == batch.num_rows - 1:
+                if len(out) >= 5_000 or i == batch.num_rows - 1:
                     if out:
                         yield _pieces(batch, row, out)
                     out, row = [], []

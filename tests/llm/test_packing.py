@@ -62,11 +62,16 @@ def test_given_documents(spark):
                 assert abs(by[src] - 2048 * n / total) <= 2 * 5    # within the depth of the tree at either end
 
 
-def test_words_can_be_encoded_alone():
+def test_words_can_be_encoded_alone(monkeypatch):
     rng = random.Random(1)
     odd = ["".join(rng.choice("aB é́\n\t\x0b\x0c\x1c\x85  ΣσİßÅÅ<|endoftext|>'s 12日😀") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    odd += ["<|ENDOFTEXT|> A.", "a. b, c.d e., f.. 1. ». é. İa ǅ ﬁ ʼn Ǆ. end.", "x.\n\ny,", "..", ",", "a,"]
     odd += ["<|endoftext|> x<|startoftext|>y", "don't 'S 'll", ""]
+    words = [w for _, t in duckdb.sql(f"select doc_id, text from '{SF01}/documents.parquet' limit 60").fetchall() for w in [t]]
+    odd += words
+    monkeypatch.setattr(packing, "MEMO", 500)
     tok = packing.WordTokenizer(PATH)
+    assert [tok.encode([t.encode()], b"")[0] for t in words] == tok.encode([t.encode() for t in words], b"")
     got = [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode([t.encode() for t in odd], np.array([1], tok.dtype).tobytes())]
     assert got == reference(odd)
 
