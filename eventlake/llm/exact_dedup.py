@@ -54,7 +54,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # number repeated rows before the join: keyed by id, so a hot group stays spread and its join can be split
     same = Window.partitionBy(f"{_P}id", f"{_P}h", f"{_P}d").orderBy(F.lit(0))
     numbered = base.select(f"{_P}id", f"{_P}h", f"{_P}d", F.row_number().over(same).alias(f"{_P}r"))
-    rows = numbered.join(groups, [f"{_P}h", f"{_P}d"])
+    # one joint key: the groups then pass an exchange of their own, without which AQE could not split a hot group's rows
+    joint = F.concat(f"{_P}h", f"{_P}d")
+    rows = (numbered.select(f"{_P}id", f"{_P}d", f"{_P}r", joint.alias(f"{_P}k"))
+            .join(groups.select(joint.alias(f"{_P}k"), "keep_id", "group_size"), f"{_P}k"))
     kept = F.col(f"{_P}id").eqNullSafe(F.col("keep_id")) & (F.col(f"{_P}r") == 1)
     # without any id in the group every row is numbered by the same key, so exactly one is kept there too
     return rows.select(F.col(f"{_P}id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
