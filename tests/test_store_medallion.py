@@ -122,7 +122,7 @@ def test_size_for_scales_partitions(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         conf = size_for(spark, 100 * (1 << 40))
-        assert int(conf["spark.sql.shuffle.partitions"]) == 200_000      # capped
+        assert int(conf["spark.sql.shuffle.partitions"]) == 409_600      # input / 256 MB, no cap
         assert int(size_for(spark, 10 << 30)["spark.sql.shuffle.partitions"]) == 40
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
