@@ -9,13 +9,15 @@ on the input.
   ``window - v + 1`` words at positions p with p mod v in D, makes any two equal
   windows share an anchor at the same distance from their starts.
 * An anchor that occurs in a single document lies in no repeated window.  The
-  others are *extended*: every window over them is hashed with 128 bits.
+  others are *extended*: every window over them is hashed with 96 bits.
 * A window hash goes to the smallest document that holds it; the later ones
   lose the words it covers.
 
-Anchors and windows are thin rows (hash, id, position), combined before the
-shuffle for the minimum and maximum id; the join back may be split where one
-passage is hot.  Documents travel once, keyed by row, as text.
+Of equal texts only the one with the smallest id takes part: a later copy of
+``window`` words or more loses all of them.  Anchors and windows are thin rows
+(hash, id, position), combined before the shuffle for the minimum and maximum
+id; the join back may be split where one passage is hot.  The texts are
+shuffled once, compressed, by id, and every step reads that exchange again.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +61,44 @@ def cover_mask(v: int) -> np.ndarray:
     return mask
 
 
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(id, row, packed): each whole text compressed, as it goes through the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
+        for batch in batches:
+            data, off = raw(text_array(batch.column("text")))
+            packed = [z.compress(data[off[i]:off[i + 1]]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(packed, pa.binary())], names=["id", "row", "packed"])
+
+    return rows.mapInArrow(run, "id bigint, row bigint, packed binary")
+
+
+def _unpacked(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch with their texts."""
+    z = zstandard.ZstdDecompressor()
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        texts = [z.decompress(x.as_buffer()) for x in part.column("packed")]
+        yield part, pa.array(texts, pa.large_binary()).view(pa.large_string())
+
+
 def _position(w: Words) -> np.ndarray:
     """Word number within its document."""
     return np.arange(int(w.offsets[-1])) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
 
 
-def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, row, id, pos) of the documents of at least ``window`` words."""
+def anchors(rows: DataFrame, window: int, key: list[str]) -> DataFrame:
+    """(anchor, row, id, pos) of the documents of at least ``window`` words; the
+    48-bit anchor hash only selects, so a collision costs work, not correctness."""
     v = period_for(window)
     size, mask = window - v + 1, cover_mask(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in (x for whole in batches for x in _unpacked(whole)):
             row = batch.column("row").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for w in words(text_array(batch.column("text"))):
+            for w in words(texts):
                 total = int(w.offsets[-1])
                 if not total:
                     continue
@@ -81,23 +107,24 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
                 pick = np.flatnonzero(mask[pos % v] & starts_of_grams(w.offsets, size) & long_doc)
                 doc = w.doc_of_word()[pick] + w.lo
                 yield pa.RecordBatch.from_arrays(
-                    [long_column(gram_hashes(w.hashes[0], size)[pick]), pa.array(row[doc]), pa.array(ids[doc]), pa.array(pos[pick].astype(np.int32))],
+                    [long_column(gram_hashes(w.hashes[0], size)[pick] >> np.uint64(16)), pa.array(row[doc]), pa.array(ids[doc]), pa.array(pos[pick].astype(np.int32))],
                     names=["anchor", "row", "id", "pos"])
 
-    return rows.mapInArrow(run, "anchor bigint, row bigint, id bigint, pos int")
+    return rows.mapInArrow(run, "anchor bigint, row bigint, id bigint, pos int").select("anchor", *key, "pos")
 
 
-def extended_windows(rows_with_anchors: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, row, id, pos): every window over a shared anchor."""
+def extended_windows(rows_with_anchors: DataFrame, window: int, key: list[str]) -> DataFrame:
+    """(h1, place, *key): every window over a shared anchor.  ``h1`` is 64 bits
+    of its hash; ``place`` holds its position and, in the low 32 bits, the rest."""
     size = window - period_for(window) + 1
     back = window - size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in (x for whole in batches for x in _unpacked(whole)):
             row = batch.column("row").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             marks, mark_off = _list(batch.column("marks"))
-            for w in words(text_array(batch.column("text")), seeds=2):
+            for w in words(texts, seeds=2):
                 n = int(w.offsets[-1])
                 if not n:
                     continue
@@ -110,11 +137,10 @@ def extended_windows(rows_with_anchors: DataFrame, window: int) -> DataFrame:
                 pick = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & starts_of_grams(w.offsets, window))
                 doc = w.doc_of_word()[pick] + w.lo
                 yield pa.RecordBatch.from_arrays(
-                    [long_column(gram_hashes(w.hashes[0], window)[pick]), long_column(gram_hashes(w.hashes[1], window, 77)[pick]),
-                     pa.array(row[doc]), pa.array(ids[doc]), pa.array(_position(w)[pick].astype(np.int32))],
-                    names=["h1", "h2", "row", "id", "pos"])
+                    [long_column(gram_hashes(w.hashes[0], window)[pick]), pa.array((_position(w)[pick] << 32) | (gram_hashes(w.hashes[1], window, 77)[pick] >> np.uint64(32)).astype(np.int64)),
+                     pa.array(row[doc]), pa.array(ids[doc])], names=["h1", "place", "row", "id"])
 
-    return rows_with_anchors.mapInArrow(run, "h1 bigint, h2 bigint, row bigint, id bigint, pos int")
+    return rows_with_anchors.mapInArrow(run, "h1 bigint, place bigint, row bigint, id bigint").select("h1", "place", *key)
 
 
 def _list(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +153,10 @@ def cut(rows_with_windows: DataFrame, window: int) -> DataFrame:
     """(id, n_words, n_removed, kept): the kept words of each row joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in (x for whole in batches for x in _unpacked(whole)):
             marks, off = _list(batch.column("marks"))
-            data, toff = raw(text_array(batch.column("text")))
+            copy = batch.column("copy").to_pylist()
+            data, toff = raw(texts)
             for lo in range(0, batch.num_rows, 256):
                 hi = min(lo + 256, batch.num_rows)
                 n_words, n_removed, kept = [], [], []
@@ -137,7 +164,10 @@ def cut(rows_with_windows: DataFrame, window: int) -> DataFrame:
                     ws = data[toff[i]:toff[i + 1]].tobytes().split()
                     starts = marks[off[i]:off[i + 1]]
                     gone = 0
-                    if len(starts):
+                    if copy[i] and len(ws) >= window:
+                        gone = len(ws)
+                        kept.append(b"")
+                    elif len(starts):
                         edge = np.zeros(len(ws) + 1, dtype=np.int64)
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + window, -1)
@@ -165,16 +195,28 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     last = (1 << 63) - 1
     text = F.coalesce(F.col(text_col), F.lit(""))
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"))
+    repeated = not ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # (id, row) names a row; rows equal in both are equal and get equal results
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    key = ["id", "row"]
-    found = anchors(rows, window)
+    row = F.xxhash64(text) if repeated else F.lit(0).cast("bigint")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), row.alias("row"), text.alias("text"))
+    key = ["id", "row"] if repeated else ["id"]
+    names = rows.select("id", "row", F.unhex(F.md5("text")).alias("md5"))
+    first = names.groupBy("md5").agg(F.min(F.struct("id", "row")).alias("f")).select("md5", F.col("f.id").alias("fid"), F.col("f.row").alias("frow"))
+    # said here, since joins would infer it on some sides only and the exchange could not be reused
+    rows = packed_texts(rows).where(F.col("id").isNotNull())
+    alone = first.select(F.col("fid").alias("id"), F.col("frow").alias("row")).select(*key)
+    copies = names.join(first.select("md5", "fid"), "md5").where("id > fid").select(*key).distinct()
+    found = anchors(rows.join(alone, key, "left_semi"), window, key)
     shared = (found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("shared")))
     marks = found.join(shared, F.col("anchor") == F.col("shared")).groupBy(*key).agg(F.collect_set("pos").alias("marks"))
-    windows = extended_windows(rows.join(marks, key), window)
-    first = (windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    windows = extended_windows(rows.join(marks, key), window, key)
+    rest = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    least = (windows.groupBy("h1", rest.alias("h2")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
              .select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lo"))
-    covered = (windows.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-               .where(F.col("id") > F.col("lo")).groupBy(*key).agg(F.collect_set("pos").alias("marks")))
-    out = cut(rows.join(covered, key, "left"), window)
+    covered = (windows.join(least, (F.col("h1") == F.col("g1")) & (rest == F.col("g2")))
+               .where(F.col("id") > F.col("lo")).groupBy(*key).agg(F.collect_set(F.shiftright("place", 32).cast("int")).alias("marks")))
+    verdict = covered.withColumn("copy", F.lit(False)).unionByName(
+        copies.select(*key, F.array().cast("array<int>").alias("marks"), F.lit(True).alias("copy")))
+    out = cut(rows.join(verdict, key, "left"), window)
     return out.select(F.nullif("id", F.lit(last)).alias(id_col), "n_words", "n_removed", "kept")
