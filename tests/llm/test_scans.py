@@ -107,6 +107,17 @@ def test_personal_data_matches_brute_force(spark, make_docs, table_dir):
         assert r.base_sha256 == digest(want, ["email", "ip", "card", "phone"])
 
 
+def test_full_disclosure_is_an_exact_tie(spark):
+    """Terms in the very documents of their entity reach alpha = 1 whatever N and c(e)."""
+    near = "array<struct<term:string,start:bigint,end:bigint,entity:string>>"
+    sizes = range(2, 60)
+    found = spark.createDataFrame(
+        [(1000 * c + k, 1000 * c + k, [(f"t{c}", 0, 1, f"e{c}")], [f"t{c}"]) for c in sizes for k in range(c)], f"id long, row long, near {near}, words array<string>")
+    counts = spark.createDataFrame([(f"t{c}", c) for c in sizes], "term string, n long")
+    for n in (28_001, 30_000_001):
+        assert pii.disclosing_pairs(found, counts, n, 1.0, 2).count() == len(sizes)
+
+
 def test_disclosing_terms(spark, make_docs):
     rows = [(i, f"alpha{i} the zorblax kim@x.org and beta{i}") for i in range(3)]
     rows += [(100 + i, f"the and other words {i}") for i in range(60)]
