@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from collections import Counter
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from eventlake.llm import catalog, pii, secrets, tokens
@@ -107,6 +109,17 @@ def test_personal_data_matches_brute_force(spark, make_docs, table_dir):
         assert r.base_sha256 == digest(want, ["email", "ip", "card", "phone"])
 
 
+def test_terms_that_also_occur_elsewhere(spark, make_docs):
+    rows = [(i, f"here zorblax kim@x.org and words a{i}") for i in range(10)]
+    rows += [(10, "kim@x.org has five more words before zorblax"), (11, "zorblax alone"), (12, "zorblax again")]
+    rows += [(100 + i, f"here and other words {i}") for i in range(400)]
+    got = {r.doc_id: [t[s.start:s.end] for s in r.spans if s.kind == "term"] for r in pii.scan_personal_data(make_docs(rows)).collect() for t in [dict(rows)[r.doc_id]]}
+    assert all(got[i] == ["zorblax"] for i in range(10)) and all(got[i] == [] for i in (11, 12, 100))
+    found = pii.find_entities(make_docs(rows), "doc_id", "text", 4).withColumn("row", F.monotonically_increasing_id())
+    r = pii.disclosing_pairs(found, pii.word_document_counts(make_docs(rows), "text"), len(rows), 0.8, 2).where("term = 'zorblax'").collect()
+    assert len(r) == 1 and abs(r[0].pmi - math.log2(len(rows) * 11 / (11 * 13))) < 1e-9        # 11 documents hold both, 13 the term
+
+
 def test_full_disclosure_is_an_exact_tie(spark):
     """Terms in the very documents of their entity reach alpha = 1 whatever N and c(e)."""
     near = "array<struct<term:string,start:bigint,end:bigint,entity:string>>"
