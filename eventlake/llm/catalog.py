@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlake.llm.align import alignment
 from eventlake.llm.common import documents, pages
+from eventlake.llm.curriculum import SCHEDULES, curriculum, integral
 from eventlake.llm.decontaminate import find_leaks
 from eventlake.llm.exact_dedup import exact_groups
 from eventlake.llm.minhash import near_duplicates
+from eventlake.llm.negatives import hard_negatives
 from eventlake.llm.packing import pack
 from eventlake.llm.pii import scan_personal_data
 from eventlake.llm.quality import is_held_out, score_quality
@@ -110,3 +113,68 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _curriculum_sql() -> str:
+    """The schedules as a table of segments; targets, order and positions as in the operator."""
+    segments, before = [], 0.0
+    for kind, knots in enumerate(SCHEDULES):
+        before = 0.0
+        for i, ((t, v), (u, w)) in enumerate(zip(knots[:-1], knots[1:], strict=True)):
+            area = integral(((t, v), (u, w)))
+            last = i == len(knots) - 2
+            segments.append(f"({kind}, {t!r}::DOUBLE, {u - t!r}::DOUBLE, {v!r}::DOUBLE, {w!r}::DOUBLE, {before!r}::DOUBLE, {1e9 if last else before + area!r}::DOUBLE)")
+            before += area
+    kinds = ", ".join(f"({k}, {integral(s)!r}::DOUBLE)" for k, s in enumerate(SCHEDULES))
+    return f"""
+WITH seg(kind, t0, h, w0, w1, lo, hi) AS (VALUES {', '.join(segments)}),
+kinds(kind, weight) AS (VALUES {kinds}),
+d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 12) AS BIGINT) AS place FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(SCHEDULES)} AS kind FROM d GROUP BY source),
+w AS (SELECT src.*, weight, source_size * 3 AS cap FROM src JOIN kinds USING (kind)),
+able AS (SELECT *, sum(cap) OVER o - cap AS caps, sum(weight) OVER o - weight AS ws, sum(weight) OVER () AS total
+  FROM w WHERE source_size > 0 WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+lev AS (SELECT max(((SELECT sum(source_size) FROM w) - caps) / (total - ws)) AS level FROM able),
+tgt AS (SELECT w.*, CASE WHEN source_size > 0 THEN least(CAST(cap AS DOUBLE), level * weight) ELSE 0.0 END AS target FROM w, lev),
+want AS (SELECT *, CAST(least(floor(target + 0.5), cap) AS BIGINT) AS wanted FROM tgt),
+p AS (SELECT d.doc_id, d.size, want.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, CAST(d.doc_id AS VARCHAR), d.size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM d JOIN want ON d.source IS NOT DISTINCT FROM want.source),
+c AS (SELECT *, greatest(least(wanted - first, size), 0) AS one, greatest(least(wanted - source_size - first, size), 0) AS two,
+  greatest(least(wanted - 2 * source_size - first, size), 0) AS three FROM p),
+y AS (SELECT c.*, CASE WHEN one > 0 THEN (first + one / 2) / wanted * weight END AS part FROM c)
+SELECT y.doc_id, y.size, y.source_size, y.target, CAST(one + two + three AS BIGINT) AS taken,
+  CAST((one > 0)::INT + (two > 0)::INT + (three > 0)::INT AS INTEGER) AS copies,
+  round(seg.t0 + least(coalesce(2 * (part - lo) / nullif(w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / h) * (part - lo), 0)), 0), 0), h), 6) AS position
+FROM y LEFT JOIN seg ON seg.kind = y.kind AND part >= lo AND part < hi
+"""
+
+
+@query("op11_curriculum", _curriculum_sql())
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum(documents(spark, sf_dir))
+    first = F.round(F.get("copies", F.lit(0))["position"], 6)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"), first.alias("position")).orderBy("position")
+
+
+@query("op12_hard_negatives", """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS rn
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rn AS anchor, a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score
+  FROM (SELECT * FROM r WHERE vec_id % 100 = 0) a JOIN r o ON a.rn <> o.rn),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
