@@ -38,9 +38,9 @@ from eventlake.llm.common import written
 from eventlake.llm.textcols import raw, text_array
 
 LANE = 1024                  # tokens after which a document goes on in another lane
-SLICE_BYTES = 4 << 20        # of texts aligned at a time
+SLICE_BYTES = 2 << 20        # of texts aligned at a time
 FREQUENT = 500_000           # rows of the broadcast table of pair counts, at most
-MEMO = 400_000               # units remembered in a worker, per generation
+MEMO = 200_000               # units remembered in a worker, per generation
 LONG_UNIT = 64               # characters beyond which a unit is not remembered
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: white space beside white space, at either end, or other than ASCII's
