@@ -155,7 +155,7 @@ FROM y LEFT JOIN seg ON seg.kind = y.kind AND part >= lo AND part < hi
 def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(documents(spark, sf_dir))
     first = F.round(F.get("copies", F.lit(0))["position"], 6)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"), first.alias("position")).orderBy("position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"), first.alias("position")).orderBy("position", "doc_id")
 
 
 @query("op12_hard_negatives", """
