@@ -5,7 +5,7 @@ import duckdb
 import corpus_pipeline as cp
 from eventlake.llm import decontaminate as dc
 from eventlake.llm import minhash, quality
-from tests.llm.test_minhash import brute_links, classes_of
+from tests.llm.test_minhash import brute_links, classes_of, counted_texts, frequencies
 from tests.llm.test_packing import check_layout
 
 SF01 = "/root/testdata/sf0.01"
@@ -36,7 +36,7 @@ def test_stages_on_given_documents(spark, tmp_path):
     assert set(kept["exact_dedup"]) == set(first.values())
     # near: the smallest id of each class
     rows = sorted(kept["exact_dedup"].items())
-    classes = classes_of(rows, brute_links(rows, minhash.THETA, 0.8))
+    classes = classes_of(rows, brute_links(rows, frequencies(counted_texts(spark, rows), minhash.THETA), 0.8))
     assert set(kept["near_dedup"]) == set(classes.values()) and len(set(classes.values())) < len(rows)
     # decontaminate: no text within the budget of an item
     items = [dc.normalised(t) for _, t in duckdb.sql(f"select item_id, text from '{SF01}/benchmark.parquet'").fetchall()]
