@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from eventlake.functions.rng import sql_hash_uniform
+from eventlake.functions.rng import hash_uniform, sql_hash_uniform
 from eventlake.operators import encode, match
 from eventlake.plans.registry import query
 from eventlake.sources import adapters
@@ -369,3 +369,32 @@ def q_noise_matchers(spark, sf):
     return one.groupBy("noise", "r.matcher").agg(
         F.avg(F.when(known, F.coalesce(F.col("r.says") == F.col("label"), F.lit(False)).cast("double"))).alias("accuracy"),
         F.avg(F.when(~known, F.col("r.says").isNull().cast("double"))).alias("rejection_rate"))
+
+
+# ---- recurring signals by the radius graph (F12, scalable form)
+RADIUS = 2.4
+REPEATS, JITTER, JITTER_SEED = 3, 0.03, 19       # every window comes three times, each time with more jitter
+_JITTERED = (f"least(1.0, greatest(0.0, v + {JITTER!r} * c * ({sql_hash_uniform(JITTER_SEED, 'window_id', 'c', 'i')} - 0.5)))")
+RADIUS_SQL = (f"WITH RECURSIVE {NORM_SQL}, rep AS (SELECT window_id * {REPEATS} + c AS window_id, i, {_JITTERED} AS v "
+              f"FROM norm, (SELECT unnest(range({REPEATS})) AS c)), "
+              f"w AS (SELECT DISTINCT window_id FROM rep), e AS ({_lat('rep', 'window_id')}), "
+              f"s AS (SELECT w.window_id, coalesce(sum({_k('e.t', 'e.t')}), 0.0) AS s FROM w LEFT JOIN e USING (window_id) GROUP BY ALL), "
+              f"x AS (SELECT a.window_id AS a, b.window_id AS b, sum({_k('a.t', 'b.t')}) AS x FROM e a JOIN e b USING (i) "
+              "WHERE a.window_id < b.window_id GROUP BY ALL), "
+              "near AS (SELECT p.window_id AS a, q.window_id AS b FROM s p JOIN s q ON p.window_id < q.window_id "
+              "LEFT JOIN x ON x.a = p.window_id AND x.b = q.window_id "
+              f"WHERE sqrt(greatest(0.0, (p.s + q.s - 2.0 * coalesce(x.x, 0.0)) / {TAU!r})) <= {RADIUS}), "
+              "link AS (SELECT a, b FROM near UNION SELECT b, a FROM near), "
+              "reach(node, root) AS (SELECT window_id, window_id FROM w UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node), "
+              "c AS (SELECT node, min(root) AS cluster_id FROM reach GROUP BY node) "
+              "SELECT node AS window_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM c")
+
+
+@query("cluster_radius_graph", RADIUS_SQL, note="components of the radius graph by locality-sensitive hashing")
+def q_cluster_radius_graph(spark, sf):
+    from eventlake.operators import radius
+    each = _norm(spark, sf).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    moved = F.transform("vec", lambda v, i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v + F.lit(JITTER) * F.col("c") * (
+        hash_uniform(JITTER_SEED, F.col("window_id"), F.col("c"), i) - F.lit(0.5)))))
+    jittered = each.withColumn("vec", moved)         # before window_id changes its meaning
+    return radius.radius_clusters(jittered.select((F.col("window_id") * REPEATS + F.col("c")).alias("window_id"), "vec"), RADIUS)
