@@ -1,4 +1,4 @@
-"""Streaming landing.
+"""Streaming landing.
 
 publish_json: events -> JSON messages (Kafka in production, JSON text files
 here).  land: messages -> from_json (PERMISSIVE) -> valid rows appended to
@@ -56,14 +56,5 @@ def land(messages: DataFrame, out_path: str, dead_path: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def windowed_counts(events: DataFrame, ts_col: str = "ts", watermark: str = "10 minutes") -> DataFrame:
-    """Per 60 s event-time window and channel: counts, emitted once the
-    watermark passes the window end (append mode); rows later than the
-    watermark are dropped by the engine, see :func:`late_rows`."""
-    return (events.withWatermark(ts_col, watermark)
-            .groupBy(F.window(ts_col, WINDOW).alias("w"), "channel")
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 def read_landed(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(out_path)
