@@ -22,13 +22,13 @@ add up (task, source) totals, then cut every document by arithmetic.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,17 +38,18 @@ from eventlake.llm.textcols import raw, text_array
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 250_000               # distinct words per generation of a worker's memory
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+MEMO = 600_000               # distinct words per generation of a worker's memory
+_STOP = r"([A-Za-z0-9])([.,])([\x20\x09-\x0D]|$)"       # a full stop or comma that ends a word
 MAX_BROADCAST_ROWS = 200_000  # (task, source) offsets; beyond it they are joined by a shuffle
 MAX_QUEUES = 100_000         # sources of a mixture; their totals are planned on the driver
 
 
 class WordTokenizer:
-    """Token ids of a text by a lower-casing tokenizer whose pieces never cross
-    ASCII white space nor the border between a letter and a full stop or comma:
-    each distinct word is encoded once and remembered (two generations, so
-    frequent words stay and memory is bounded)."""
+    """Token ids of texts by a lower-casing tokenizer whose pieces never cross
+    ASCII white space nor the border between a letter and a full stop or comma.
+    A batch of texts is cut into words by Arrow; each distinct word is looked up
+    once a batch and encoded once (two generations of memory, so frequent words
+    stay and memory is bounded), and the ids are gathered by word number."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -59,22 +60,22 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def _one_by_one(self, group: list[bytes]) -> None:
-        for w, e in zip(group, self.tok.encode_batch_fast([w.decode("utf-8") for w in group], add_special_tokens=False), strict=True):
+    def _one_by_one(self, group: list[str]) -> None:
+        for w, e in zip(group, self.tok.encode_batch_fast(group, add_special_tokens=False), strict=True):
             self.young[w] = np.array(e.ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encode new words: plain words many at a time, told apart by the
         tokens that end a word; the others one by one."""
         plain, odd = [], []
         for w in new:
-            (plain if w.decode("utf-8").lower().isalpha() else odd).append(w)
+            (plain if w.lower().isalpha() else odd).append(w)
         for at in range(0, len(plain), 4000):
             groups = [plain[i:i + 100] for i in range(at, min(at + 4000, len(plain)), 100)]
-            found = self.tok.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False)
+            found = self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
             for g, e in zip(groups, found, strict=True):
                 ids = np.array(e.ids, dtype=self.dtype)
                 cut = np.flatnonzero(self.ends[ids]) + 1
@@ -88,23 +89,37 @@ class WordTokenizer:
         for at in range(0, len(odd), 4000):
             self._one_by_one(odd[at:at + 4000])
 
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Ids of each UTF-8 text, followed by ``end``, as packed integers."""
-        # lower-casing first could only change a special token's spelling
-        parts = [_STOP.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words."""
         young, old, new = self.young, self.old, []
-        for w in {w for p in parts for w in p}:
+        for w in words:
             if w not in young:
                 if w in old:
                     young[w] = old[w]
                 else:
                     new.append(w)
         self._learn(new)
-        out = [b"".join([*[young[w] for w in p], end]) for p in parts]
+        out = [young[w] for w in words]
         if len(young) > MEMO:
-            self.old, self.young = young, {}
+            self.old, self.young = young, {"": b""}
         return out
 
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by ``end``; offsets by text)."""
+        # lower-casing first could only change a special token's spelling
+        special = pc.match_substring(texts, "<|")
+        low = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _STOP, r"\1 \2\3"))
+        off = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        ids = [*self._ids(coded.dictionary.to_pylist()), np.array([end], dtype=self.dtype).tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        pick = np.insert(coded.indices.to_numpy().astype(np.int64), off[1:] - off[0], len(ids) - 1)
+        flat, begin, many = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size, size[pick]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+        at = np.arange(ends[-1]) + np.repeat(begin[pick] - ends[:-1], many)
+        return flat[at], ends[off - off[0] + np.arange(len(off))]
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -124,22 +139,22 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
         task, filled = TaskContext.get().partitionId(), {}
-        end = np.array([end_id], dtype=tok.dtype).tobytes()
         for batch in batches:
-            data, off = raw(text_array(batch.column("text")))
+            column = text_array(batch.column("text"))
+            _, off = raw(column)
             lo = 0
             while lo < batch.num_rows:
-                hi = min(max(int(np.searchsorted(off, off[lo] + (1 << 19), side="right")) - 1, lo + 1), lo + 256, batch.num_rows)
-                ids = tok.encode([data[off[i]:off[i + 1]].tobytes() for i in range(lo, hi)], end)
-                queues = batch.column("queue").slice(lo, hi - lo).to_pylist()
-                n = [len(x) // tok.dtype.itemsize for x in ids]
+                hi = min(max(int(np.searchsorted(off, off[lo] + (2 << 20), side="right")) - 1, lo + 1), batch.num_rows)
+                ids, cut = tok.encode(column.slice(lo, hi - lo), end_id)
+                queues, n = batch.column("queue").slice(lo, hi - lo).to_pylist(), np.diff(cut)
                 at = []
-                for q, k in zip(queues, n, strict=True):
+                for q, k in zip(queues, n.tolist(), strict=True):
                     at.append(filled.get(q, 0))
                     filled[q] = at[-1] + k
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut * tok.dtype.itemsize), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, hi - lo), pa.array(queues, pa.string()), pa.array([task] * (hi - lo), pa.int32()),
-                     pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array(at, pa.int64()), pa.array(n, pa.int64()), packed.cast(pa.binary())],
                     names=["id", "queue", "task", "at", "n", "ids"])
                 lo = hi
 

@@ -40,7 +40,9 @@ _PREFIXED = {
     "slack": re.compile(r"xox[abprs]-[0-9]{8,}(?:-[0-9A-Za-z]+)+"),
     "stripe": re.compile(r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     "google": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # to its END line; without one, the base64 lines that follow
+    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=:,.\s]|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+                              r"|(?:\s+[A-Za-z0-9+/=]{16,})*)"),
 }
 # fixed values: lower-case keyword -> kind
 KEYWORDS = {

@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -71,9 +72,14 @@ def test_words_can_be_encoded_alone(monkeypatch):
     odd += words
     monkeypatch.setattr(packing, "MEMO", 500)
     tok = packing.WordTokenizer(PATH)
-    assert [tok.encode([t.encode()], b"")[0] for t in words] == tok.encode([t.encode() for t in words], b"")
-    got = [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode([t.encode() for t in odd], np.array([1], tok.dtype).tobytes())]
-    assert got == reference(odd)
+
+    def encoded(texts):
+        ids, off = tok.encode(pa.array(texts, pa.large_string()), 1)
+        return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
+
+    assert [encoded([t])[0] for t in words] == encoded(words)
+    assert encoded(odd) == reference(odd)
+    assert encoded([]) == [] and encoded(["", " "]) == [[1], [1]]
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1}, {"a": 1.5}, {"x": 1, "c": 0.25, "a": 0.5}])
