@@ -88,7 +88,8 @@ def with_distances(windows: DataFrame, library: DataFrame, vec: str = "vec", lab
     if chunks == 1:
         met = own.join(F.broadcast(packed.select("__refs")), how="left")
     else:
-        met = own.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(packed, "__chunk")
+        # a window's row, as ids may repeat: the chunks of one row are merged again
+        met = own.withColumn("__row", F.monotonically_increasing_id()).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(packed, "__chunk")
         met = met.withColumnRenamed("__chunk", "__chunks")
     square = lambda r: (F.col("__energy") + r["energy"]
                         - F.lit(2.0) * overlap_energy(F.col("__times"), r["times"], table, t_steps)) / F.lit(tau)
@@ -109,10 +110,8 @@ def nearest_two(windows: DataFrame, library: DataFrame, win_id: str = "window_id
     near = with_distances(windows, library, **options)
     two = F.slice(F.array_sort("dists"), 1, 2)
     if "__chunks" in near.columns:
-        near = near.drop("__chunks")
-        rest = [c for c in windows.columns if c != win_id]
-        near = near.withColumn("dists", two).groupBy(win_id).agg(
-            *[F.first(c).alias(c) for c in rest], F.flatten(F.collect_list("dists")).alias("dists"))
+        near = near.drop("__chunks").withColumn("dists", two).groupBy("__row").agg(
+            *[F.first(c).alias(c) for c in windows.columns], F.flatten(F.collect_list("dists")).alias("dists"))
     near = near.withColumn("__two", two)
     return near.select(*windows.columns, F.get("__two", F.lit(0))["label"].alias("best_label"),
                        F.get("__two", F.lit(0))["dist"].alias("best_dist"), F.get("__two", F.lit(1))["dist"].alias("second_dist"))

@@ -39,6 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder; on a cluster that is an error, since executors and the driver
     share no temp folder.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,13 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors as a zip, so that workers can import
-    it wherever the driver was started."""
+    """Send this package to the executors as a zip, once per Spark context, so
+    that workers can import it wherever the driver was started."""
     import shutil
 
+    sc = spark.sparkContext
+    if getattr(sc, "_eventlake_shipped", False):
+        return
     here = os.path.dirname(os.path.abspath(__file__))
     to = os.path.join(tempfile.mkdtemp(prefix="eventlake-zip-"), "eventlake")
-    spark.sparkContext.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._eventlake_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
