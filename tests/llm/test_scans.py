@@ -120,6 +120,49 @@ def test_terms_that_also_occur_elsewhere(spark, make_docs):
     assert len(r) == 1 and abs(r[0].pmi - math.log2(len(rows) * 11 / (11 * 13))) < 1e-9        # 11 documents hold both, 13 the term
 
 
+def test_disclosing_pairs_match_a_plain_recount(spark, make_docs):
+    """All counts anew from the texts: pairs of near terms, over whole documents."""
+    rnd = random.Random(3)
+    people, terms = [f"p{i}@x.org" for i in range(6)], [f"term{i}" for i in range(12)]
+    rows = [(i, " ".join(rnd.choice(people) if rnd.random() < 0.2 else rnd.choice(terms[:3] if rnd.random() < 0.3 else terms)
+                         for _ in range(rnd.randint(0, 14)))) for i in range(120)]
+    rows += [(200 + i, f"hot kim@x.org said zorblax{i % 40} and quux") for i in range(80)] + [(400 + i, f"filler {i} words") for i in range(300)]
+    docs = make_docs(rows)
+    found = pii.find_entities(docs, "doc_id", "text", 4).withColumn("row", F.monotonically_increasing_id())
+    near = {(x.entity, x.term) for r in found.collect() for x in r.near}
+    n, want, held = len(rows), {}, []
+    for _, t in rows:               # an address counts where another word stands within four of it
+        w = t.split()
+        alone = {w[i] for i in range(len(w)) if "@" in w[i]} - {
+            w[i] for i in range(len(w)) if "@" in w[i] and any("@" not in x for x in w[max(0, i - 4):i + 5])}
+        held.append(set(w) - alone)
+    for e, t in near:
+        mail = e.removeprefix("email:")
+        ce, ct, both = sum(mail in h for h in held), sum(t in h for h in held), sum(mail in h and t in h for h in held)
+        ic = -math.log2(ce / n)
+        pmi = math.log2(n * both / (ce * ct)) if both else 0.0
+        if ce >= 2 and both >= 2 and ic > 0 and pmi >= 0.8 * ic - 1e-12:
+            want[e, t] = (pmi, ic)
+    got = {(r.entity, r.term): (r.pmi, r.ic) for r in pii.disclosing_pairs(found, pii.word_document_counts(docs, "text"), n, 0.8, 2).collect()}
+    assert len(want) > 20 and set(got) == set(want)
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_many_entities_in_one_document_stay_linear(spark, make_docs):
+    """Two equal texts with n addresses: the joins make rows linear in n, not words x entities."""
+    def rows_of(n):
+        text = " ".join(f"word{i} u{i}@x.org" for i in range(n))
+        docs = make_docs([(1, text), (2, text), *[(10 + i, "other") for i in range(20)]])
+        found = pii.find_entities(docs, "doc_id", "text", 4).withColumn("row", F.monotonically_increasing_id())
+        pairs = pii.disclosing_pairs(found, pii.word_document_counts(docs, "text"), 22, 0.8, 2)
+        near = sum(len({(x.entity, x.term) for x in r.near}) for r in found.collect())
+        met = pii.document_pairs(found, pairs.select("entity", "term", F.lit(2).alias("n_entity"), F.lit(2).alias("n"))).count()
+        assert pairs.count() == near / 2
+        return met
+
+    assert rows_of(400) <= 4.2 * rows_of(100)
+
+
 def test_full_disclosure_is_an_exact_tie(spark):
     """Terms in the very documents of their entity reach alpha = 1 whatever N and c(e)."""
     near = "array<struct<term:string,start:bigint,end:bigint,entity:string>>"
