@@ -41,7 +41,7 @@ END_ID = 1
 MEMO = 600_000               # distinct words per generation of a worker's memory
 _STOP = r"([A-Za-z0-9])([.,])([\x20\x09-\x0D]|$)"       # a full stop or comma that ends a word
 MAX_BROADCAST_ROWS = 200_000  # (task, source) offsets; beyond it they are joined by a shuffle
-MAX_QUEUES = 100_000         # sources of a mixture; their totals are planned on the driver
+MAX_QUEUES = 100_000         # queues of a mixture, planned on the driver; of more sources, those without a weight share as many queues by hash
 
 
 class WordTokenizer:
@@ -246,36 +246,40 @@ def place(shares: list[Share], x: int, n: int, window: int) -> Iterator[tuple[in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, weights: Mapping[str, float] | None = None,
-         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
     """One row per piece: ``<id_col>, start, length, doc_tokens, sequence_id,
     offset, source, ids`` (ids: little-endian unsigned 32-bit, as binary).
 
     Null text counts as empty, which is one end id; rows without a source form
     one queue; a null id stays null; repeated rows are packed each; other
     columns are ignored; an empty table gives an empty result.  ``weights``
-    gives target shares by source.
+    gives target shares by source.  With more than ``max_queues`` sources, those
+    without a weight are dealt to ``max_queues`` queues by hash: every window then
+    holds the target proportions of these groups, and all documents are packed.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     ids = written(tokenise(docs, tokenizer_path, id_col, text_col, source_col, end_id), "pack-ids")
     totals = written(ids.groupBy("task", "queue").agg(F.sum("n").alias("n")), "pack-totals")
-    before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("task", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = totals.groupBy("queue").agg(F.sum("n").alias("n")).limit(MAX_QUEUES + 1).collect()
-    if len(rows) > MAX_QUEUES:
-        raise ValueError(f"more than {MAX_QUEUES} sources: map them to fewer queues first")
     named = {f"={k}": v for k, v in weights.items()} if weights else None
-    plan = docs.sparkSession.sparkContext.broadcast(plan_phases({r.queue: r.n for r in rows}, named))
+    merged = totals.select("queue").distinct().count() > max_queues
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+    line = F.when(F.col("queue").isin(list(named or ())), F.col("queue")).otherwise(shared) if merged else F.col("queue")
+    totals = totals.withColumn("line", line)
+    before = Window.partitionBy("line").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("task", "queue", "line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = totals.groupBy("line").agg(F.sum("n").alias("n")).collect()       # max_queues and one for each weight at most
+    plan = docs.sparkSession.sparkContext.broadcast(plan_phases({r.line: r.n for r in rows}, named))
     small = totals.count() <= MAX_BROADCAST_ROWS
     placed = ids.join(F.broadcast(offsets) if small else offsets, ["task", "queue"])
     wide = _tokenizer(tokenizer_path).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("queue", "at", "n", "base")}
+            cols = {k: batch.column(k).to_pylist() for k in ("queue", "line", "at", "n", "base")}
             out, row = [], []
             for i in range(batch.num_rows):
                 doc = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=wide).astype("<u4").tobytes()
-                for start, size, seq, offset in place(plan.value[cols["queue"][i]], cols["base"][i] + cols["at"][i], cols["n"][i], window):
+                for start, size, seq, offset in place(plan.value[cols["line"][i]], cols["base"][i] + cols["at"][i], cols["n"][i], window):
                     out.append((start, size, cols["n"][i], seq, offset, cols["queue"][i][1:] if cols["queue"][i] != "none" else None,
                                 doc[4 * start:4 * (start + size)]))
                     row.append(i)
@@ -285,7 +289,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     out, row = [], []
 
     ddl = f"id {id_type}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, ids binary"
-    return placed.select("id", "queue", "at", "n", "base", "ids").mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+    return placed.select("id", "queue", "line", "at", "n", "base", "ids").mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 
 def _pieces(batch: pa.RecordBatch, row: list[int], out: list[tuple]) -> pa.RecordBatch:

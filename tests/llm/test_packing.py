@@ -115,3 +115,23 @@ def test_cases(spark, make_docs):
     assert {r.source for r in got} == {"s", None, "none"}
     assert {r.doc_tokens for r in got if r.doc_id in (1, 2)} == {1}
     assert packing.pack(make_docs([], schema), PATH).count() == 0
+
+
+@pytest.mark.parametrize("weights", [None, {"s3": 2, "s4": 1}])
+def test_more_sources_than_queues(spark, weights):
+    """Sources beyond the bound share queues; no token is lost and every window keeps the groups' shares."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices(["red", "green", "blue", "tokeniser", "x9"], k=rnd.randint(1, 40))), f"s{i % 60}") for i in range(900)]
+    docs = spark.createDataFrame([*rows, (900, "no source", None)], "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(docs, PATH, window=64, weights=weights, max_queues=7).collect()
+    check_layout(got, 64)
+    want = dict(zip(range(901), reference([*[t for _, t, _ in rows], "no source"]), strict=True))
+    parts = defaultdict(list)
+    for r in got:
+        parts[r.doc_id].append(r)
+    for d, ids in want.items():
+        assert np.frombuffer(b"".join(r.ids for r in sorted(parts[d], key=lambda r: r.start)), dtype="<u4").tolist() == ids
+    assert {r.source for r in got} == {f"s{i}" for i in range(60)} | {None}
+    if weights:                     # while both last, two thirds of a window are s3's
+        first = sum(r.length for r in got if r.sequence_id == 0 and r.source == "s3")
+        assert abs(first - 64 * 2 / 3) <= 1
