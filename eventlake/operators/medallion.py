@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,9 +113,83 @@ def icr_blocks(silver_df: DataFrame, window: int, duration: int | None = None, n
             .applyInPandas(compress, "stream_id string, tblock long, raw_bytes long, gz_bytes long, icr double"))
 
 
-def icr(silver_df: DataFrame, window: int, duration: int | None = None, n_channels: int | None = None,
-        bins_per_block: int | None = None) -> DataFrame:
-    blocks = icr_blocks(silver_df, window, duration, n_channels, bins_per_block)
-    return blocks.groupBy("stream_id").agg(
-        (F.sum("gz_bytes") / F.greatest(F.lit(1), F.sum("raw_bytes"))).alias("icr"),
-        F.count(F.lit(1)).alias("n_blocks"))
+class _RasterGzip:
+    """gzip-9 length of a raster fed as (position, value) in rising order; the
+    zeros between are written a block at a time, so memory is one block."""
+
+    BLOCK = 1 << 20
+
+    def __init__(self, total: int):
+        self.total, self.start, self.length = total, 0, 0
+        self.gz = zlib.compressobj(9, zlib.DEFLATED, 31)
+        self.block = np.zeros(self.BLOCK, np.uint8)
+
+    def _flush(self) -> None:
+        size = min(self.BLOCK, self.total - self.start)
+        self.length += len(self.gz.compress(self.block[:size].tobytes()))
+        self.start += size
+        self.block[:] = 0
+
+    def put(self, at: np.ndarray, value: np.ndarray) -> None:
+        while len(at):
+            here = int(np.searchsorted(at, self.start + self.BLOCK))
+            self.block[at[:here] - self.start] = value[:here]
+            at, value = at[here:], value[here:]
+            if len(at):
+                self._flush()
+
+    def finish(self) -> int:
+        while self.start < self.total:
+            self._flush()
+        return self.length + len(self.gz.flush())
+
+
+def icr(silver_df: DataFrame, window: int, duration: int | None = None, n_channels: int | None = None) -> DataFrame:
+    """Inverse compression ratio of each stream's whole raster: ``stream_id,
+    raw_bytes, gz_bytes, icr``.
+
+    The raster is channel-major, one byte a bin, counts clipped at 255.  A gzip
+    length is a property of the one sequence, so a stream's non-empty bins come
+    sorted (Spark's sort spills) through one compressor in one task, whose memory
+    is one block of the raster; streams run in parallel.  For one very long
+    stream :func:`icr_blocks` splits the time axis, and is another value.
+
+    Bins outside the bounds and null channels or bins are left out; rows without
+    a stream take no part; an empty table gives an empty result.
+    """
+    bounds = silver_df.groupBy("stream_id").agg(F.max("channel").alias("mc"), F.max("bin").alias("mb"))
+    nc = F.lit(int(n_channels)) if n_channels is not None else F.col("mc") + 1
+    nb = F.lit((int(duration) + window - 1) // window) if duration is not None else F.col("mb") + 1
+    bounds = bounds.where("stream_id IS NOT NULL").select("stream_id", F.greatest(F.lit(0), F.coalesce(nc, F.lit(0))).cast("bigint").alias("n_channels"),
+                                                          F.greatest(F.lit(0), F.coalesce(nb, F.lit(0))).cast("bigint").alias("n_bins"))
+    inside = (F.col("bin") >= 0) & (F.col("bin") < F.col("n_bins")) & (F.col("channel") >= 0) & (F.col("channel") < F.col("n_channels"))
+    total = (F.col("n_channels") * F.col("n_bins")).alias("total")
+    at = (F.col("channel") * F.col("n_bins") + F.col("bin")).cast("bigint").alias("at")
+    bins = silver_df.select("stream_id", "channel", "bin", "spikes").join(bounds, "stream_id").where(inside)
+    rows = (bins.select("stream_id", total, at, F.least(F.col("spikes"), F.lit(255)).cast("smallint").alias("value"))
+            .unionByName(bounds.select("stream_id", total, F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("smallint").alias("value"))))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(stream, raster):
+            n = raster.finish()
+            return pa.RecordBatch.from_pydict({"stream_id": [stream], "raw_bytes": [raster.total], "gz_bytes": [n], "icr": [n / max(1, raster.total)]})
+
+        stream = raster = None
+        for batch in batches:
+            names, where = batch.column("stream_id").to_pylist(), batch.column("at").to_numpy()
+            value, size = batch.column("value").to_numpy().astype(np.uint8), batch.column("total").to_numpy()
+            first = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for lo, hi in zip(first[:-1], first[1:], strict=True):
+                if hi == lo:
+                    continue
+                if names[lo] != stream:
+                    if raster is not None:
+                        yield done(stream, raster)
+                    stream, raster = names[lo], _RasterGzip(int(size[lo]))
+                lo += int(where[lo] < 0)            # the stream's own marker
+                raster.put(where[lo:hi], value[lo:hi])
+        if raster is not None:
+            yield done(stream, raster)
+
+    return (rows.repartition("stream_id").sortWithinPartitions("stream_id", "at")
+            .mapInArrow(compress, "stream_id string, raw_bytes bigint, gz_bytes bigint, icr double"))

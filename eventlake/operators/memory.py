@@ -12,9 +12,12 @@ score ``-a|s|cnt_i`` or 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlake.functions.rng import hash_uniform
 from eventlake.session import cut_lineage
 
 
@@ -24,13 +27,18 @@ class MemoryIndex:
     the order in which neurons untouched by a cue compete (their field is
     ``-a|s|cnt``)."""
 
+    extra: tuple[str, ...] = ()         # further columns of the memory that the counts need
+
+    def counted(self, rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        return rows.groupBy("bank", *by).agg(F.count(F.lit(1)).alias(name))
+
     def __init__(self, memory: DataFrame, n: int, checkpoint: bool = False):
-        self.memory = memory.select("bank", "pattern_id", "neuron")
+        self.memory = memory.select("bank", "pattern_id", "neuron", *self.extra)
         # sparse co-occurrence: in how many patterns of the bank j and i are both set.
         # sum_{p has i} |p & s| = sum_{j in s} together(j, i), so a step needs neither
         # patterns nor (cue, pattern) pairs; its size is sum |p|^2, whatever the cues
-        pair = (self.memory.join(self.memory.select("bank", "pattern_id", F.col("neuron").alias("other")), ["bank", "pattern_id"])
-                .groupBy("bank", "neuron", "other").agg(F.count(F.lit(1)).alias("together")))
+        pair = self.counted(self.memory.join(self.memory.select("bank", "pattern_id", F.col("neuron").alias("other")), ["bank", "pattern_id"]),
+                            ["neuron", "other"], "together")
         if checkpoint:
             # reused by every step: materialise once, hash-partitioned on the join key,
             # so that later steps shuffle only the (small) cue side
@@ -38,8 +46,8 @@ class MemoryIndex:
             pair = cut_lineage(pair.repartition(parts, "bank", "neuron"))
         self.pair = pair
         self.n = n
-        P = self.memory.groupBy("bank").agg(F.countDistinct("pattern_id").alias("P"))
-        cnt = self.memory.groupBy("bank", "neuron").agg(F.count(F.lit(1)).alias("cnt"))
+        P = self.counted(self.memory.select("bank", "pattern_id", *self.extra).where("pattern_id IS NOT NULL").distinct(), [], "P")
+        cnt = self.counted(self.memory, ["neuron"], "cnt")
         if checkpoint:
             P, cnt = cut_lineage(P), cut_lineage(cnt)
         self.P, self.cnt = P, cnt
@@ -71,6 +79,68 @@ class MemoryIndex:
         return self._ranked
 
 
+class NestedIndex(MemoryIndex):
+    """One index for several load levels: a bank at load j stores the patterns
+    of ``level`` j or less.  Every row of the memory (and of its pairs) is
+    counted once; the counts of all loads are running sums over the levels.
+    Banks are named (bank, load)."""
+
+    extra = ("level",)
+
+    def __init__(self, memory: DataFrame, n: int, loads: int, checkpoint: bool = False):
+        self.loads = loads
+        super().__init__(memory, n, checkpoint)
+
+    def counted(self, rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(j).alias("load"), F.count_if(F.col("level") <= j).alias("n")) for j in range(self.loads)])
+        return (rows.groupBy("bank", *by).agg(each.alias("each")).select("bank", *by, F.explode("each").alias("x")).where("x.n > 0")
+                .select(F.struct("bank", F.col("x.load").alias("load")).alias("bank"), *by, F.col("x.n").alias(name)))
+
+
+def load_levels(memory: DataFrame, loads: Sequence[float], seed: int) -> DataFrame:
+    """The memory with ``level``, the first of the rising load shares that stores
+    a pattern.  A pattern's hash decides, so loads are nested, need no ranking,
+    and a bank may be of any size."""
+    u = hash_uniform(seed, F.col("pattern_id"))
+    level = F.lit(len(loads) - 1)
+    for j in range(len(loads) - 2, -1, -1):
+        level = F.when(u < loads[j], F.lit(j)).otherwise(level)
+    return memory.withColumn("level", level)
+
+
+def capacity_sweep(memory: DataFrame, noises: Sequence[float], loads: Sequence[float], n: int, k: int, alien: Column,
+                   steps: int = 8, floor: float = 0.9, seed: int = 0) -> DataFrame:
+    """Recall over noise and load: ``bank, drop_fraction, load, stored,
+    mean_recall, knee``, one row per bank, noise and load that stores a pattern.
+
+    At a load every stored pattern is a cue, without the neurons that the noise
+    drops and with the neuron ``alien``; cues run to their fixed point (or
+    ``steps``).  ``mean_recall`` is the mean share of the patterns' own neurons
+    found; ``knee`` is the number of patterns stored at the least load whose
+    mean is under ``floor``, null if there is none.  Rows with a null take no
+    part; repeated rows count once; an empty memory gives an empty result."""
+    memory = memory.select("bank", "pattern_id", "neuron").na.drop().distinct()
+    index = NestedIndex(cut_lineage(load_levels(memory, loads, seed)), n, len(loads), checkpoint=True)
+    each = F.explode(F.sequence("level", F.lit(len(loads) - 1)))
+    stored = (index.memory.select("bank", "pattern_id", "neuron", each.alias("load"))
+              .select(F.struct("bank", "load").alias("bank"), "pattern_id", "neuron"))
+    grid = F.explode(F.array(*[F.lit(float(x)) for x in noises]))
+    name = F.struct("pattern_id", "drop").alias("cue_id")
+    left = stored.select("*", grid.alias("drop")).where(hash_uniform(seed, F.col("pattern_id"), F.col("neuron")) >= F.col("drop"))
+    cues = left.select("bank", name, "neuron").unionByName(
+        stored.select("bank", "pattern_id").distinct().select("*", grid.alias("drop")).select("bank", name, alien.cast("int").alias("neuron"))).distinct()
+    found = recall(index, cues, n, k, steps).select("bank", F.col("cue_id.pattern_id").alias("pattern_id"), F.col("cue_id.drop").alias("drop"), "neuron")
+    hit = found.join(stored, ["bank", "pattern_id", "neuron"]).groupBy("bank", "pattern_id", "drop").agg(F.count(F.lit(1)).alias("hit"))
+    size = stored.groupBy("bank", "pattern_id").agg(F.count(F.lit(1)).alias("size")).select("*", grid.alias("drop"))
+    share = F.coalesce("hit", F.lit(0)) / F.col("size")
+    rows = (size.join(hit, ["bank", "pattern_id", "drop"], "left").groupBy("bank", "drop")
+            .agg(F.count(F.lit(1)).alias("stored"), F.avg(share).alias("mean_recall")))
+    rows = rows.select("bank.bank", F.col("drop").alias("drop_fraction"), F.element_at(F.array(*[F.lit(float(x)) for x in loads]), F.col("bank.load") + 1).alias("load"),
+                       "stored", "mean_recall")
+    knee = F.min(F.when(F.col("mean_recall") < floor, F.col("stored"))).over(Window.partitionBy("bank", "drop_fraction"))
+    return rows.withColumn("knee", knee)
+
+
 def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512, as_sets: bool = False) -> DataFrame:
     """One kWTA step for every cue: (bank, cue_id, neuron) of the new active set.
 
@@ -150,7 +220,7 @@ def recall(memory: DataFrame, cues: DataFrame, n: int, k: int, steps: int = 8, d
     built and partitioned once; the per-cue result is checkpointed each step
     (reliable checkpoint, shared folder), so lineage stays one step deep.
     Returns (bank, cue_id, neuron, steps_used)."""
-    idx = MemoryIndex(memory, n, checkpoint=True)
+    idx = memory if isinstance(memory, MemoryIndex) else MemoryIndex(memory, n, checkpoint=True)
     parts = []
     active = cut_lineage(cues.select("bank", "cue_id", "neuron"))
     for step in range(1, steps + 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -275,6 +276,17 @@ STEP_SQL = ("pc AS (SELECT bank, count(DISTINCT pattern_id) AS P FROM mem GROUP
             "LEFT JOIN cue c ON c.bank = sp.bank AND c.cue_id = sp.cue_id AND c.neuron = sp.neuron JOIN pc USING (bank)), "
             "step AS (SELECT bank, cue_id, neuron FROM (SELECT *, row_number() OVER (PARTITION BY bank, cue_id ORDER BY S DESC, "
             f"neuron) AS rk FROM s) WHERE rk <= {MEM_K})")
+_COUNTS, _ONE_STEP = STEP_SQL[:STEP_SQL.index("m AS (")], STEP_SQL[STEP_SQL.index("m AS ("):]
+
+
+def _step_sql(j: int) -> str:
+    """Step j of a recall, from the sets of the step before."""
+    named = re.sub(r"\b(m|ov|o|spine|s|step)\b", rf"\g<1>{j}", _ONE_STEP)
+    return re.sub(r"\bcue\b", "cue" if j == 1 else f"step{j - 1}", named).replace(f"step{j} AS (", f"step{j} AS MATERIALIZED (")
+
+
+def _steps_sql(steps: int) -> str:
+    return _COUNTS + ", ".join(_step_sql(j) for j in range(1, steps + 1))
 
 
 def _memory(spark, sf):
@@ -311,10 +323,21 @@ def q_overlap(spark, sf):
     return memory.overlap(step, orig)
 
 
-@query("recall", None, note="iterative fixed point with checkpointed rounds")
+RECALL_STEPS = 8
+RECALL_SQL = (
+    f"WITH {MEM_SQL}, {_steps_sql(RECALL_STEPS)}, sets AS ("
+    + " UNION ALL ".join(f"SELECT {j} AS j, bank, cue_id, list(neuron ORDER BY neuron) AS x FROM {f'step{j}' if j else 'cue'} GROUP BY bank, cue_id"
+                         for j in range(RECALL_STEPS + 1))
+    + "), settled AS (SELECT a.bank, a.cue_id, min(a.j) AS j FROM sets a JOIN sets b ON b.bank = a.bank AND b.cue_id = a.cue_id "
+    "AND b.j = a.j - 1 AND b.x = a.x GROUP BY ALL) "
+    f"SELECT s.bank, s.cue_id, s.neuron, CAST(coalesce(t.j, {RECALL_STEPS}) AS INTEGER) AS steps_used FROM step{RECALL_STEPS} s "
+    "LEFT JOIN settled t ON t.bank = s.bank AND t.cue_id = s.cue_id")
+
+
+@query("recall", RECALL_SQL, note="iterative fixed point with checkpointed rounds")
 def q_recall(spark, sf):
     mem, cues = _memory(spark, sf)
-    return memory.recall(mem, cues, MEM_N, MEM_K, steps=8)
+    return memory.recall(mem, cues, MEM_N, MEM_K, steps=RECALL_STEPS)
 
 
 # ------------------------------------------------------------ graph
@@ -512,6 +535,36 @@ def q_recall_sweep(spark, sf):
         F.broadcast(drops), "grid")
 
 
+# capacity sweep (F15): noise and nested loads, to the fixed point
+CAP_NOISES, CAP_LOADS, CAP_STEPS, CAP_FLOOR = [0.1, 0.5], [0.25, 0.5, 1.0], 6, 0.9
+_CAP_U = sql_hash_uniform(CUE_SEED, "pattern_id")
+_CAP_GRID = (f"loads AS (SELECT * FROM (VALUES {', '.join(f'({j}, CAST({x!r} AS DOUBLE))' for j, x in enumerate(CAP_LOADS))}) v(j, load)), "
+             f"noise AS (SELECT * FROM (VALUES {', '.join(f'({j}, CAST({x!r} AS DOUBLE))' for j, x in enumerate(CAP_NOISES))}) v(g, frac))")
+CAPACITY_SQL = (
+    "WITH base AS (SELECT DISTINCT o.o_custkey AS bank, l.l_orderkey AS pattern_id, CAST(l.l_partkey % 256 AS INTEGER) AS neuron "
+    f"FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey), {_CAP_GRID}, "
+    f"mem AS MATERIALIZED (SELECT bank * {len(CAP_LOADS)} + j AS bank, pattern_id, neuron FROM base JOIN loads ON {_CAP_U} < load OR load = 1.0), "
+    "cue AS MATERIALIZED (SELECT bank, pattern_id * 8 + g AS cue_id, neuron FROM mem, noise "
+    f"WHERE {sql_hash_uniform(CUE_SEED, 'pattern_id', 'neuron')} >= frac "
+    "UNION SELECT DISTINCT bank, pattern_id * 8 + g AS cue_id, CAST((pattern_id * 7 + 3) % 256 AS INTEGER) AS neuron FROM mem, noise), "
+    + _steps_sql(CAP_STEPS) +
+    f", hit AS (SELECT s.bank, s.cue_id, count(*) AS hit FROM step{CAP_STEPS} s JOIN mem mm ON mm.bank = s.bank AND mm.pattern_id = s.cue_id // 8 "
+    "AND mm.neuron = s.neuron GROUP BY ALL), "
+    "size AS (SELECT bank, pattern_id, count(*)::DOUBLE AS size FROM mem GROUP BY ALL), "
+    f"per AS (SELECT z.bank // {len(CAP_LOADS)} AS bank, frac AS drop_fraction, load, count(*) AS stored, avg(coalesce(hit.hit, 0) / z.size) AS r "
+    f"FROM size z CROSS JOIN noise JOIN loads ON j = z.bank % {len(CAP_LOADS)} LEFT JOIN hit ON hit.bank = z.bank AND hit.cue_id = z.pattern_id * 8 + g GROUP BY ALL) "
+    "SELECT bank, drop_fraction, load, stored, round(r, 9) AS mean_recall, "
+    f"min(CASE WHEN r < {CAP_FLOOR} - 1e-12 THEN stored END) OVER (PARTITION BY bank, drop_fraction) AS knee FROM per")
+
+
+@query("recall_capacity", CAPACITY_SQL, note="noise x nested loads, recall to the fixed point, the first load under 90 % of each bank")
+def q_recall_capacity(spark, sf):
+    mem, _ = _memory(spark, sf)
+    out = memory.capacity_sweep(mem, CAP_NOISES, CAP_LOADS, MEM_N, MEM_K, F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)),
+                                steps=CAP_STEPS, floor=CAP_FLOOR - 1e-12, seed=CUE_SEED)
+    return out.withColumn("mean_recall", F.round("mean_recall", 9))
+
+
 @query("affinity_route",
        f"WITH {NORM_SQL}, {POIS_SQL}, {ROUTE_SQL}, EW AS ({_w_sql(C, N_EXPERTS, 1)}), "
        "use_ AS (SELECT expert, count(*) / (SELECT count(*) FROM routes) AS share FROM routes GROUP BY ALL), "

@@ -52,6 +52,19 @@ def q_gold_gate(spark, sf):
     return quality.gold_report(medallion.gold(b, medallion.silver(b, BIN)))
 
 
+@query("gold_gate_icr",
+       f"{WITH}, icr AS (SELECT stream_id, (max(channel) + 1) * (max(t) // {BIN} + 1) AS raw FROM spikes GROUP BY stream_id) "
+       "SELECT g.stream_id, count(*) AS n_channels, bool_and(rate >= 0 AND isfinite(rate)) AS rates_ok, "
+       "bool_and(synchrony_cv >= 0 AND isfinite(synchrony_cv)) AS synchrony_ok, bool_and(raw > 0) AS icr_ok, "
+       "bool_and(rate >= 0 AND isfinite(rate) AND synchrony_cv >= 0 AND isfinite(synchrony_cv) AND raw > 0) AS passed "
+       f"FROM ({GOLD_SQL}) g JOIN icr USING (stream_id) GROUP BY g.stream_id",
+       note="the gate with the inverse compression ratio; SQL knows the raster's size, not its gzip length")
+def q_gold_gate_icr(spark, sf):
+    b = spikes(spark, sf)
+    silver = medallion.silver(b, BIN)
+    return quality.gold_report(medallion.gold(b, silver), medallion.icr(silver, BIN))
+
+
 @query("bronze_fingerprint",
        f"{WITH}, h AS (SELECT stream_id, CAST(('0x' || substr(md5(concat_ws(':', stream_id, CAST(channel AS VARCHAR), "
        "CAST(t AS VARCHAR))), 1, 15)) AS BIGINT) AS h FROM spikes), "

@@ -138,6 +138,15 @@ def q_poisson(spark, sf):
     return encode.poisson_events(_norm(spark, sf), POISSON_SEED, POISSON_RATE)
 
 
+@query("binary_rate_encode",
+       f"WITH {NORM_SQL}, g AS (SELECT window_id, i, v, unnest(range(0, {T})) AS t FROM norm) "
+       f"SELECT window_id, CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS i FROM g "
+       f"WHERE {sql_hash_uniform(POISSON_SEED, 'window_id', 'i', 't')} < CASE WHEN v >= 0.5 THEN 0.9 ELSE 0.05 END")
+def q_binary_rate(spark, sf):
+    lit = _norm(spark, sf).select("window_id", encode.binarize("vec").alias("bits"))
+    return encode.binary_rate_events(lit, POISSON_SEED)
+
+
 @query("decay_trace",
        f"WITH {NORM_SQL}, e AS ({_lat('norm', 'window_id')}), "
        f"g AS (SELECT window_id, i, t AS s, unnest(range(t, {T})) AS t FROM e) "

@@ -127,3 +127,8 @@ def q_handoff(spark, sf):
 def q_icr_blocks(spark, sf):
     b = spikes(spark, sf)
     return medallion.icr_blocks(medallion.silver(b, W), W, bins_per_block=24 * 7)
+
+
+@query("icr", None, note="gzip length of a stream's whole raster is not SQL-expressible")
+def q_icr(spark, sf):
+    return medallion.icr(medallion.silver(spikes(spark, sf), W), W)

@@ -101,6 +101,38 @@ def test_icr_matches_gzip_of_raster(spark):
     assert got == pytest.approx(len(gzip.compress(bytes(raster), 9)) / len(raster))
 
 
+def test_icr_of_long_rasters_by_blocks_and_batches(spark):
+    """Several streams in one partition, rasters of several blocks, rows over many Arrow batches, far gaps."""
+    import gzip
+    import random
+    rng = random.Random(4)
+    width, rows, want = 90_000, [], {}
+    for s, channels in (("a", 30), ("b", 2), ("c", 25)):
+        raster = bytearray(channels * width)
+        for _ in range(3000):
+            c, b, n = rng.choice([0, channels - 1, rng.randrange(channels)]), int(width * rng.random() ** 3), rng.randint(1, 400)
+            if not raster[c * width + b]:
+                rows.append((s, c, b, n))
+                raster[c * width + b] = min(255, n)
+        want[s] = (len(raster), len(gzip.compress(bytes(raster), 9)))
+        rows += [(s, channels, 5, 9), (s, 0, width, 9), (s, -1, 5, 9), (s, None, 5, 9)] if s == "a" else []
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, 0, 0, 1)], "stream_id string, channel int, bin long, spikes long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+        for parts in ("1", "4"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = medallion.icr(df.where("stream_id <> 'a' OR stream_id IS NULL"), 1, duration=width).collect()
+            assert {r.stream_id: (r.raw_bytes, r.gz_bytes) for r in got} == {s: want[s] for s in "bc"}
+            r = medallion.icr(df.where("stream_id = 'a'"), 1, duration=width, n_channels=30).first()
+            assert (r.raw_bytes, r.gz_bytes) == want["a"] and r.icr == r.gz_bytes / r.raw_bytes
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert medallion.icr(df.limit(0), 1).count() == 0
+
+
 def test_event_time_is_zone_free(spark):
     import sys, os
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
