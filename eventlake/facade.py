@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventlake.operators import medallion, patterns, quality, store
+from eventlake.sources import lake
 
 
 class EventLake:
@@ -15,6 +17,7 @@ class EventLake:
 
     def __init__(self, spark: SparkSession, events: DataFrame | str):
         self.spark = spark
+        self.path = events if isinstance(events, str) else None
         self.events = spark.read.parquet(events) if isinstance(events, str) else events
 
     # store
@@ -66,3 +69,10 @@ class EventLake:
 
     def sequence(self, ordered: Sequence[int], window: int) -> DataFrame:
         return patterns.sequence(self.events, ordered, window)
+
+    def query_cost(self, channels: Sequence[int]) -> DataFrame:
+        """Events a pattern over ``channels`` reads per stream and, over a Bronze path, its partitions, files and bytes."""
+        read = patterns.pattern_stats(self.events, channels)
+        if self.path is None:
+            return read
+        return lake.scan_stats(self.spark, self.path, channels).join(read, "stream_id", "left").withColumn("events_read", F.coalesce("events_read", F.lit(0)))

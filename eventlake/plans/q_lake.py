@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventlake.facade import EventLake
 from eventlake.operators import match, pipeline
 from eventlake.plans.common import BIN, SPIKES_SQL, WQ_CH_T0, WQ_CH_T1, WQ_CHANNELS, spikes
 from eventlake.plans.q_signals import NORM_SQL, PROTO_SQL, SPLIT_SQL, _norm, _split
@@ -30,6 +31,23 @@ def q_partial_read(spark, sf):
     return lake.partial_read(spark, out, WQ_CH_T0, WQ_CH_T1, WQ_CHANNELS)
 
 
+_BUCKETS = ", ".join(str(c % lake.N_BUCKETS) for c in WQ_CHANNELS)
+
+
+@query("partial_read_cost",
+       f"WITH spikes AS ({SPIKES_SQL}), b AS (SELECT stream_id, channel, channel % {lake.N_BUCKETS} AS bucket FROM spikes) "
+       f"SELECT stream_id, count(DISTINCT bucket) FILTER (WHERE bucket IN ({_BUCKETS})) AS partitions_read, "
+       "count(DISTINCT bucket) AS partitions_total, "
+       f"count(*) FILTER (WHERE channel IN ({', '.join(map(str, WQ_CHANNELS))})) AS events_read, "
+       f"count(DISTINCT bucket) FILTER (WHERE bucket NOT IN ({_BUCKETS})) > 0 AS reads_less FROM b GROUP BY stream_id",
+       note="partitions, files and bytes of a channel query; SQL knows no bytes, so it says whether some are saved")
+def q_partial_read_cost(spark, sf):
+    out = run_dir(spark, "bronze")
+    lake.write_bronze(spikes(spark, sf), out)
+    cost = EventLake(spark, out).query_cost(WQ_CHANNELS)
+    return cost.select("stream_id", "partitions_read", "partitions_total", "events_read", (F.col("bytes_read") < F.col("bytes_total")).alias("reads_less"))
+
+
 # enrollment: the library holds one reference per label; a newer enrollment replaces it
 @query("enroll_library",
        f"WITH {NORM_SQL}, {SPLIT_SQL}, {PROTO_SQL}, "

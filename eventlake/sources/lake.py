@@ -44,6 +44,23 @@ def partial_read(spark: SparkSession, path: str, t0: int, t1: int, channels: Seq
             .select("stream_id", "channel", "t"))
 
 
+def scan_stats(spark: SparkSession, path: str, channels: Sequence[int] | None = None) -> DataFrame:
+    """What a query of these channels (none: all) reads of a Bronze table, after
+    partition pruning: ``stream_id, partitions_read, partitions_total,
+    files_read, files_total, bytes_read, bytes_total``, one row per stream.
+
+    Counted from the file listing alone; no file is opened.  The t-range skips
+    row groups inside these files, so ``bytes_read`` is an upper bound.  Streams
+    that hold none of the channels have zeros.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    hit = F.lit(True) if channels is None else F.col("channel_bucket").isin(sorted({int(c) % N_BUCKETS for c in channels}))
+    return files.groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(
+        F.count_distinct(F.when(hit, F.col("channel_bucket"))).alias("partitions_read"), F.count_distinct("channel_bucket").alias("partitions_total"),
+        F.count_if(hit).alias("files_read"), F.count(F.lit(1)).alias("files_total"),
+        F.coalesce(F.sum(F.when(hit, F.col("length"))), F.lit(0)).alias("bytes_read"), F.sum("length").alias("bytes_total"))
+
+
 def write_layer(df: DataFrame, path: str, partition_by: Sequence[str] = ("stream_id",)) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 

@@ -23,6 +23,28 @@ def test_partial_read_prunes_partitions_and_pushes_t(spark):
     assert got == sorted((c, t) for c in (3, 21) for t in range(100, 200, 10))
 
 
+def test_a_channel_query_reports_the_files_and_bytes_it_reads(spark):
+    import os
+    from eventlake.facade import EventLake
+    base = run_dir(spark, "t-cost")
+    lake.write_bronze(_ev(spark, [("a", c, t) for c in range(40) for t in range(0, 300, 10)] + [("b", 1, t) for t in range(20)]), base)
+    size = {}
+    for where, _, names in os.walk(base.removeprefix("file:")):
+        for n in names:
+            if n.endswith(".parquet"):
+                at = dict(x.split("=") for x in where.split("/") if "=" in x)
+                size.setdefault((at["stream_id"], int(at["channel_bucket"])), []).append(os.path.getsize(f"{where}/{n}"))
+    got = {r.stream_id: r for r in EventLake(spark, base).query_cost([3, 19, 21]).collect()}
+    for s in "ab":
+        every = [x for (k, _), v in size.items() if k == s for x in v]
+        some = [x for (k, b), v in size.items() if k == s and b in (3, 5) for x in v]
+        r = got[s]
+        assert (r.files_read, r.bytes_read, r.files_total, r.bytes_total) == (len(some), sum(some), len(every), sum(every))
+    assert (got["a"].partitions_read, got["a"].partitions_total, got["a"].events_read) == (2, 16, 90)
+    assert (got["b"].partitions_read, got["b"].bytes_read, got["b"].events_read) == (0, 0, 0)
+    assert "content" not in lake.scan_stats(spark, base, [3])._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
 def test_pipeline_publishes_only_after_gates(spark):
     out = run_dir(spark, "t-medallion")
     ok = _ev(spark, [("s", c, t) for c in range(4) for t in range(0, 500, 3 + c)])
