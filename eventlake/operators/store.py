@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from eventlake.operators.ordered import DEFAULT_BLOCK, prev_value
 
+CHANNELS_AT_ONCE, BINS_AT_ONCE = 1024, 1024      # parts of the dense grid; no result depends on them
+
 
 def check_channels(channels: Sequence[int] | None, n_channels: int | None = None) -> list[int] | None:
     """Validate a channel list eagerly (negative ids never index from the end)."""
@@ -77,19 +79,38 @@ def silver_counts(events: DataFrame, window: int) -> DataFrame:
 
 def dense_bins(events: DataFrame, window: int, duration: int | None = None,
                n_channels: int | None = None, channels: Sequence[int] | None = None) -> DataFrame:
-    """Every bin ``0..ceil(duration/W)-1`` of every channel, zeros included."""
-    silver = silver_counts(events, window)
+    """Every bin ``0..ceil(duration/W)-1`` of every channel, zeros included.
+
+    A channel's bins are cut into blocks.  Each block has a row before its first
+    bin; that row and every count bring the zeros up to the next count, so the
+    shuffle holds the counts and a row per block, never the whole grid.
+    """
+    silver = silver_counts(events, window).filter(F.col("stream_id").isNotNull())
     bounds = stream_bounds(events, n_channels, duration)
     nb = F.floor((F.col("duration") + F.lit(int(window) - 1)) / F.lit(int(window))).cast("bigint")
-    spine = bounds.select("stream_id", nb.alias("nb"),
-                          F.explode(F.sequence(F.lit(0), F.col("n_channels") - 1)).alias("channel"))
+    some = (bounds.select("stream_id", "n_channels", nb.alias("nb")).filter("n_channels > 0 AND nb > 0")
+            .select("stream_id", "n_channels", "nb", F.explode(F.sequence(F.lit(0), F.col("n_channels") - 1, F.lit(CHANNELS_AT_ONCE))).alias("c0"))
+            .repartition("stream_id", "c0"))
+    last = F.least(F.col("n_channels").cast("bigint"), F.col("c0").cast("bigint") + CHANNELS_AT_ONCE) - 1
+    spine = some.select("stream_id", "nb", F.explode(F.sequence(F.col("c0").cast("bigint"), last)).alias("channel"))
     chans = check_channels(channels)
     if chans is not None:
-        spine = spine.filter(F.col("channel").isin(chans))
-    spine = spine.select("stream_id", "channel",
-                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("bin"))
-    return (spine.join(silver, ["stream_id", "channel", "bin"], "left")
-            .select("stream_id", "channel", "bin", F.coalesce("spikes", F.lit(0)).cast("bigint").alias("spikes")))
+        spine, silver = spine.filter(F.col("channel").isin(chans)), silver.filter(F.col("channel").isin(chans))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1, F.lit(BINS_AT_ONCE).cast("bigint")))
+    blocks = (spine.select("stream_id", "channel", "nb", first.alias("start"))
+              .select("stream_id", "channel", F.floor(F.col("start") / BINS_AT_ONCE).cast("bigint").alias("block"), (F.col("start") - 1).alias("bin"),
+                      F.lit(0).cast("bigint").alias("spikes"), F.least("nb", F.col("start") + BINS_AT_ONCE).alias("end")))
+    counts = silver.select("stream_id", F.col("channel").cast("bigint").alias("channel"), F.floor(F.col("bin") / BINS_AT_ONCE).cast("bigint").alias("block"),
+                           "bin", "spikes", F.lit(None).cast("bigint").alias("end"))
+    block = Window.partitionBy("stream_id", "channel", "block")
+    runs = (blocks.unionByName(counts).withColumn("end", F.max("end").over(block))       # none: outside the bounds
+            .filter(F.col("bin") < F.col("end"))
+            .withColumn("next", F.coalesce(F.lead("bin").over(block.orderBy("bin")), F.col("end")))
+            .withColumn("from", F.greatest("bin", F.col("block") * BINS_AT_ONCE)).filter(F.col("from") < F.col("next")))
+    own, n = F.col("bin"), F.col("spikes")
+    return (runs.select("stream_id", "channel", own.alias("own"), n.alias("n"), F.explode(F.sequence("from", F.col("next") - 1)).alias("bin"))
+            .select("stream_id", F.col("channel").cast("int").alias("channel"), "bin",
+                    F.when(F.col("bin") == F.col("own"), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("spikes")))
 
 
 def bursts(events: DataFrame, window: int, k: int, duration: int | None = None) -> DataFrame:

@@ -181,3 +181,23 @@ def test_adapter_pushes_time_and_channels_to_scan(spark):
     assert "user_id" in scan and "GreaterThanOrEqual(ts" in scan and "LessThan(ts" in scan
     # only the needed columns are read
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
+
+
+def test_dense_bins_never_shuffles_the_grid(spark):
+    rows = [("s", c, t) for c in (0, 3, 1500) for t in (0, 5, 10_239, 10_240, 10_245, 25_003)] + [("s", 2, -7), ("s", -1, 3), ("t", 1, 12), (None, 0, 1)]
+    df = _ev(spark, rows)
+    dense = store.dense_bins(df, 10)
+    want = {}
+    for s, n, bins in (("s", 1501, 2501), ("t", 2, 2), (None, 1, 1)):
+        want |= {(s, c, b): 0 for c in range(n) for b in range(bins)}
+    for s, c, t in rows:
+        if s and (s, c, t // 10) in want:
+            want[s, c, t // 10] += 1
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(((r.stream_id, r.channel, r.bin, r.spikes) for r in dense.where("spikes > 0 OR stream_id IS NULL OR stream_id = 't'").collect()), key=key) == sorted(
+        ((*k, n) for k, n in want.items() if n or k[0] != "s"), key=key)
+    assert dense.count() == len(want) == dense.select("stream_id", "channel", "bin").distinct().count()
+    assert store.dense_bins(df, 10, duration=30, n_channels=4, channels=[1, 3]).where("stream_id = 's'").count() == 2 * 3
+    assert dense.schema.simpleString() == "struct<stream_id:string,channel:int,bin:bigint,spikes:bigint>"
+    plan = dense._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan                  # the grid is made after the last shuffle
