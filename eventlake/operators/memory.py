@@ -4,21 +4,42 @@
 Memory = (bank, pattern_id, neuron) rows; a cue = (bank, cue_id, neuron).
 With ``a = k/N``, ``d_p = |xi_p & s| - a|s|`` and
 ``S_i = sum_{p contains i} d_p - [i in s](cnt_i (1-a)^2 + (P - cnt_i) a^2)``.
-Splitting ``sum d_p = sum |xi_p & s| - a |s| cnt_i`` leaves sums over a sparse
-co-occurrence table, built once, plus per-neuron counts ``cnt_i``.
+Splitting ``sum d_p = sum |xi_p & s| - a |s| cnt_i`` leaves per-neuron counts
+``cnt_i`` and sums of overlaps: over the patterns of the cue's bank, held in one
+row; of a bank of many patterns, and over many neurons, over a sparse
+co-occurrence table.  Both are built once.
 Every neuron of [0, N) is a candidate for the top-k (untouched neurons
 score ``-a|s|cnt_i`` or 0).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions.rng import hash_uniform
 from eventlake.session import cut_lineage
+from eventlake.streaming.common import run_dir
+
+LARGE = 256         # patterns of a bank that are kept in one row, at most; no result depends on it
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet into the shared checkpoint folder."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _run_lengths(df: DataFrame, sorted_col: str, name: str) -> DataFrame:
+    """df with a map, value -> how often the sorted array holds it, for the array."""
+    n = F.size(sorted_col)
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(sorted_col, i) != F.get(sorted_col, i - 1)))
+    df = df.withColumn("_ends", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")))
+    often = F.transform("_ends", lambda e, i: (e - F.coalesce(F.get("_ends", i - 1), F.lit(0))).cast("bigint"))
+    return df.withColumn(name, F.map_from_arrays(F.transform("_ends", lambda e: F.get(sorted_col, e - 1)), often)).drop("_ends", sorted_col)
 
 
 class MemoryIndex:
@@ -32,57 +53,127 @@ class MemoryIndex:
     def counted(self, rows: DataFrame, by: list[str], name: str) -> DataFrame:
         return rows.groupBy("bank", *by).agg(F.count(F.lit(1)).alias(name))
 
+    def held(self, patterns: DataFrame) -> DataFrame:
+        """(bank, members): a bank's patterns in one row."""
+        return patterns.groupBy("bank").agg(F.collect_list("members").alias("members"))
+
     def __init__(self, memory: DataFrame, n: int, checkpoint: bool = False):
-        self.memory = memory.select("bank", "pattern_id", "neuron", *self.extra)
-        # sparse co-occurrence: in how many patterns of the bank j and i are both set.
-        # sum_{p has i} |p & s| = sum_{j in s} together(j, i), so a step needs neither
-        # patterns nor (cue, pattern) pairs; its size is sum |p|^2, whatever the cues
-        pair = self.counted(self.memory.join(self.memory.select("bank", "pattern_id", F.col("neuron").alias("other")), ["bank", "pattern_id"]),
-                            ["neuron", "other"], "together")
-        if checkpoint:
-            # reused by every step: materialise once, hash-partitioned on the join key,
-            # so that later steps shuffle only the (small) cue side
-            parts = int(memory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            pair = cut_lineage(pair.repartition(parts, "bank", "neuron"))
-        self.pair = pair
+        memory = memory.select("bank", "pattern_id", "neuron", *self.extra)
+        self.memory = memory
         self.n = n
-        P = self.counted(self.memory.select("bank", "pattern_id", *self.extra).where("pattern_id IS NOT NULL").distinct(), [], "P")
-        cnt = self.counted(self.memory, ["neuron"], "cnt")
-        if checkpoint:
-            P, cnt = cut_lineage(P), cut_lineage(cnt)
-        self.P, self.cnt = P, cnt
-        self._ranked = None
-        self._bank_arrays = None
         self._checkpoint = checkpoint
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the index, made at its first use and, with ``checkpoint``,
+        materialised hash-partitioned on its key, so that later steps shuffle
+        only the (small) cue side."""
+        if name not in self._kept:
+            df = make()
+            if self._checkpoint:
+                keys = [k for k in ("bank", "neuron") if k in df.columns]
+                df = cut_lineage(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys))
+            self._kept[name] = df
+        return self._kept[name]
+
+    @staticmethod
+    def _together(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.select("bank", "pattern_id", F.col("neuron").alias("other")), ["bank", "pattern_id"])
+
+    @property
+    def pair(self) -> DataFrame:
+        """Sparse co-occurrence: in how many patterns of the bank j and i are both set.
+        sum_{p has i} |p & s| = sum_{j in s} together(j, i), so a step needs neither
+        patterns nor (cue, pattern) pairs; its size is sum |p|^2, whatever the cues."""
+        return self._once("pair", lambda: self.counted(self._together(self.memory), ["neuron", "other"], "together"))
+
+    @property
+    def P(self) -> DataFrame:
+        return self._once("P", lambda: self.counted(self.memory.select("bank", "pattern_id", *self.extra).where("pattern_id IS NOT NULL").distinct(), [], "P"))
+
+    @property
+    def cnt(self) -> DataFrame:
+        return self._once("cnt", lambda: self.counted(self.memory, ["neuron"], "cnt"))
+
+    # ---- array form: a bank of few patterns is one row of them
+    @property
+    def patterns(self) -> DataFrame:
+        """(bank, pattern_id, members): the patterns as arrays."""
+        if "patterns" not in self._kept:
+            self._kept["patterns"] = kept(self.memory.where("bank IS NOT NULL AND pattern_id IS NOT NULL").groupBy(
+                "bank", "pattern_id", *self.extra).agg(F.collect_list("neuron").alias("members")), "memory-patterns")
+        return self._kept["patterns"]
+
+    @property
+    def large(self) -> DataFrame | None:
+        """The banks of too many patterns for one row: they keep the counted
+        pairs, at most n^2 a bank.  None: there are none."""
+        if "large" not in self._kept:
+            banks = self.patterns.groupBy("bank").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("bank")
+            self._kept["large"] = None if banks.isEmpty() else banks
+        return self._kept["large"]
+
+    @property
+    def large_memory(self) -> DataFrame:
+        return self.memory.where("pattern_id IS NOT NULL AND neuron IS NOT NULL").join(F.broadcast(self.large), "bank")
+
+    @property
+    def large_pair(self) -> DataFrame:
+        return self._once("large_pair", lambda: self.counted(self._together(self.large_memory), ["neuron", "other"], "together"))
 
     @property
     def bank_arrays(self) -> DataFrame:
-        """Per bank: neurons in untouched order, neuron -> count map, P
-        (N + distinct neurons entries per bank, built once per index)."""
-        if self._bank_arrays is None:
-            b = (self.ranked.groupBy("bank").agg(F.array_sort(F.collect_list(F.struct("rank", "neuron"))).alias("__r"))
-                 .select("bank", F.transform("__r", lambda x: x["neuron"]).alias("ranked"))
-                 .join(self.cnt.groupBy("bank").agg(
-                     F.map_from_entries(F.collect_list(F.struct("neuron", "cnt"))).alias("cmap")), "bank", "left")
-                 .join(self.P, "bank"))
-            self._bank_arrays = cut_lineage(b) if self._checkpoint else b
-        return self._bank_arrays
+        """(bank, members, cmap, P): a bank's patterns (none of a large bank), its
+        neuron -> count map and the number of its patterns; once per index."""
+        def make() -> DataFrame:
+            few = self.patterns if self.large is None else self.patterns.join(F.broadcast(self.large), "bank", "left_anti")
+            rows = _run_lengths(self.held(few).withColumn("_all", F.sort_array(F.flatten("members"))), "_all", "cmap").select(
+                "bank", "members", "cmap", F.size("members").cast("bigint").alias("P"))
+            if self.large is None:
+                return rows
+            cnt = self.counted(self.large_memory, ["neuron"], "cnt").groupBy("bank").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "cnt"))).alias("cmap"))
+            of = self.counted(self.patterns.join(F.broadcast(self.large), "bank"), [], "P")
+            return rows.unionByName(of.join(cnt, "bank", "left").select("bank", F.array().cast(rows.schema["members"].dataType).alias("members"), "cmap", "P"))
+        return self._once("bank_arrays", make)
+
+    def overlaps(self, cues: DataFrame) -> DataFrame:
+        """Every cue as a set s beside its bank's arrays, and ``omap``: neuron ->
+        sum of |p & s| over the patterns p that hold it."""
+        sets = cues.groupBy("bank", "cue_id").agg(F.collect_set("neuron").alias("s"))
+        often = lambda p: F.array_repeat(p, F.size(F.filter(p, lambda j: F.array_contains("s", j))))
+        met = sets.join(self.bank_arrays, "bank").withColumn("_met", F.sort_array(F.flatten(F.flatten(F.transform("members", often))))).drop("members")
+        small = _run_lengths(met, "_met", "omap")
+        if self.large is None:
+            return small
+        summed = (cues.distinct().join(self.large_pair, ["bank", "neuron"]).groupBy("bank", "cue_id", F.col("other").alias("neuron")).agg(F.sum("together").alias("O"))
+                  .groupBy("bank", "cue_id").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "O"))).alias("counted")))
+        return small.join(summed, ["bank", "cue_id"], "left").withColumn("omap", F.coalesce("counted", "omap")).drop("counted")
+
+    def untouched(self, most: Column) -> Column:
+        """The first ``most`` neurons of [0, N) by (cnt, neuron), from a bank's ``cmap``."""
+        none = F.array().cast("array<int>")
+        empty = F.array_except(F.sequence(F.lit(0), F.lit(self.n - 1)), F.coalesce(F.map_keys("cmap"), none))
+        own = F.filter(F.map_entries("cmap"), lambda e: (e["key"] >= 0) & (e["key"] < F.lit(self.n)))
+        counted = F.sort_array(F.transform(own, lambda e: F.struct(e["value"].alias("cnt"), e["key"].alias("neuron"))))
+        enough = F.lit(self.n) - F.coalesce(F.size(F.map_keys("cmap")), F.lit(0)) >= most       # then the others need no sorting
+        return F.slice(F.when(enough, empty).otherwise(F.concat(empty, F.coalesce(F.transform(counted, lambda x: x["neuron"]), none))), F.lit(1), most)
 
     @property
     def ranked(self) -> DataFrame:
-        if self._ranked is None:
+        """The untouched order as rows, for the step over many neurons."""
+        def make() -> DataFrame:
             spine = self.P.select("bank", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("neuron"))
             w = Window.partitionBy("bank").orderBy(F.col("c0"), F.col("neuron"))
-            self._ranked = (spine.join(self.cnt, ["bank", "neuron"], "left")
-                            .withColumn("c0", F.coalesce(F.col("cnt"), F.lit(0)))
-                            .withColumn("rank", F.row_number().over(w)).select("bank", "rank", "neuron"))
-        return self._ranked
+            return (spine.join(self.cnt, ["bank", "neuron"], "left")
+                    .withColumn("c0", F.coalesce(F.col("cnt"), F.lit(0)))
+                    .withColumn("rank", F.row_number().over(w)).select("bank", "rank", "neuron"))
+        return make()
 
 
 class NestedIndex(MemoryIndex):
     """One index for several load levels: a bank at load j stores the patterns
-    of ``level`` j or less.  Every row of the memory (and of its pairs) is
-    counted once; the counts of all loads are running sums over the levels.
+    of ``level`` j or less.  Every pattern is collected once, and every row of a
+    large bank (and of its pairs) counted once, for all loads.
     Banks are named (bank, load)."""
 
     extra = ("level",)
@@ -96,6 +187,12 @@ class NestedIndex(MemoryIndex):
         return (rows.groupBy("bank", *by).agg(each.alias("each")).select("bank", *by, F.explode("each").alias("x")).where("x.n > 0")
                 .select(F.struct("bank", F.col("x.load").alias("load")).alias("bank"), *by, F.col("x.n").alias(name)))
 
+    def held(self, patterns: DataFrame) -> DataFrame:
+        rows = patterns.groupBy("bank").agg(F.collect_list(F.struct("level", "members")).alias("each")).select(
+            "bank", "each", F.explode(F.sequence(F.lit(0), F.lit(self.loads - 1))).alias("load"))
+        stored = F.transform(F.filter("each", lambda p: p["level"] <= F.col("load")), lambda p: p["members"])
+        return rows.select(F.struct("bank", "load").alias("bank"), stored.alias("members")).where(F.size("members") > 0)
+
 
 def load_levels(memory: DataFrame, loads: Sequence[float], seed: int) -> DataFrame:
     """The memory with ``level``, the first of the rising load shares that stores
@@ -155,12 +252,12 @@ def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512,
     a = k / n
     hi2, lo2 = (1 - a) ** 2, a * a
     cues = cues.select("bank", "cue_id", "neuron")
-    m = cues.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("m"))
-    o = (cues.join(idx.pair, ["bank", "neuron"]).groupBy("bank", "cue_id", F.col("other").alias("neuron"))
-         .agg(F.sum("together").alias("O")))
     if n <= dense_limit:
-        return _step_arrays(idx, cues, o, n, k, as_sets)
+        return _step_arrays(idx, cues, n, k, as_sets)
     else:
+        m = cues.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("m"))
+        o = (cues.join(idx.pair, ["bank", "neuron"]).groupBy("bank", "cue_id", F.col("other").alias("neuron"))
+             .agg(F.sum("together").alias("O")))
         touched = o.select("bank", "cue_id", "neuron").unionByName(cues).distinct()
         nt = touched.groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("nt"))
         fill = (nt.select("bank", "cue_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("nt") + F.lit(k))))
@@ -181,17 +278,14 @@ def recall_step(memory, cues: DataFrame, n: int, k: int, dense_limit: int = 512,
             .filter(F.col("rk") <= k).select("bank", "cue_id", "neuron"))
 
 
-def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int, as_sets: bool = False) -> DataFrame:
+def _step_arrays(idx: MemoryIndex, cues: DataFrame, n: int, k: int, as_sets: bool = False) -> DataFrame:
     """Array form of the step for moderate N: one row per cue carrying its
     touched neurons (<= N) and its bank's neuron ranking (N entries); the
     field and the top-k are evaluated with higher-order functions, so no
     per-(cue, neuron) rows are shuffled."""
     a = k / n
     hi2, lo2 = (1 - a) ** 2, a * a
-    bank = idx.bank_arrays
-    cue = cues.groupBy("bank", "cue_id").agg(F.array_distinct(F.collect_list("neuron")).alias("s"))
-    ol = o.groupBy("bank", "cue_id").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "O"))).alias("omap"))
-    t = cue.join(ol, ["bank", "cue_id"], "left").join(bank, "bank")
+    t = idx.overlaps(cues)
     t = t.withColumn("touched", F.array_union(F.coalesce(F.map_keys("omap"), F.array().cast("array<int>")), F.col("s")))
     m = F.size("s").cast("double")
 
@@ -204,13 +298,13 @@ def _step_arrays(idx: MemoryIndex, cues: DataFrame, o: DataFrame, n: int, k: int
         return F.coalesce(F.element_at(F.col("omap"), i), F.lit(0)).cast("double") - F.lit(a) * m * c - diag
 
     scored = F.transform("touched", lambda i: F.struct((-field(i)).alias("ns"), i.alias("neuron")))
-    head = F.slice(F.col("ranked"), 1, F.size("touched") + F.lit(k))
+    head = idx.untouched(F.size("touched") + F.lit(k))
     free = F.slice(F.filter(head, lambda i: ~F.array_contains(F.col("touched"), i)), 1, k)
     free_scored = F.transform(free, lambda i: F.struct((F.lit(a) * m * cnt_of(i)).alias("ns"), i.alias("neuron")))
-    top = F.slice(F.array_sort(F.concat(scored, free_scored)), 1, k)
+    top = F.slice(F.sort_array(F.concat(scored, free_scored)), 1, k)
     if as_sets:
-        new = F.array_sort(F.transform(top, lambda x: x["neuron"]))
-        return t.select("bank", "cue_id", new.alias("new"), (new != F.array_sort(F.col("s"))).alias("changed"))
+        new = F.sort_array(F.transform(top, lambda x: x["neuron"]))
+        return t.select("bank", "cue_id", new.alias("new"), (new != F.sort_array(F.col("s"))).alias("changed"))
     return t.select("bank", "cue_id", F.explode(top).alias("x")).select("bank", "cue_id", F.col("x.neuron").alias("neuron"))
 
 

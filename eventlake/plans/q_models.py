@@ -289,18 +289,22 @@ def _steps_sql(steps: int) -> str:
     return _COUNTS + ", ".join(_step_sql(j) for j in range(1, steps + 1))
 
 
-def _memory(spark, sf):
+def _patterns(spark, sf):
+    """(bank, pattern_id, neuron), joined once."""
     li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
-    mem = (li.join(o, o.o_orderkey == li.l_orderkey)
-           .select(F.col("o_custkey").alias("bank"), F.col("l_orderkey").alias("pattern_id"),
-                   F.pmod(F.col("l_partkey"), F.lit(MEM_N)).cast("int").alias("neuron")).distinct())
+    return memory.kept(li.join(o, o.o_orderkey == li.l_orderkey)
+                       .select(F.col("o_custkey").alias("bank"), F.col("l_orderkey").alias("pattern_id"),
+                               F.pmod(F.col("l_partkey"), F.lit(MEM_N)).cast("int").alias("neuron")).distinct(), "memory")
+
+
+def _memory(spark, sf):
+    mem = _patterns(spark, sf)
     keep = mem.filter(hash_uniform(CUE_SEED, F.col("pattern_id"), F.col("neuron")) >= 0.25).select(
         "bank", F.col("pattern_id").alias("cue_id"), "neuron")
     add = mem.select("bank", F.col("pattern_id").alias("cue_id"),
                      F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)).cast("int").alias("neuron"))
-    cues = keep.unionByName(add).distinct()
-    return mem, cues
+    return mem, keep.unionByName(add).distinct()
 
 
 @query("recall_step", f"WITH {MEM_SQL}, {STEP_SQL} SELECT bank, cue_id, neuron FROM step")
@@ -505,11 +509,7 @@ SWEEP_SQL = ("WITH mem AS (SELECT DISTINCT o.o_custkey AS bank, l.l_orderkey AS
 
 @query("recall_sweep", SWEEP_SQL, note="parameter grid x recall step in one job")
 def q_recall_sweep(spark, sf):
-    li = table(spark, sf, "lineitem")
-    o = table(spark, sf, "orders")
-    mem = (li.join(o, o.o_orderkey == li.l_orderkey)
-           .select(F.col("o_custkey").alias("bank"), F.col("l_orderkey").alias("pattern_id"),
-                   F.pmod(F.col("l_partkey"), F.lit(MEM_N)).cast("int").alias("neuron")).distinct())
+    mem = _patterns(spark, sf)
     grids = []
     for g, frac in enumerate(SWEEP_DROPS):
         keep = mem.filter(hash_uniform(CUE_SEED, F.col("pattern_id"), F.col("neuron")) >= frac).select(
