@@ -40,7 +40,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: (time, weight) of the three kinds of source; they integrate to 1, 2 and 3
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (
     ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)),
-    ((0.0, 1.0), (0.25, 2.0), (0.75, 2.5), (1.0, 2.0)),
+    ((0.0, 1.0), (0.25, 2.0), (0.75, 2.5), (1.0, 1.5)),
     ((0.0, 2.0), (0.5, 3.0), (1.0, 4.0)),
 )
 

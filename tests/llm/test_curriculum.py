@@ -122,3 +122,11 @@ def test_partitions_and_reruns_agree(spark):
 def test_plan_is_native(spark):
     plan = curriculum(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_sources_weigh_one_two_three(spark, make_docs):
+    """Targets by the contract's weights, not by what the schedules add up to."""
+    rows = [(i, "w " * 60, s) for i, s in enumerate(["a", "b", "c", None])]
+    got = {r.source: r.target for r in curriculum(make_docs(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {"a": pytest.approx(240 / 7), "b": pytest.approx(480 / 7), "c": pytest.approx(720 / 7), None: pytest.approx(240 / 7)}
+    assert [integral(s) for s in SCHEDULES] == [1.0, 2.0, 3.0]
