@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 1. *Entities*: e-mail, IP, card and phone spans (exact per-kind rules).
-2. *Terms*: words within ``window`` words of an entity.
+2. *Terms*: all words outside the entities of a document that holds one, or,
+   where a ``window`` is given, those within ``window`` words of an entity.
 3. *Corpus co-occurrence*: with N documents, the number of documents that hold
-   entity e, term t, and both (t near e in one of them at least) give the
+   entity e, term t, and both give the
    pointwise mutual information ``PMI(e;t) = log2(N * c(e,t) / (c(e) * c(t)))``
    and the information content ``IC(e) = -log2(c(e)/N)``.  A term discloses e
    when ``PMI >= alpha * IC(e)`` and ``support`` documents or more hold both.
@@ -14,8 +15,9 @@
    holds a digit or an ``@``) is generalised to its shape, any other is removed.
 
 Counts cover every document.  Word counts are combined per task before the
-shuffle; the pairs near entities are thin (hashes, not texts); only the texts'
-own findings travel back to their documents.
+shuffle; the pairs of words and entities are thin rows, of entities and words
+that ``support`` documents hold; only the texts' own findings travel back to
+their documents.
 """
 
 from __future__ import annotations
@@ -93,8 +95,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _near(text: str, spans: list[tuple[int, int, str]], window: int) -> list[tuple[str, int, int, str]]:
-    """(term, start, end, entity) of words near each entity, entities excluded."""
+def _outside(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """(words, which of them an entity covers, each entity's first word and the one after its last)."""
     found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([s for s, _ in found])
     ends = np.array([e for _, e in found])
@@ -105,6 +107,24 @@ def _near(text: str, spans: list[tuple[int, int, str]], window: int) -> list[tup
         b = int(np.searchsorted(starts, e, side="left"))
         taken[a:b] = True
         place.append((a, b))
+    return found, taken, place
+
+
+def free_words(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of the text that no entity covers."""
+    found, taken, _ = _outside(text, spans)
+    out = []
+    for (s, e), covered in zip(found, taken, strict=True):
+        core = "" if covered else text[s:e].strip(_EDGE)
+        if core:
+            at = s + text[s:e].index(core)
+            out.append((core.lower(), at, at + len(core)))
+    return out
+
+
+def _near(text: str, spans: list[tuple[int, int, str]], window: int) -> list[tuple[str, int, int, str]]:
+    """(term, start, end, entity) of words near each entity, entities excluded."""
+    found, taken, place = _outside(text, spans)
     out = []
     for (a, b), (s, e, kind) in zip(place, spans, strict=True):
         entity = f"{kind}:{text[s:e]}"
@@ -217,27 +237,102 @@ def disclosing_pairs(found: DataFrame, counts: DataFrame, n_docs: int, alpha: fl
     return strong.select("entity", "term", (F.col("ic") + share(F.col("both"))).alias("pmi"), "ic")
 
 
-def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 4,
+def find_holders(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document: base spans and, where there are any, the entities, all words and the text."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = text_array(batch.column("text"))
+            for lo in range(0, len(col), 512):
+                spans, entities, held, texts = [], [], [], []
+                for i in range(lo, min(lo + 512, len(col))):
+                    text = col[i].as_py()
+                    found = base_spans(text)
+                    spans.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
+                    entities.append(list({f"{k}:{text[s:e]}" for s, e, k in found}))
+                    held.append(list({w.decode() for w in _distinct_words(text) if w} | {t for t, _, _ in free_words(text, found)}) if found else [])
+                    texts.append(text if found else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, 512), pa.array(spans, type=SPAN_TYPE), pa.array(entities, type=pa.list_(pa.string())),
+                     pa.array(held, type=pa.list_(pa.string())), pa.array(texts, type=pa.string())], names=["id", "spans", "entities", "words", "text"])
+
+    return src.mapInArrow(run, f"id {id_type}, spans {SPAN_DDL}, entities array<string>, words array<string>, text string")
+
+
+def whole_text_terms(found: DataFrame, counts: DataFrame, n_docs: int, alpha: float, support: int) -> DataFrame:
+    """(row, terms): the terms of each document that disclose one of its entities,
+    all its words being candidates.
+
+    Only entities and words that ``support`` documents hold can make a pair; a
+    word in more documents than any entity's threshold allows cannot either."""
+    n = F.lit(float(n_docs))
+    share = lambda both: F.log2(both / F.greatest(F.col("n"), both))
+    each = found.select("row", F.explode("entities").alias("entity"))
+    known = (each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("ic", -F.log2(F.col("n_entity") / n))
+             .where((F.col("ic") > 0) & (F.col("n_entity") >= support)))
+    held = written(each.join(known, "entity"), "pii-held")
+    most = held.agg(F.max(F.col("n_entity") * F.pow(F.lit(2.0), (1 - alpha) * F.col("ic")))).first()[0] or 0.0
+    some = counts.where((F.col("n") >= support) & (F.col("n") <= most * (1 + 1e-9)))
+    words = written(found.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("term")).join(some, "term"), "pii-words")
+    over = lambda both: share(both) >= (alpha - 1) * F.col("ic")
+    both = (held.join(words, "row").where(over(F.least("n_entity", "n"))).groupBy("entity", "term")
+            .agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("ic").alias("ic")))
+    strong = written(both.where((F.col("both") >= support) & over(F.col("both"))).select("entity", "term"), "pii-strong")
+    there = words.join(strong.select("term").distinct(), "term", "left_semi")
+    return (held.join(there, "row").join(strong, ["entity", "term"], "left_semi")
+            .groupBy("row").agg(F.collect_set("term").alias("terms")))
+
+
+def placed_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, terms): the spans of every occurrence of each document's terms outside its entities."""
+    src = found.where("text IS NOT NULL").select("row", "spans", "text").join(terms, "row").select("row", "spans", "text", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                out = []
+                for text, spans, own in zip(*[part.column(c).to_pylist() for c in ("text", "spans", "terms")], strict=True):
+                    wanted = set(own)
+                    found = free_words(text, [(x["start"], x["end"], x["kind"]) for x in spans])
+                    out.append([{"kind": "term", "start": s, "end": e} for t, s, e in found if t in wanted])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, type=SPAN_TYPE)], names=["row", "terms"])
+
+    return src.mapInArrow(run, f"row bigint, terms {SPAN_DDL}")
+
+
+def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None,
                        alpha: float = 0.8, support: int = 2) -> DataFrame:
     """One row per document: ``<id_col>, spans`` (base kinds and ``term``).
 
-    Offsets are code points, end exclusive.  Null text counts as empty and has
-    no spans; a null id stays null; repeated rows are scanned each and count
-    each; other columns are ignored; an empty table gives an empty result.
+    Every word of a document is a candidate for its entities; ``window`` narrows
+    that to the words so near an entity.  Offsets are code points, end exclusive.
+    Null text counts as empty and has no spans; a null id stays null; repeated
+    rows are scanned each and count each; other columns are ignored; an empty
+    table gives an empty result.
     """
-    found = written(find_entities(docs, id_col, text_col, window).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    if window is None:
+        found = find_holders(docs, id_col, text_col)
+    else:
+        found = find_entities(docs, id_col, text_col, window)
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
     counts = word_document_counts(docs, text_col)
-    pairs = disclosing_pairs(found, counts, found.count(), alpha, support)
     # the written row number keeps repeated ids apart
-    hits = (found.where(F.size("near") > 0).select("row", F.explode("near").alias("x"))
-            .select("row", "x.entity", "x.term", "x.start", "x.end").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-            .groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms")))
+    if window is None:
+        hits = placed_terms(found, whole_text_terms(found, counts, found.count(), alpha, support))
+    else:
+        pairs = disclosing_pairs(found, counts, found.count(), alpha, support)
+        hits = (found.where(F.size("near") > 0).select("row", F.explode("near").alias("x"))
+                .select("row", "x.entity", "x.term", "x.start", "x.end").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
+                .groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms")))
     own = F.coalesce("terms", F.array().cast(SPAN_DDL))
     order = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_sort(F.concat("spans", own), lambda a, b: F.when(
         F.struct(a["start"], F.array_position(order, a["kind"]), a["end"]) < F.struct(b["start"], F.array_position(order, b["kind"]), b["end"]), -1)
         .when(F.struct(a["start"], F.array_position(order, a["kind"]), a["end"]) > F.struct(b["start"], F.array_position(order, b["kind"]), b["end"]), 1).otherwise(0))
-    return found.drop("near", "words").join(hits, "row", "left").select(F.col("id").alias(id_col), spans.alias("spans"))
+    return found.select("row", "id", "spans").join(hits, "row", "left").select(F.col("id").alias(id_col), spans.alias("spans"))
 
 
 def generalised(term: str) -> str:

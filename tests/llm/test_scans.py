@@ -189,6 +189,34 @@ def test_disclosing_terms(spark, make_docs):
     assert pii.generalised("ab-12") == "xx-00" and pii.generalised("plain") == ""
 
 
+def test_terms_far_from_their_entity(spark, make_docs):
+    """Whole texts against a plain recount: where a term stands does not matter."""
+    rnd = random.Random(5)
+    people, terms = [f"p{i}@x.org" for i in range(5)], [f"Term{i}" for i in range(500)]
+    far = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"Zorblax! {far} kim@x.org {far} (zorblax)") for i in range(3)] + [(100 + i, f"the {far} {i}") for i in range(60)]
+    rows += [(200 + i, " ".join(rnd.choice(people) if rnd.random() < 0.1 else rnd.choice(terms) for _ in range(rnd.randint(0, 25)))) for i in range(90)]
+    rows += [(400 + i, f"filler {i}") for i in range(300)]
+    core = lambda w: w.strip("\"'()[]{}<>.,;:!?|").lower()
+    held = {i: {core(w) for w in t.split()} for i, t in rows}
+    n, mails = len(rows), ["kim@x.org", *people]
+    strong = set()
+    for e in mails:
+        ce = sum(e in h for h in held.values())
+        for t in {t for h in held.values() if e in h for t in h}:
+            ct, both = sum(t in h for h in held.values()), sum(t in h and e in h for h in held.values())
+            if ce >= 2 and both >= 2 and math.log2(both / ct) >= -0.2 * -math.log2(ce / n) - 1e-12:
+                strong.add((e, t))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.scan_personal_data(make_docs(rows)).collect()}
+    some = 0
+    for i, t in rows:
+        want = [(m.start() + m.group().index(c), m.start() + m.group().index(c) + len(c)) for m in re.finditer(r"\S+", t)
+                for c in [m.group().strip("\"'()[]{}<>.,;:!?|")] if "@" not in c and any((e, c.lower()) in strong for e in mails if e in held[i])]
+        some += len(want)
+        assert got[i] == want, t
+    assert got[0] == [(0, 7), (len(rows[0][1]) - 8, len(rows[0][1]) - 1)] and some > 20
+
+
 # ---- token counts ----
 
 def reference_tokenizer():
