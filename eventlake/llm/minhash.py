@@ -18,6 +18,9 @@
   buckets; in a new bucket of a few members all pairs of different classes are
   compared, in a larger one every member meets one drawn at random.  Rounds go
   on until one links fewer than one in 200 of its documents.  A round's pairs are linear in its documents, whatever the size of a group.
+  The rounds only join the bulk of large groups cheaply; what they leave is done
+  in full: in every bucket of any round that still holds several classes, all
+  pairs of members of different classes are compared, in blocks of bounded size.
 * Every pair is verified by its exact weighted Jaccard similarity on the whole
   texts; links are closed to classes.  Equal texts are grouped first, and stand
   for one document, so copies cost nothing more.
@@ -43,6 +46,7 @@ BANDS, ROWS = 12, 3
 THETA = 0.05
 BUCKET_BITS = 16
 SMALL = 32                    # members of a bucket whose pairs are all compared in a round
+BLOCK = 1024                  # members of a bucket that meet in one task, in the full comparison after the rounds
 ENOUGH = 1 / 200              # rounds end with one that links a smaller share of its documents
 LEAST_COMMON = 20             # documents that hold a common shingle, at least
 MOST_FREQUENT = 1_000_000     # bound of the broadcast idf table; theta rises with the mean length beyond it
@@ -282,6 +286,25 @@ def round_pairs(named: DataFrame, threshold: float) -> DataFrame:
             .unionByName(_met(drawn.select("key", *as_centre), many, apart, threshold)).distinct())
 
 
+def rest_pairs(named: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """All pairs of members of different classes in every bucket.
+
+    A bucket's largest class is met by the others, never by itself; the members
+    met are dealt into blocks, so a large bucket is many tasks."""
+    rows = named.select("key", "id", "weight", "root").distinct()
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = (sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("classes"))
+            .where("classes > 1").select("key", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")))
+    rows = rows.join(most, "key")
+    others = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("c"), F.col("weight").alias("c_weight"),
+                      F.col("root").alias("c_root"))
+    fits = F.least("weight", "c_weight") >= (threshold - 1e-9) * F.greatest("weight", "c_weight")
+    once = (F.col("c_root") == F.col("main")) | (F.col("id") < F.col("c"))
+    return (others.join(met, ["key", "block"]).where((F.col("root") != F.col("c_root")) & once & fits)
+            .select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct())
+
+
 def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The classes (node, root) after more links (a, b): every class is one node."""
     to = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
@@ -297,6 +320,7 @@ def classes(sigs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     compared = written(star_pairs(base, threshold), "nd-pairs")
     roots = written(components(written(verified_links(compared, texts, idf, threshold), "nd-links"), "a", "b"), "nd-classes")
     rest, draw = mixed_documents(named_rows(base, roots)), 1
+    met = base.select("key", "id", "weight")
     while True:
         some = written(texts.join(rest, "id", "left_semi"), "nd-mixed")
         fresh = written(signatures(some, idf, draw=draw, widths=(2, 4)), "nd-signatures")
@@ -306,10 +330,13 @@ def classes(sigs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
         new, of = links.count(), some.count()
         if new:
             roots = written(contracted(roots, links), "nd-classes")
+        compared, draw, met = compared.unionByName(pairs), draw + 1, met.unionByName(named.select("key", "id", "weight"))
         if new <= ENOUGH * of:
-            return roots
-        compared, draw = compared.unionByName(pairs), draw + 1
+            break
         rest = mixed_documents(named_rows(fresh, roots).select("id", "root", F.explode("keys").alias("key")))
+    pairs = written(rest_pairs(named_rows(met, roots), threshold).join(compared, ["a", "b"], "left_anti"), "nd-pairs")
+    links = written(verified_links(pairs, texts, idf, threshold), "nd-links")
+    return roots if links.isEmpty() else written(contracted(roots, links), "nd-classes")
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -333,6 +360,13 @@ def _sets(column: pa.Array, idf: Idf) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _sets_once(column: pa.Array, idf: Idf) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted set of every text, made once where a text comes again."""
+    each = column.dictionary_encode()
+    own = _sets(each.dictionary, idf)
+    return [own[i] for i in each.indices.to_pylist()]
+
+
 def verified_links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs at or over the threshold.
 
@@ -345,8 +379,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, idf, threshold: float) ->
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                xs = _sets(text_array(part.column("text_a")), idf.value)
-                ys = _sets(text_array(part.column("text_b")), idf.value)
+                xs = _sets_once(text_array(part.column("text_a")), idf.value)
+                ys = _sets_once(text_array(part.column("text_b")), idf.value)
                 sim = np.array([weighted_jaccard(x, y) for x, y in zip(xs, ys, strict=True)])
                 keep = pa.array(np.flatnonzero(sim >= threshold))
                 yield pa.RecordBatch.from_arrays(

@@ -248,3 +248,27 @@ def test_signatures_where_nothing_is_common(spark, make_docs):
     texts = make_docs([(1, "a b c d e f"), (2, "")]).withColumnRenamed("doc_id", "id")
     none = spark.sparkContext.broadcast(minhash.Idf(np.zeros(1, np.uint64), np.array([0.5]), np.zeros(1 << 16, bool)))
     assert minhash.signatures(texts, none, only_common=True).count() == 0
+
+
+def test_buckets_are_compared_in_full(spark):
+    """All pairs of different classes in a bucket of any size, whatever the blocks."""
+    rng = random.Random(4)
+    rows = [(k, i, 1.0 + i % 3 / 20, rng.choice([0, 0, 0, i, 7])) for k, n in ((1, 150), (2, 40), (3, 2)) for i in rng.sample(range(200), n)]
+    named = spark.createDataFrame(rows, "key long, id long, weight double, root long")
+    want = {(max(x[1], y[1]), min(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3]}
+    for block in (8, 1024):
+        got = [tuple(r) for r in minhash.rest_pairs(named, 0.8, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_link_of_a_shared_bucket_is_lost(spark, make_docs):
+    """Every pair at the threshold that shares a sample key ends in one class, in a group that mostly falls short of it."""
+    rows = hot_group(150, 0, words_each=300, edits=(3, 7), seed=12)
+    texts = make_docs(rows).withColumnRenamed("doc_id", "id")
+    sigs = minhash.signatures(texts, None).where("id IS NOT NULL")
+    none = spark.sparkContext.broadcast(minhash.Idf(np.zeros(0, np.uint64), np.zeros(0), np.zeros(1 << 16, bool)))
+    root = {r.node: r.root for r in minhash.classes(sigs, texts, none, 0.8).collect()}
+    keys = {r.id: set(r["keys"]) for r in sigs.collect()}
+    links = [(rows[i][0], rows[j][0]) for i, j in brute_links(rows, {}, 0.8)]
+    met = [(a, b) for a, b in links if keys[a] & keys[b]]
+    assert len(met) > 5 and all(root.get(a, a) == root.get(b, b) for a, b in met)
