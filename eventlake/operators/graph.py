@@ -202,7 +202,7 @@ def fit_translational(train: DataFrame, candidates: DataFrame, entities: DataFra
         t = t.filter(F.lit(margin) + _vnorm(F.col("p")) - _vnorm(F.col("n")) > 0)
         dp = _vscale(F.col("p"), F.lit(1.0) / F.greatest(_vnorm(F.col("p")), F.lit(1e-12)))
         dn = _vscale(F.col("n"), F.lit(1.0) / F.greatest(_vnorm(F.col("n")), F.lit(1e-12)))
-        g = t.select("head", "rel", "tail", "tn", _vsub(dp, dn).alias("g"), dp.alias("dp"), dn.alias("dn"))
+        g = cut_lineage(t.select("head", "rel", "tail", "tn", _vsub(dp, dn).alias("g"), dp.alias("dp"), dn.alias("dn")))
         ent_grads = (g.select(F.col("head").alias("id"), F.col("g").alias("gv"))
                      .unionByName(g.select(F.col("tail").alias("id"), _vscale(F.col("dp"), F.lit(-1.0)).alias("gv")))
                      .unionByName(g.select(F.col("tn").alias("id"), F.col("dn").alias("gv"))))
@@ -266,8 +266,8 @@ def fit_rotational(train: DataFrame, candidates: DataFrame, entities: DataFrame,
              .join(E.select(F.col("id").alias("tn"), F.col("vec").alias("en")), "tn"))
         t = t.filter(F.lit(margin) + score(F.col("eh"), F.col("er"), F.col("et"))
                      - score(F.col("eh"), F.col("er"), F.col("en")) > 0)
-        g = t.select("head", "rel", "tail", "tn", grad(F.col("eh"), F.col("er"), F.col("et")).alias("gp"),
-                     grad(F.col("eh"), F.col("er"), F.col("en")).alias("gn"))
+        g = cut_lineage(t.select("head", "rel", "tail", "tn", grad(F.col("eh"), F.col("er"), F.col("et")).alias("gp"),
+                                 grad(F.col("eh"), F.col("er"), F.col("en")).alias("gn")))       # four updates read it
         hr = F.zip_with("gp", "gn", lambda p, n: -p + n)
         ent_up = (g.select(F.col("head").alias("id"), hr.alias("u"))
                   .unionByName(g.select(F.col("tail").alias("id"), F.col("gp").alias("u")))

@@ -64,3 +64,19 @@ def test_fitted_relation_phases(spark):
     ids = spark.createDataFrame([("inverse", 0, 1, None), ("double", 0, 0, 2), ("wrong", 0, 2, 1)], "name string, a int, b int, c int")
     err = {r.name: r.err for r in graph.algebra_errors(rel, ids).collect()}
     assert err["inverse"] < 1e-6 and err["double"] < 1e-6 and abs(err["wrong"] - 2.8) < 1e-6
+
+
+def test_a_round_computes_its_triples_once(spark, monkeypatch):
+    """Four updates read one round's gradients: they are kept, not computed four times."""
+    from eventlake import session
+    from eventlake.operators import graph
+    kept, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    tr = spark.createDataFrame([(10 + i, 0, i % 4) for i in range(40)], "head long, rel int, tail long")
+    ids = tr.selectExpr("head AS id").union(tr.selectExpr("tail AS id")).distinct()
+    cands = tr.selectExpr("rel", "tail").distinct()
+    for fit in (graph.fit_translational, graph.fit_rotational):
+        kept.clear()
+        ent, rel = fit(tr, cands, ids, dim=2, rounds=2)
+        assert ent.count() == 88 and rel.count() == 2
+        assert sum("tn" in c and "head" in c for c in kept) == 2
