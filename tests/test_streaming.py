@@ -122,3 +122,48 @@ def test_live_loop_outcomes_apply_to_last_window(spark):
         assert ev[2]["match"] == "X" and ev[3]["outcome"] == 1.0 and ev[3]["dopamine"] == 1.0
         assert ev[4]["valence"] > 0                               # learned from the outcome (state across batches)
         assert ev[5]["reflex"] == "STOP" and ev[5]["stress"] > 0
+
+
+def test_a_part_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """More files to a part than a batch once took: no row may come out late."""
+    import datetime
+
+    from eventlake.plans.q_reactive import q_reflex
+    from eventlake.plans.q_streaming import q_stream_reflex
+    rng = random.Random(6)
+    day = datetime.datetime(1994, 1, 1)
+    rows = [(i, rng.randint(1, 99), 1 + i % 2, i % 7, rng.choice([3.0, 20.0, 48.0]), rng.random() / 10, rng.random() / 10, "R", day + datetime.timedelta(days=rng.randint(0, 2400)))
+            for i in range(500)]
+    schema = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, "
+              "l_shipdate timestamp_ntz")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r.device_id, r.seq, r.action, r.late) for r in q_stream_reflex(spark, str(tmp_path)).collect())
+        want = sorted((r.device_id, r.seq, r.action, False) for r in q_reflex(spark, str(tmp_path)).collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(want) > 100 and got == want
+
+
+def test_waiting_rows_are_not_read_until_due(spark):
+    """Rows fold once, in order, though they waited over several micro-batches."""
+    schema = "k string, t long, x long"
+    base, read = run_dir(spark, "t-wait"), []
+    parts = [[("a", 5, 1), ("b", 1, 1)], [("a", 3, 2)], [("a", 9, 3), ("b", 2, 2)], [("a", None, None), ("b", None, None)]]
+
+    def fold(held, rows):
+        held["n"] += len(rows)
+        return [(*r, held["n"]) for r in rows]
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/src/p{i}")
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*").withColumn("at", F.coalesce("t", F.lit(stateful.FOREVER)))
+        _run(stateful.ordered_stream(rows, "k", "at", ["t"], ["x"], 6, {"n": 0}, fold, "t long, x long, n long"), base)
+        read.append(spark.read.schema("k string").parquet(f"{base}/out").count())
+    got = sorted((r.k, r.t, r.x, r.n, r.late) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [("a", 3, 2, 1, False), ("a", 5, 1, 3, False), ("a", 9, 3, 3, False), ("b", 1, 1, 2, False), ("b", 2, 2, 2, False)]
+    assert read == [0, 0, 1, 5]
