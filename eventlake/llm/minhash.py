@@ -19,8 +19,12 @@
   compared, in a larger one every member meets one drawn at random.  Rounds go
   on until one links fewer than one in 200 of its documents.  A round's pairs are linear in its documents, whatever the size of a group.
   The rounds only join the bulk of large groups cheaply; what they leave is done
-  in full: in every bucket of any round that still holds several classes, all
-  pairs of members of different classes are compared, in blocks of bounded size.
+  in full: of all documents that shared a bucket with another class, every pair of
+  different classes that can reach the threshold is compared.  Two such documents
+  share one of the rarest shingles of both, and what is left of either from the
+  first shared one on, in one order of all shingles, weighs what the threshold
+  asks for.  Both bounds are exact: a large group below the threshold makes few
+  pairs, and no link is lost.
 * Every pair is verified by its exact weighted Jaccard similarity on the whole
   texts; links are closed to classes.  Equal texts are grouped first, and stand
   for one document, so copies cost nothing more.
@@ -45,9 +49,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 THETA = 0.05
 BUCKET_BITS = 16
+ORDER_BITS = 20               # of the counts that order shingles in the full comparison after the rounds
 SMALL = 32                    # members of a bucket whose pairs are all compared in a round
 BLOCK = 1024                  # members of a bucket that meet in one task, in the full comparison after the rounds
 ENOUGH = 1 / 200              # rounds end with one that links a smaller share of its documents
+SLACK = 1e-6                  # for rounding, as a share of the weights compared
 LEAST_COMMON = 20             # documents that hold a common shingle, at least
 MOST_FREQUENT = 1_000_000     # bound of the broadcast idf table; theta rises with the mean length beyond it
 _KEEP = np.uint64((1 << 44) - 1)
@@ -75,8 +81,8 @@ def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
     return (key >> np.uint64(44)).astype(np.int64), key & _KEEP, tf
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+def _bucket(h: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _count_rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -286,20 +292,70 @@ def round_pairs(named: DataFrame, threshold: float) -> DataFrame:
             .unionByName(_met(drawn.select("key", *as_centre), many, apart, threshold)).distinct())
 
 
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """Documents with a shingle, by hash bucket of it (2^ORDER_BITS of them, whatever the input)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+        for batch in batches:
+            for w in words(text_array(batch.column("text")), lower=True):
+                total += np.bincount(_bucket(shingles(w)[1], ORDER_BITS), minlength=1 << ORDER_BITS)
+        some = np.flatnonzero(total)
+        yield _count_rows(some, total[some])
+
+    several = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.ones(1 << ORDER_BITS, dtype=np.int32)
+    out[several.column("key").to_numpy()] = several.column("n").to_numpy().clip(max=(1 << 31) - 1)
+    return out
+
+
+def rarest_shingles(named: DataFrame, idf, threshold: float) -> DataFrame:
+    """(key, id, weight, root, left) of the documents (id, text, root): the
+    shingles (key) at which a document can first meet one like it.
+
+    Shingles have one order, rare buckets first; ``left`` is the weight of a
+    document's shingles from this one on.  Two documents share at most the lesser
+    ``left`` of their first common shingle, and at the threshold that share of
+    either's whole weight.  Any order would do; this one makes few common keys."""
+    counts = named.sparkSession.sparkContext.broadcast(bucket_counts(named.select("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = batch.column("id"), batch.column("root")
+            for w in words(text_array(batch.column("text")), lower=True):
+                doc, h, tf = shingles(w)
+                weight = idf.value.weights(h, tf)
+                order = np.lexsort((h, counts.value[_bucket(h, ORDER_BITS)], doc))
+                doc, h, weight = doc[order], h[order], weight[order]
+                until = np.cumsum(weight)
+                end = np.append(0.0, until)[np.searchsorted(doc, np.arange(w.hi - w.lo), side="right")]
+                sums = np.bincount(doc, weight, minlength=w.hi - w.lo).astype(float)
+                left = end[doc] - until + weight
+                keep = np.flatnonzero(left >= (threshold - SLACK) * sums[doc])
+                at = pa.array(doc[keep] + w.lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[keep].astype(np.int64)), ids.take(at), pa.array(sums[doc[keep]]), roots.take(at), pa.array(left[keep])],
+                    names=["key", "id", "weight", "root", "left"])
+
+    return named.select("id", "text", "root").mapInArrow(run, "key bigint, id bigint, weight double, root bigint, left double")
+
+
 def rest_pairs(named: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """All pairs of members of different classes in every bucket.
+    """All pairs of members of different classes in every bucket, but those that
+    share too little: at most the lesser ``left`` (all of the weight where there
+    is no such column) of the two.
 
     A bucket's largest class is met by the others, never by itself; the members
     met are dealt into blocks, so a large bucket is many tasks."""
-    rows = named.select("key", "id", "weight", "root").distinct()
+    rows = named.select("key", "id", "weight", "root", (F.col("left") if "left" in named.columns else F.col("weight")).alias("left"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     most = (sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("classes"))
             .where("classes > 1").select("key", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")))
     rows = rows.join(most, "key")
     others = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("c"), F.col("weight").alias("c_weight"),
-                      F.col("root").alias("c_root"))
-    fits = F.least("weight", "c_weight") >= (threshold - 1e-9) * F.greatest("weight", "c_weight")
+                      F.col("root").alias("c_root"), F.col("left").alias("c_left"))
+    fits = F.least("left", "c_left") >= (threshold / (1 + threshold) - SLACK) * (F.col("weight") + F.col("c_weight"))
     once = (F.col("c_root") == F.col("main")) | (F.col("id") < F.col("c"))
     return (others.join(met, ["key", "block"]).where((F.col("root") != F.col("c_root")) & once & fits)
             .select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct())
@@ -320,9 +376,10 @@ def classes(sigs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     compared = written(star_pairs(base, threshold), "nd-pairs")
     roots = written(components(written(verified_links(compared, texts, idf, threshold), "nd-links"), "a", "b"), "nd-classes")
     rest, draw = mixed_documents(named_rows(base, roots)), 1
-    met = base.select("key", "id", "weight")
+    all_mixed = None                                            # a later round's documents are among the first one's
     while True:
         some = written(texts.join(rest, "id", "left_semi"), "nd-mixed")
+        all_mixed = some if all_mixed is None else all_mixed
         fresh = written(signatures(some, idf, draw=draw, widths=(2, 4)), "nd-signatures")
         named = written(bucket_rows(named_rows(fresh, roots), "root"), "nd-buckets-of-two")      # classes are joined to documents, not to their keys
         pairs = written(round_pairs(named, threshold).join(compared, ["a", "b"], "left_anti"), "nd-pairs")
@@ -330,12 +387,13 @@ def classes(sigs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
         new, of = links.count(), some.count()
         if new:
             roots = written(contracted(roots, links), "nd-classes")
-        compared, draw, met = compared.unionByName(pairs), draw + 1, met.unionByName(named.select("key", "id", "weight"))
+        compared, draw = compared.unionByName(pairs), draw + 1
         if new <= ENOUGH * of:
             break
         rest = mixed_documents(named_rows(fresh, roots).select("id", "root", F.explode("keys").alias("key")))
-    pairs = written(rest_pairs(named_rows(met, roots), threshold).join(compared, ["a", "b"], "left_anti"), "nd-pairs")
-    links = written(verified_links(pairs, texts, idf, threshold), "nd-links")
+    shared = written(rarest_shingles(named_rows(all_mixed, roots), idf, threshold), "nd-rarest")
+    pairs = written(rest_pairs(shared, threshold).join(compared, ["a", "b"], "left_anti"), "nd-pairs")
+    links = written(verified_links(pairs, all_mixed, idf, threshold), "nd-links")
     return roots if links.isEmpty() else written(contracted(roots, links), "nd-classes")
 
 

@@ -272,3 +272,40 @@ def test_no_link_of_a_shared_bucket_is_lost(spark, make_docs):
     links = [(rows[i][0], rows[j][0]) for i, j in brute_links(rows, {}, 0.8)]
     met = [(a, b) for a, b in links if keys[a] & keys[b]]
     assert len(met) > 5 and all(root.get(a, a) == root.get(b, b) for a, b in met)
+
+
+def unlinked_group(n):
+    """Copies of one text, each with about 28 % of its shingles edited: no two are near the threshold, most share a sample key."""
+    return hot_group(n, 0, words_each=300, edits=(15, 20), seed=21)
+
+
+def test_a_group_below_the_threshold_is_not_compared_pair_by_pair(make_docs, monkeypatch):
+    rows, compared, verify = unlinked_group(250), [], minhash.verified_links
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+    monkeypatch.setattr(minhash, "verified_links", counted)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make_docs(rows)).collect()}
+    assert all(d == c for d, c in got.items())
+    assert len(compared) >= 3 and compared[-1] <= 2 * len(rows)        # of 31125 pairs
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_documents_at_the_threshold_meet_at_a_rare_shingle(spark, make_docs, threshold):
+    """Whatever the weights, no pair at the threshold is left out, whether it shares a sample key or not."""
+    rows = hot_group(120, 40, words_each=200, edits=(1, 8), seed=13)
+    rows += [(1000 + i, " ".join(t.split()[:n])) for i, (_, t) in enumerate(rows[:40]) for n in [3 + 5 * i]] + [(2000, ""), (2001, " ".join(["a b c d e f"] * 30))]
+    texts = make_docs(rows).withColumnRenamed("doc_id", "id")
+    h = np.unique(np.concatenate([minhash.shingles(w)[1] for w in words(pa.array([t for _, t in rows], type=pa.large_string()), lower=True)]))
+    some = h[::3]
+    hot = np.zeros(1 << 16, bool)
+    hot[minhash._bucket(some)] = True
+    idf = spark.sparkContext.broadcast(minhash.Idf(some, np.linspace(0.05, 1, len(some)), hot))
+    named = texts.withColumn("root", F.when(F.col("id") < 30, F.lit(0)).otherwise(F.col("id")))
+    got = {tuple(r) for r in minhash.rest_pairs(minhash.rarest_shingles(named, idf, threshold), threshold, 16).collect()}
+    sets = dict(zip([d for d, _ in rows], minhash._sets(pa.array([t for _, t in rows], type=pa.large_string()), idf.value), strict=True))
+    root = lambda d: 0 if d < 30 else d
+    links = {(a, b) for a in sets for b in sets if a > b and root(a) != root(b) and minhash.weighted_jaccard(sets[a], sets[b]) >= threshold}
+    assert len(links) > 500 and links <= got
+    assert all(a > b and root(a) != root(b) for a, b in got) and len(got) < len(rows) * (len(rows) - 1) / 2
