@@ -55,7 +55,6 @@ BLOCK = 1024                  # members of a bucket that meet in one task, in th
 ENOUGH = 1 / 200              # rounds end with one that links a smaller share of its documents
 SLACK = 1e-6                  # for rounding, as a share of the weights compared
 LEAST_COMMON = 20             # documents that hold a common shingle, at least
-MOST_FREQUENT = 1_000_000     # bound of the broadcast idf table; theta rises with the mean length beyond it
 _KEEP = np.uint64((1 << 44) - 1)
 _P = "_nd_"
 
@@ -117,13 +116,13 @@ def frequent_shingles(texts: DataFrame, counted: DataFrame, theta: float = THETA
     """Exact document frequencies, over ``texts``, of every shingle in a share
     theta of them or more.  ``counted`` has (key, n): shingles by hash bucket (a
     fixed number) over these texts at least; only the shingles of buckets that
-    reach the bound are counted one by one.  Both cover every document."""
+    reach the bound are counted one by one.  Both cover every document.  The
+    table holds no more shingles than 1 / theta mean documents, whatever their
+    length, and comes as arrays of 16 bytes a shingle."""
     n = texts.count()
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    theta = max(theta, total / max(n, 1) / MOST_FREQUENT)
     least = max(LEAST_COMMON, int(np.ceil(theta * n)))
     hot = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    hot[[r.key for r in counted.where(F.col("n") >= least).select("key").collect()]] = True
+    hot[counted.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy()] = True
     if not hot.any():
         return Idf(np.zeros(0, np.uint64), np.zeros(0), hot)
     shared = texts.sparkSession.sparkContext.broadcast(hot)
@@ -143,10 +142,9 @@ def frequent_shingles(texts: DataFrame, counted: DataFrame, theta: float = THETA
             yield _count_rows(*np.unique(np.concatenate(held), return_counts=True))
 
     rows = (texts.mapInArrow(exact, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least).collect())          # at most mean / theta rows
-    rows.sort()
-    h = np.array([r.key for r in rows], dtype=np.uint64)
-    df = np.array([r.n for r in rows], dtype=float)
+            .where(F.col("n") >= least).toArrow().sort_by("key"))          # at most mean / theta rows
+    h = rows.column("key").to_numpy().astype(np.uint64)
+    df = rows.column("n").to_numpy().astype(float)
     return Idf(h, np.minimum(1.0, np.log1p(n / np.maximum(df, 1)) / np.log1p(1 / theta)), hot)
 
 

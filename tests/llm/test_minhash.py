@@ -164,6 +164,15 @@ def test_frequent_shingles_are_exact(spark, make_docs):
     assert len(want) >= 2 and sorted(round(x, 9) for x in idf.idf.tolist()) == want
 
 
+def test_long_documents_do_not_move_the_bound(spark, make_docs):
+    """The share of texts that makes a shingle common is theta, however many shingles the mean text has."""
+    common = " ".join(f"c{i}" for i in range(6))
+    texts = make_docs([(d, f"{common} " + " ".join(f"{d}x{i}" for i in range(60_000))) for d in range(24)]).withColumnRenamed("doc_id", "id")
+    counted = minhash.signatures(texts, bands=1, rows=1).where("id IS NULL").select(F.posexplode("keys").alias("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+    idf = minhash.frequent_shingles(texts, counted, 0.05)
+    assert idf.idf.tolist() == pytest.approx([math.log1p(1) / math.log1p(20)] * 2, abs=1e-12)
+
+
 def test_cases(spark, make_docs):
     long = " ".join(str(i % 9000) for i in range(250_000))
     rows = [(1, ""), (2, None), (3, "a b"), (4, "A  b"), (5, "a b c"), (6, long), (7, long + " x"), (None, "a b"), (None, "only"), (None, "only"),
