@@ -298,12 +298,15 @@ def _patterns(spark, sf):
                                F.pmod(F.col("l_partkey"), F.lit(MEM_N)).cast("int").alias("neuron")).distinct(), "memory")
 
 
+def _alien():
+    return F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)).cast("int")
+
+
 def _memory(spark, sf):
     mem = _patterns(spark, sf)
     keep = mem.filter(hash_uniform(CUE_SEED, F.col("pattern_id"), F.col("neuron")) >= 0.25).select(
         "bank", F.col("pattern_id").alias("cue_id"), "neuron")
-    add = mem.select("bank", F.col("pattern_id").alias("cue_id"),
-                     F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)).cast("int").alias("neuron"))
+    add = mem.select("bank", F.col("pattern_id").alias("cue_id"), _alien().alias("neuron"))
     return mem, keep.unionByName(add).distinct()
 
 
@@ -340,8 +343,10 @@ RECALL_SQL = (
 
 @query("recall", RECALL_SQL, note="iterative fixed point with checkpointed rounds")
 def q_recall(spark, sf):
-    mem, cues = _memory(spark, sf)
-    return memory.recall(mem, cues, MEM_N, MEM_K, steps=RECALL_STEPS)
+    idx = memory.MemoryIndex(_patterns(spark, sf), MEM_N, checkpoint=True)
+    stored = idx.patterns.select("*", memory.luck(CUE_SEED).alias("luck"))
+    cues = stored.select("bank", F.col("pattern_id").alias("cue_id"), memory.damaged(F.lit(0.25), _alien()).alias("s"))
+    return memory.recall(idx, cues, MEM_N, MEM_K, steps=RECALL_STEPS)
 
 
 # ------------------------------------------------------------ graph
@@ -509,27 +514,11 @@ SWEEP_SQL = ("WITH mem AS (SELECT DISTINCT o.o_custkey AS bank, l.l_orderkey AS
 
 @query("recall_sweep", SWEEP_SQL, note="parameter grid x recall step in one job")
 def q_recall_sweep(spark, sf):
-    mem = _patterns(spark, sf)
-    grids = []
-    for g, frac in enumerate(SWEEP_DROPS):
-        keep = mem.filter(hash_uniform(CUE_SEED, F.col("pattern_id"), F.col("neuron")) >= frac).select(
-            "bank", (F.col("pattern_id") * 8 + g).alias("cue_id"), "neuron")
-        add = mem.select("bank", (F.col("pattern_id") * 8 + g).alias("cue_id"),
-                         F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)).cast("int").alias("neuron"))
-        grids.append(keep.unionByName(add))
-    cues = grids[0]
-    for x in grids[1:]:
-        cues = cues.unionByName(x)
-    idx = memory.MemoryIndex(mem, MEM_N)
-    step = memory.recall_step(idx, cues.distinct(), MEM_N, MEM_K)
-    orig = mem.select("bank", "pattern_id", "neuron")
-    hit = (step.withColumn("pattern_id", F.floor(F.col("cue_id") / 8).cast("bigint"))
-           .join(orig, ["bank", "pattern_id", "neuron"]).groupBy("bank", "cue_id").agg(F.count(F.lit(1)).alias("hit")))
-    size = orig.groupBy("bank", "pattern_id").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    per = (cues.select("bank", "cue_id", F.floor(F.col("cue_id") / 8).cast("bigint").alias("pattern_id")).distinct()
-           .join(size, ["bank", "pattern_id"]).join(hit, ["bank", "cue_id"], "left")
-           .select(F.pmod(F.col("cue_id"), F.lit(8)).cast("int").alias("grid"),
-                   (F.coalesce(F.col("hit"), F.lit(0)) / F.col("size")).alias("overlap")))
+    idx = memory.MemoryIndex(_patterns(spark, sf), MEM_N)
+    stored = idx.patterns.select("*", memory.luck(CUE_SEED).alias("luck"), F.posexplode(F.array(*[F.lit(x) for x in SWEEP_DROPS])).alias("grid", "drop"))
+    cues = stored.select("bank", F.struct("grid", "pattern_id", "members", "size").alias("cue_id"), memory.damaged(F.col("drop"), _alien()).alias("s"))
+    step = memory.recall_step(idx, cues, MEM_N, MEM_K, as_sets=True)
+    per = step.select("cue_id.grid", (F.size(F.array_intersect("new", "cue_id.members")) / F.col("cue_id.size")).alias("overlap"))
     drops = spark.createDataFrame([(g, f) for g, f in enumerate(SWEEP_DROPS)], "grid int, drop_fraction double")
     return per.groupBy("grid").agg(F.round(F.avg("overlap"), 9).alias("mean_overlap"), F.count(F.lit(1)).alias("n_cues")).join(
         F.broadcast(drops), "grid")
@@ -559,8 +548,7 @@ CAPACITY_SQL = (
 
 @query("recall_capacity", CAPACITY_SQL, note="noise x nested loads, recall to the fixed point, the first load under 90 % of each bank")
 def q_recall_capacity(spark, sf):
-    mem, _ = _memory(spark, sf)
-    out = memory.capacity_sweep(mem, CAP_NOISES, CAP_LOADS, MEM_N, MEM_K, F.pmod(F.col("pattern_id") * 7 + 3, F.lit(MEM_N)),
+    out = memory.capacity_sweep(_patterns(spark, sf), CAP_NOISES, CAP_LOADS, MEM_N, MEM_K, _alien(),
                                 steps=CAP_STEPS, floor=CAP_FLOOR - 1e-12, seed=CUE_SEED)
     return out.withColumn("mean_recall", F.round("mean_recall", 9))
 
